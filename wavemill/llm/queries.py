@@ -24,8 +24,23 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, word_bpe_path()))
 
 
+def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op7_language_naive_bayes": op7_language_naive_bayes,
+    "op8_decontaminate_aho_corasick": op8_decontaminate_aho_corasick,
 }
 
 ORACLE_SQL: dict[str, str] = {}
