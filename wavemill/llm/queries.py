@@ -24,6 +24,12 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, word_bpe_path()))
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.llm import langid
 
@@ -39,6 +45,7 @@ def op8_decontaminate_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Query] = {
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op5_quality_crf": op5_quality_crf,
     "op7_language_naive_bayes": op7_language_naive_bayes,
     "op8_decontaminate_aho_corasick": op8_decontaminate_aho_corasick,
 }
