@@ -43,11 +43,25 @@ def op8_decontaminate_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op9_shard_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import shards
+
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import licences
+
+    return licences.scan(licences.with_path(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
     "op5_quality_crf": op5_quality_crf,
     "op7_language_naive_bayes": op7_language_naive_bayes,
     "op8_decontaminate_aho_corasick": op8_decontaminate_aho_corasick,
+    "op9_shard_sampled_splitters": op9_shard_sampled_splitters,
+    "op10_licence_tfidf": op10_licence_tfidf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
