@@ -30,6 +30,12 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.llm import langid
 
@@ -58,6 +64,7 @@ def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
     "op5_quality_crf": op5_quality_crf,
+    "op6_near_duplicates_superminhash": op6_near_duplicates_superminhash,
     "op7_language_naive_bayes": op7_language_naive_bayes,
     "op8_decontaminate_aho_corasick": op8_decontaminate_aho_corasick,
     "op9_shard_sampled_splitters": op9_shard_sampled_splitters,
