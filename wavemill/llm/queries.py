@@ -24,6 +24,12 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, word_bpe_path()))
 
 
+def op4_passages_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import passages
+
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.llm import quality
 
@@ -63,6 +69,7 @@ def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op4_passages_collinear_chains": op4_passages_collinear_chains,
     "op5_quality_crf": op5_quality_crf,
     "op6_near_duplicates_superminhash": op6_near_duplicates_superminhash,
     "op7_language_naive_bayes": op7_language_naive_bayes,
