@@ -17,6 +17,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embeddings_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import covertree
+
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.llm import bpe
 
@@ -68,6 +74,7 @@ def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embeddings_cover_tree": op1_embeddings_cover_tree,
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
     "op4_passages_collinear_chains": op4_passages_collinear_chains,
     "op5_quality_crf": op5_quality_crf,
