@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wavemill.llm import warc
 from wavemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def op1_embeddings_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.llm import bpe
 
@@ -75,6 +80,7 @@ def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embeddings_cover_tree": op1_embeddings_cover_tree,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
     "op4_passages_collinear_chains": op4_passages_collinear_chains,
     "op5_quality_crf": op5_quality_crf,
@@ -85,4 +91,6 @@ QUERIES: dict[str, Query] = {
     "op10_licence_tfidf": op10_licence_tfidf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_derivatives": warc.oracle_sql(),
+}
