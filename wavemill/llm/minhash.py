@@ -5,10 +5,11 @@ signature's slots step by step, and step j can only give values from j to j + 1;
 stops, as soon as all slots lie below the next step. Documents of equal sets form one class. Class representatives that
 agree in all slots of a band are candidates; a pair is a link only if the full sets say so.
 
-Within a bucket not all pairs are formed: members are compared with a hub of the bucket's first component, and buckets
-whose members are all connected are done. Hubs change from round to round; what then still lies in one bucket but
-several components is compared in full across the components, so no link that a bucket shows is lost. Links make
-components by stars on Spark.
+Within a bucket not all pairs are formed: members are compared with a hub, the member that lies in most buckets, and
+components are made of these links by stars on Spark. Two members of a hub's group that are then still in different
+components can only be similar if they differ from the hub in common elements (``left_apart`` says why), so only those
+that do are compared as well, on their full sets. No link that a bucket shows is lost, and a group of n edited copies
+costs about n comparisons.
 
 With 4 slots a band and 32 bands, two sets of similarity 0.8 share no bucket with a chance of 5e-8, at 0.9 of 1e-15.
 
@@ -34,11 +35,6 @@ from wavemill.llm.components import components
 SHINGLE = 5
 SLOTS, BAND = 128, 4
 PERCENT = 80
-#: Rounds with a single hub for each bucket, before what is left is compared in full.
-HUB_ROUNDS = 6
-#: Pairs of a full comparison that are always made at once, for each class that is left.
-FEW_PAIRS = 20
-
 _WORDS = 300_000
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -164,65 +160,79 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, elements array<bigint>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets' intersection is at least ``percent`` hundredths of their union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) with the sizes of their sets (na, nb) and of what they have in common, the elements that b has and a
+    hasn't, and whether the common part is at least ``percent`` hundredths of the union."""
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    both = pairs.join(right, "b").join(left, "a")
-    na, nb, common = F.size("ea"), F.size("eb"), F.size(F.array_intersect("ea", "eb"))
-    near_size = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return both.where(near_size & (100 * common >= percent * (na + nb - common))).select("a", "b")
-
-
-def _relabel(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Components of the links between labels, put in the members' labels; buckets of one label go."""
-    moved = components(found).select(F.col("id").alias("label"), F.col("component"))
-    now = members.join(moved, "label", "left").select("bucket", "id", F.coalesce("component", "label").alias("label"))
-    return stage(_open_buckets(stage(now, "labels")), "labels")
-
-
-def _open_buckets(members: DataFrame) -> DataFrame:
-    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return members.join(several, "bucket", "left_semi")
-
-
-def links_between(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
-    """Confirmed links that connect all candidates of (bucket, id) as far as the sets do."""
-    members, found = members.withColumn("label", F.col("id")), []
-    for k in range(HUB_ROUNDS):
-        hub = members.groupBy("bucket").agg(F.min(F.struct("label", F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias("hub"))
-        pairs = members.join(hub, "bucket").where(F.col("label") != F.col("hub.label")).select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.label").alias("la"), F.col("label").alias("lb")).distinct()
-        pairs = stage(pairs, "hub-pairs")
-        links = stage(confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]), "hub-links")
-        found.append(links.select("a", "b"))
-        members = _relabel(members, links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        size = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
-        left = size.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            return found
-        if left["pairs"] / 2 <= FEW_PAIRS * left["n"]:
-            break
-    a = members.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-    b = members.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    across = a.join(b, "bucket").where("la < lb").select("a", "b").distinct()
-    found.append(stage(confirmed(across, sets, percent), "cross-links"))
-    return found
+    both = pairs.join(right, "b").join(left, "a").withColumn("added", F.array_except("eb", "ea"))
+    na, nb = F.size("ea").cast("long"), F.size("eb").cast("long")
+    common = nb - F.size("added")
+    return both.select(*pairs.columns, na.alias("na"), nb.alias("nb"), common.alias("common"), "added", (100 * common >= percent * (na + nb - common)).alias("linked"))
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub: the member that lies in most buckets, then the least id.
+
+    The common original of edited copies shares more buckets with them than they do with one another.
+    """
+    known = members.groupBy("id").agg(F.count("*").alias("n"))
+    scored = members.join(known, "id")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("id")).alias("first"))).alias("hub")).select("bucket", (-F.col("hub.first")).alias("a"))
+    return scored.join(hubs, "bucket").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the component of an id as a column; an id without links is its own."""
+    by = labels.select(F.col("id").alias(column), F.col("component"))
+    return rows.join(by, column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
+
+
+def left_apart(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (x, y) of one hub's group that may be links though hub and x aren't, from rows (a, b, na, nb, common, added,
+    la, lb): hub a, member b, and their components.
+
+    Let b add A and lack R of the hub's elements. x and y are similar only if their sets differ in at most a share q of
+    the sum of their sizes, q = (100 - percent) / (100 + percent). As both differ from the hub in known elements, that
+    needs 2 |A_x and A_y| >= g_x - (1 - q) h_y, with g_x = |A_x| + |R_x| - q (|x| + |hub|), positive as x isn't similar
+    to the hub, and h_y = |R_y| - |A_y|. So x and y must share added elements, which are rare within a group of copies,
+    unless y is so much smaller than the hub that the right side isn't positive. Nothing else can be a link.
+    """
+    q = (100 - percent) / (100 + percent)
+    added, lacking = F.size("added"), F.col("na") - F.col("common")
+    rows = groups.withColumn("g", added + lacking - q * (F.col("na") + F.col("nb"))).withColumn("h", (lacking - added).cast("double"))
+    x = rows.where("la <> lb").select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("g").alias("gx"), F.col("h").alias("hx"), F.col("added").alias("ax"))
+    y = rows.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("g").alias("gy"), F.col("h").alias("hy"), F.col("added").alias("ay"))
+    slack = 1e-6
+    ex = x.select("a", "x", "lx", "gx", F.explode("ax").alias("e"))
+    ey = y.select("a", "y", "ly", "hy", F.explode("ay").alias("e"))
+    sharing = ex.join(ey, ["a", "e"]).where("lx <> ly").groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first("gx").alias("gx"), F.first("hy").alias("hy")).where(2 * F.col("n") >= F.col("gx") - (1 - q) * F.col("hy") - slack)
+    small = y.where("hy > 0").select("a", "y", "ly", "hy", "gy")
+    smaller = x.drop("ax").join(small, "a").where((F.col("lx") != F.col("ly")) & ((1 - q) * F.col("hy") >= F.col("gx") - slack) & ((1 - q) * F.col("hx") >= F.col("gy") - slack))
+    return sharing.select("x", "y").union(smaller.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links_between(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) that connect all candidates of (bucket, id) as far as their sets do."""
+    groups = stage(compared(hub_pairs(members), sets, percent), "hub-groups")
+    links = groups.where("linked").select("a", "b")
+    labels = components(links)
+    named = labelled(labelled(groups, labels, "a", "la"), labels, "b", "lb")
+    more = stage(compared(left_apart(named, percent), sets, percent).where("linked").select("a", "b"), "apart-links")
+    return links.union(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs, size), "signatures")
-    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"))
+    classes = stage(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "classes")
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    apart = buckets.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")  # one of those with the same members
-    members = stage(exploded.join(apart, "bucket"), "buckets")
-    sets = stage(full_sets(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
-    links = links_between(members, _one_set(sets), percent)
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
+    several = exploded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    members = stage(exploded.join(several, "bucket"), "buckets")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = stage(_one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), size)), "sets")
+    every = links_between(members, sets, percent)
     where = components(every)
     named = classes.select("digest", "id").join(where, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
