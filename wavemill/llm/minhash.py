@@ -204,9 +204,12 @@ def left_apart(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     x = rows.where("la <> lb").select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("g").alias("gx"), F.col("h").alias("hx"), F.col("added").alias("ax"))
     y = rows.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("g").alias("gy"), F.col("h").alias("hy"), F.col("added").alias("ay"))
     slack = 1e-6
-    ex = x.select("a", "x", "lx", "gx", F.explode("ax").alias("e"))
-    ey = y.select("a", "y", "ly", "hy", F.explode("ay").alias("e"))
-    sharing = ex.join(ey, ["a", "e"]).where("lx <> ly").groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first("gx").alias("gx"), F.first("hy").alias("hy")).where(2 * F.col("n") >= F.col("gx") - (1 - q) * F.col("hy") - slack)
+    held = rows.select("a", F.col("b").alias("y"), F.explode("added").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("y")).alias("who"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("n > 1")
+    # elements that the same members add (an inserted passage) are one element with a weight
+    weight = held.groupBy("a", "n", "who", "lo", "hi").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("a", "e", "w")
+    ex = x.select("a", "x", "lx", "gx", F.explode("ax").alias("e")).join(weight, ["a", "e"])
+    ey = y.select("a", "y", "ly", "hy", F.explode("ay").alias("e")).join(weight.select("a", "e"), ["a", "e"])
+    sharing = ex.join(ey, ["a", "e"]).where("lx <> ly").groupBy("a", "x", "y").agg(F.sum("w").alias("n"), F.first("gx").alias("gx"), F.first("hy").alias("hy")).where(2 * F.col("n") >= F.col("gx") - (1 - q) * F.col("hy") - slack)
     small = y.where("hy > 0").select("a", "y", "ly", "hy", "gy")
     smaller = x.drop("ax").join(small, "a").where((F.col("lx") != F.col("ly")) & ((1 - q) * F.col("hy") >= F.col("gx") - slack) & ((1 - q) * F.col("hx") >= F.col("gy") - slack))
     return sharing.select("x", "y").union(smaller.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
