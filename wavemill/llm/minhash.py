@@ -21,12 +21,13 @@ least of what they link to. Ties go to the smallest doc_id. Extra columns aren't
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import small_batches, stage
@@ -197,24 +198,49 @@ def left_apart(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     needs 2 |A_x and A_y| >= g_x - (1 - q) h_y, with g_x = |A_x| + |R_x| - q (|x| + |hub|), positive as x isn't similar
     to the hub, and h_y = |R_y| - |A_y|. So x and y must share added elements, which are rare within a group of copies,
     unless y is so much smaller than the hub that the right side isn't positive. Nothing else can be a link.
+
+    The same holds with x and y exchanged, and their sizes differ by the share ``percent`` at most, which bounds h_y for
+    an x and a class of sizes. So x needs a least weight t of common elements, and with the elements in one order, rare
+    ones first, the first common one has at least t of weight from it on, in x as in y. Only such elements are joined:
+    those that most members of a group add are at the end of the order and make no pairs.
     """
-    q = (100 - percent) / (100 + percent)
+    p, q, slack = percent / 100, (100 - percent) / (100 + percent), 1e-6
     added, lacking = F.size("added"), F.col("na") - F.col("common")
     rows = groups.withColumn("g", added + lacking - q * (F.col("na") + F.col("nb"))).withColumn("h", (lacking - added).cast("double"))
-    x = rows.where("la <> lb").select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("g").alias("gx"), F.col("h").alias("hx"), F.col("added").alias("ax"))
-    y = rows.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("g").alias("gy"), F.col("h").alias("hy"), F.col("added").alias("ay"))
-    slack = 1e-6
-    held = rows.select("a", F.col("b").alias("y"), F.explode("added").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("y")).alias("who"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("n > 1")
+    held = (
+        rows.select("a", "b", "lb", F.explode("added").alias("e"))
+        .groupBy("a", "e")
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("b")).alias("who"), F.min("b").alias("lo"), F.max("b").alias("hi"), F.min("lb").alias("one"), F.max("lb").alias("two"))
+        .where("one <> two")
+    )
     # elements that the same members add (an inserted passage) are one element with a weight
-    weight = held.groupBy("a", "n", "who", "lo", "hi").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("a", "e", "w")
-    ex = x.select("a", "x", "lx", "gx", F.explode("ax").alias("e")).join(weight, ["a", "e"])
-    ey = y.select("a", "y", "ly", "hy", F.explode("ay").alias("e")).join(weight.select("a", "e"), ["a", "e"])
-    sharing = ex.join(ey, ["a", "e"]).where("lx <> ly").groupBy("a", "x", "y").agg(F.sum("w").alias("n"), F.first("gx").alias("gx"), F.first("hy").alias("hy")).where(2 * F.col("n") >= F.col("gx") - (1 - q) * F.col("hy") - slack)
-    small = y.where("hy > 0").select("a", "y", "ly", "hy", "gy")
-    smaller = x.drop("ax").join(small, "a").where((F.col("lx") != F.col("ly")) & ((1 - q) * F.col("hy") >= F.col("gx") - slack) & ((1 - q) * F.col("hx") >= F.col("gy") - slack))
+    weight = held.groupBy("a", "n", "who", "lo", "hi").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("a", "e", "n", "w")
+    from_here = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ["a", "b", "la", "lb", "na", "nb", "g", "h"]
+    elements = rows.select(*own, F.explode("added").alias("e")).join(weight, ["a", "e"]).withColumn("s", F.sum("w").over(from_here))
+    needed = lambda least_size: (F.col("g") - (1 - q) * (F.col("na") - least_size) - slack) / 2
+    x_classes = F.sequence(_size_class(p * F.col("nb")), _size_class(F.col("nb") / p))
+    x_named = lambda df: df.select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("g").alias("gx"), F.col("h").alias("hx"), "c", *([c for c in df.columns if c in ("e", "s")]))
+    y_named = lambda df: df.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("g").alias("gy"), F.col("h").alias("hy"), _size_class(F.col("nb")).alias("c"), *([c for c in df.columns if c in ("e", "s")]))
+    least_of_class = F.pow(F.lit(_SIZE_STEP), F.col("c")) * (1 - 1e-9)
+    ex = x_named(elements.where("la <> lb").withColumn("c", F.explode(x_classes)).where(F.col("s") >= needed(F.greatest(p * F.col("nb"), least_of_class)))).withColumnRenamed("s", "sx")
+    ey = y_named(elements.where(F.col("s") >= needed(p * F.col("nb")))).withColumnRenamed("s", "sy")
+    apart = F.col("lx") != F.col("ly")
+    need = F.greatest(F.col("gx") - (1 - q) * F.col("hy"), F.col("gy") - (1 - q) * F.col("hx")) - slack
+    sharing = ex.join(ey, ["a", "c", "e"]).where(apart & (2 * F.least("sx", "sy") >= need))
+    x = x_named(rows.where("la <> lb").withColumn("c", F.explode(x_classes)))
+    smaller = x.join(y_named(rows.where("h > 0")), ["a", "c"]).where(apart & (need <= 0))
     return sharing.select("x", "y").union(smaller.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+#: Sizes of one class differ by less than this factor.
+_SIZE_STEP = 1.12
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(_SIZE_STEP)) + F.lit(1e-9))
+
+
 def links_between(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that connect all candidates of (bucket, id) as far as their sets do."""
     groups = stage(compared(hub_pairs(members), sets, percent), "hub-groups")
