@@ -215,3 +215,18 @@ def test_long_and_repetitive_texts(spark):
     docs = [(1, "again " * 5000), (2, "again " * 4000 + "end"), (3, " ".join(f"t{i}" for i in range(30_000))), (4, " ".join(f"t{i}" for i in range(10_000, 30_000)))]
     got = {x["doc_id"]: x for x in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).where("n_words > 1000").collect()}
     assert got[4]["start_word"] == 0 and got[4]["end_word"] == 20_000 and got[4]["source_start"] == 10_000
+
+
+def test_passages_with_other_words_between_are_judged_apart(spark):
+    r = random.Random(11)
+    docs, want = [], []
+    for d in range(0, 40, 2):
+        same = [words(r, 51) for _ in range(4)]
+        one, two = words(r, 5), words(r, 9)
+        for p in same:
+            want.append((d + 1, len(two), len(two) + 51))
+            one, two = one + p + words(r, 20), two + p + words(r, 20)
+        docs += [(d, " ".join(one)), (d + 1, " ".join(two))]
+    got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    missed = [x for x in want if not any(g["doc_id"] == x[0] and g["start_word"] <= x[1] and g["end_word"] >= x[2] for g in got)]
+    assert not missed
