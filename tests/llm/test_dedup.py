@@ -230,3 +230,16 @@ def test_passages_with_other_words_between_are_judged_apart(spark):
     got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     missed = [x for x in want if not any(g["doc_id"] == x[0] and g["start_word"] <= x[1] and g["end_word"] >= x[2] for g in got)]
     assert not missed
+
+
+def test_passages_whose_pieces_stand_in_earlier_documents(spark):
+    r = random.Random(12)
+    docs, want = [], []
+    for d in range(0, 800, 20):
+        lines = [words(r, 10) for _ in range(6)]
+        docs += [(d + i, " ".join(words(r, 20) + lines[i] + lines[i + 1] + words(r, 20))) for i in range(5)]
+        p = [x for line in lines for x in line]
+        docs += [(d + 8, " ".join(words(r, 15) + p + words(r, 20))), (d + 9, " ".join(words(r, 25) + p + words(r, 11)))]
+        want.append(d + 9)
+    got = {g["doc_id"]: (g["region_start"], g["region_end"]) for g in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: (25, 85) for d in want}
