@@ -243,3 +243,19 @@ def test_passages_whose_pieces_stand_in_earlier_documents(spark):
         want.append(d + 9)
     got = {g["doc_id"]: (g["region_start"], g["region_end"]) for g in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: (25, 85) for d in want}
+
+
+@pytest.mark.parametrize("every", [5, 7, 10, 20])
+def test_passages_with_evenly_changed_words(spark, every):
+    r = random.Random(every)
+    docs, least = [], 0.9
+    for t in range(40):
+        p = words(r, 80)
+        q = list(p)
+        for at in range(every // 2, 80, every):
+            q[at] = "changed"
+        docs += [(2 * t, " ".join(words(r, 40) + p + words(r, 30))), (2 * t + 1, " ".join(words(r, 22) + q + words(r, 50)))]
+    got = passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    caught = {g["doc_id"] for g in got if g["source_id"] == g["doc_id"] - 1 and g["region_start"] <= 38 and g["region_end"] >= 86}
+    assert len(caught) >= least * 40
+    assert all(abs(g["region_start"] - 22) <= 16 and abs(g["region_end"] - 102) <= 16 for g in got)
