@@ -196,3 +196,27 @@ def test_streams_agree_with_batches(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("sessions").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_queries_of_models_and_microstates_run_with_full_defaults(spark, data, monkeypatch):
+    from wavemill import catalog
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def cluster(samples, n_states=4, n_init=10, max_iter=1000, seed=42):
+        seen["microstates"] = (n_states, n_init, max_iter)
+        raise Stop
+
+    def create(name, seed=42, n_rows=None, _create=models.create, **params):
+        seen[name] = _create(name, seed, n_rows, **params).getNumTrees()
+        raise Stop
+
+    monkeypatch.setattr(microstates, "cluster", cluster)
+    monkeypatch.setattr(models, "create", create)
+    for name in ("microstate_clusters", "random_forest"):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, data)
+    assert seen == {"microstates": (4, 10, 1000), "random_forest": 100}

@@ -202,7 +202,7 @@ register("zscore", "DSP9", "subject:s ch:s n:l x:d", lambda s, d: microstates.zs
 _GFP = ", z AS (SELECT subject, ch, n, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS x FROM rec WINDOW w AS (PARTITION BY subject, ch)), g AS (SELECT subject, n, stddev_pop(x) AS gfp, n % 8 AS state FROM z GROUP BY subject, n)"
 register("gfp", "MIC12", "subject:s state:l mean_gfp:d std_gfp:d max_gfp:d", lambda s, d: microstates.field_power_stats(microstates.field_power(microstates.zscore(T.rec(s, d))), _gfp_labels(s, d)), T.sql(_GFP + " SELECT subject, state, avg(gfp) AS mean_gfp, stddev_pop(gfp) AS std_gfp, max(gfp) AS max_gfp FROM g GROUP BY GROUPING SETS ((subject, state), (subject))", "rec"))
 register("topographic", "MIC13", "state:l mean_amplitude:d std_amplitude:d max_amplitude:d min_amplitude:d topographic_entropy:d", lambda s, d: microstates.topographic(T.rec(s, d).groupBy(F.col("subject").cast("int").alias("state"), "ch").agg(F.avg("x").alias("v"))), T.sql(", t AS (SELECT CAST(subject AS INTEGER) AS state, ch, avg(x) AS v FROM rec GROUP BY ALL), q AS (SELECT *, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS q FROM t WINDOW w AS (PARTITION BY state)), u AS (SELECT *, q / sum(q) OVER (PARTITION BY state) AS u FROM q) SELECT state, avg(v) AS mean_amplitude, stddev_pop(v) AS std_amplitude, max(v) AS max_amplitude, min(v) AS min_amplitude, coalesce(sum(-u * ln(u)) FILTER (u > 0), 0) AS topographic_entropy FROM u GROUP BY state", "rec"))
-register("microstate_clusters", "MIC1 MIC3 MIC4 MIC5", "subject:s n:l state:l", lambda s, d: microstates.cluster(microstates.zscore(T.rec(s, d)), 4, n_init=2, max_iter=50)[0])
+register("microstate_clusters", "MIC1 MIC3 MIC4 MIC5", "subject:s n:l state:l", lambda s, d: microstates.cluster(microstates.zscore(T.rec(s, d)), 4)[0])
 register("epoch_microstates", "MIC14", "subject:s state:l coverage:d", lambda s, d: microstates.coverage(T.seq(s, d).withColumn("subject", F.concat("subject", F.lit("_epoch_"), F.floor(F.col("n") / 10).cast("string"))), 5), T.sql(", s2 AS (SELECT subject || '_epoch_' || (n // 10) AS subject, state FROM seq), g2 AS (SELECT subject, CAST(unnest(range(5)) AS INTEGER) AS state FROM (SELECT DISTINCT subject FROM s2)), c2 AS (SELECT subject, state, count(*) AS c FROM s2 GROUP BY ALL), t2 AS (SELECT subject, count(*) AS total FROM s2 GROUP BY subject) SELECT subject, state, coalesce(c, 0) / total AS coverage FROM g2 LEFT JOIN c2 USING (subject, state) JOIN t2 USING (subject)", "seq"))
 
 # --- connectivity and graphs -----------------------------------------------------------------------------------------
@@ -364,7 +364,7 @@ def _fitted(name: str, **params) -> Query:
 
 _METRICS = "accuracy:d balanced_accuracy:d precision:d recall:d f1:d"
 register("logistic_regression", "ML9 ML13 ML14", _METRICS, _fitted("logistic_regression"))
-register("random_forest", "ML7 ML13", _METRICS, _fitted("random_forest", n_estimators=20))
+register("random_forest", "ML7 ML13", _METRICS, _fitted("random_forest"))
 register("svm", "ML6 ML13", _METRICS, _fitted("svm"))
 
 
