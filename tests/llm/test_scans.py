@@ -210,3 +210,9 @@ def test_cosine_against_plain_python(spark):
             own = Counter(licences.terms_of(text))
             cos.append(sum(tf[t] * c * idf[t] ** 2 for t, c in own.items()) / norm / math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())))
         assert r["b"][0]["similarity"] == pytest.approx(max(cos), abs=1e-8)
+
+
+def test_licences_are_inherited_from_any_depth(spark):
+    files = [(1, "LICENSE", "Released under the MIT License."), (2, "/".join(["d"] * 50) + "/x.txt", "nothing here")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert (got[2]["licence"], got[2]["basis"], got[2]["levels_up"]) == ("MIT", "inherited", 50)

@@ -29,7 +29,6 @@ from wavemill.llm.common import stage
 
 MIN_SIMILARITY = 0.6
 FILE_SHARE = 0.3
-MAX_DEPTH = 32
 
 #: Names of licences and the sentences by which files state them.
 TEMPLATES = [
@@ -138,7 +137,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_sim
     )
     parts = F.split("dir", "/")
     ups = own.where(F.col("best").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
-    above = ups.select("dir", F.explode(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(MAX_DEPTH)))).alias("levels_up")).select(
+    above = ups.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("levels_up")).select(
         "dir", "levels_up", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.size(F.split("dir", "/")) - F.col("levels_up")), "/").alias("at")
     )
     nearest = above.join(declared, "at").groupBy("dir").agg(F.min(F.struct("levels_up", "at", "declared")).alias("nearest"))
