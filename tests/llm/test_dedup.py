@@ -124,8 +124,58 @@ def test_cover_tree_covers_and_nests():
     for k in range(len(t.center)):
         own = t.below(k)
         assert covertree.distances(x[own], x[t.center[k]]).max() <= t.radius[k] + 1e-6
-        if len(t.children[k]):
-            assert sum(t.size_of[c] for c in t.children[k]) == len(own) and t.center[t.children[k][0]] == t.center[k]
+        if t.kids[k]:
+            assert sum(len(t.below(c)) for c in t.children(k)) == len(own) and t.center[t.first_kid[k]] == t.center[k]
+
+
+@pytest.mark.parametrize("dim", [12, 64, 128, 384, 768])
+def test_trees_of_copies_end(dim):
+    r = np.random.default_rng(dim)
+    for _ in range(200):
+        v = r.standard_normal(dim)
+        x = np.tile(v / np.linalg.norm(v), (int(r.integers(1, 60)), 1))
+        links, _, forest = covertree.dual_links(covertree.CoverTree(x), None)
+        assert (links == len(x) - 1).all() and len({forest.find(i) for i in range(len(x))}) == 1
+    x = x[:1] + 1e-8 * r.standard_normal((400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (covertree.dual_links(covertree.CoverTree(x), None)[0] == 399).all()
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.3, 3.0])
+def test_dual_traversal_against_all_pairs(spread):
+    r = np.random.default_rng(7)
+    x = np.repeat(r.standard_normal((20, 10)), 15, axis=0) + spread * r.standard_normal((300, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = r.integers(1, 5, 300)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert (covertree.dual_links(covertree.CoverTree(x), None, 0.98, w)[0] == near @ w).all()
+    a, b, _ = covertree.dual_links(covertree.CoverTree(x[:130]), covertree.CoverTree(x[130:]), 0.98, w[:130], w[130:])
+    assert (a == near[:130, 130:] @ w[130:]).all() and (b == near[130:, :130] @ w[:130]).all()
+
+
+def test_cells_of_several_levels_keep_every_pair(spark):
+    """Pivots of pivots: with small blocks the upper levels are three deep, and repeated names stand for several vectors."""
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((150, 6)), 8, axis=0) + 0.05 * r.standard_normal((1200, 6))
+    x[400:700] = x[5]
+    name = [int(i) for i in r.permutation(1200)]
+    name[10:14] = name[20:24]
+    label = (np.arange(1200) % 11 == 0).astype(int)
+    df = spark.createDataFrame([(name[i], int(label[i]), x[i].tolist()) for i in range(1200)], "vec_id long, label int, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    links = {}
+    for i in range(1200):
+        links[name[i]] = links.get(name[i], 0) + int(near[i].sum())
+    want = union_find(set(name), [(name[a], name[b]) for a, b in zip(*np.nonzero(near)) if a < b])
+    rows = covertree.hashed(covertree.valid(df))
+    cells = covertree.blocks(covertree.classes_of(rows), 16, 4)
+    assert max(c.count(".") for c, in cells.select("cell").distinct().collect()) >= 3 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 16
+    assert cells.count() == len({(label[i], *x[i]) for i in range(1200)})
+    got = covertree.near_duplicates(df, block=16).collect()
+    assert {v["vec_id"]: (v["n_links"], v["component_id"]) for v in got} == {i: (links[i], want[i]) for i in links}
 
 
 @pytest.mark.parametrize("block", [16, 1024])

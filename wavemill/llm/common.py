@@ -22,12 +22,15 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's own checkpoint folder. Only a
+    local session, whose driver and executors are one process, may do without: it writes to the machine's own folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm_dir.get() if jvm_dir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="wavemill-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -41,6 +44,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key held by more than one in so many rows is hot; there are at most so many such keys.
+HOT = 512
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join rows with facts that have one row for each key and in ``weight`` the number of rows that hold it.
+
+    Hot keys, at most ``HOT`` of them whatever the size, are broadcast, so that no task gathers the rows of one; all
+    others are joined through a shuffle. Both tables are read twice: stage them.
+    """
+    total = facts.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    hot = facts.where(F.col(weight) > max(1.0, total / HOT))
+    if hot.isEmpty():
+        return rows.join(facts, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts, keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def crc32_mod(col: Column, m: int) -> Column:
     """crc32 of a value as text, modulo m; a null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(m)

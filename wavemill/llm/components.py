@@ -2,8 +2,8 @@
 
 Every round lets each node tell its neighbours of the least node it knows, first the larger neighbours, then the
 smaller ones, until nothing changes; the number of rounds grows with the logarithm of the longest chain. A node with
-very many links is aggregated on the map side and joined back, never gathered. Tables between rounds are written to
-the shared folder.
+very many links is spread over ``SALTS`` salted groups: the least node is found in each of them, then over them, and
+told to each group, so no task holds all its links. Tables between rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,16 +14,27 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import stage
 
 
+SALTS = 16
+
+
+def _told(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) with m, the least v of each u; and (u, m)."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(part.select("u", "salt").join(least, "u"), ["u", "salt"]), least
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    told, _ = _told(both)
+    return told.where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    across = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    told, least = _told(down)
+    across = told.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return across.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
@@ -55,4 +66,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _is_flat(links: DataFrame) -> bool:
     """Whether no link's lesser end is itself the greater end of another: every id then points at its component."""
-    return links.join(links.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0
+    return links.select("b").distinct().join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()

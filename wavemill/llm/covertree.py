@@ -1,18 +1,22 @@
 """Embedding near-deduplication by dual traversal of cover trees: exact threshold pairs, by label.
 
-Unit vectors of one label are spread over blocks of about ``BLOCK`` vectors: labels with more get pivots (a bounded
-sample), each vector goes to its nearest pivot, and cells with too many vectors are salted into several blocks. Each
-block becomes a cover tree: nested levels whose radii halve, each node knowing the true radius that covers what lies
-below it. Pairs of blocks that their centres' distance and radii don't rule out are traversed together: a pair of nodes
-is dropped if its least possible distance exceeds the threshold's, counted at once if its greatest one doesn't reach
-it, and split otherwise; single vectors are compared by their cosine in double precision. Links inside dense groups
-are therefore counted, not listed; each pair of blocks gives only a spanning forest of its links, from which
-components are found on Spark.
+Equal unit vectors of one label are one class with a weight, so copies are counted and never compared. The classes of a
+label form a tree. Its upper levels are made on Spark: a cell of more than ``block`` vectors gets pivots (a sample of
+at most about ``PIVOTS`` of its vectors), each vector goes to its nearest pivot, and the new cells are divided again
+until each holds at most ``block``. Such a block becomes a cover tree, built once and stored: nested levels whose radii
+halve, each node knowing the true radius that covers what lies below it.
+
+The traversal goes down the upper levels as joins: a pair of cells lives on as the pairs of its children, unless their
+centres' distance and covering radii rule out every link. What is left are pairs of blocks, whose trees are traversed
+together: a pair of nodes is dropped if its least possible distance exceeds the threshold's, counted at once if its
+greatest one doesn't reach it, and split otherwise; leaves are compared by their cosines in double precision. Links
+inside dense groups are therefore counted, not listed; each pair of blocks gives only a spanning forest of its links,
+from which components are found on Spark.
 
 Cases: a vector whose label or embedding is null, that has no or only zero components, or a null or non-finite one,
 links with nothing and is its own component. Vectors of different lengths don't link. Rows that repeat a vec_id are
 separate vectors with one name: links among them count, and the row's count is that of the name. A null vec_id links
-with nothing. Extra columns aren't carried. An empty table gives an empty result.
+with nothing. Extra columns aren't carried. An empty table gives an empty result. Ids are integers.
 """
 
 from __future__ import annotations
@@ -22,77 +26,83 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import small_batches, stage
+from wavemill.llm.common import join_hot, small_batches, stage
 from wavemill.llm.components import components
 
 COSINE = 0.98
 BLOCK = 1024
-#: Pivots of one label at most; beyond, cells are salted.
-MAX_PIVOTS = 256
-#: Distances nearer than this to a bound are settled by splitting, single vectors by their cosine.
+#: Pivots of one cell, about; and vectors that meet them in one task.
+PIVOTS = 64
+CHUNK = 8192
+#: Upper levels at most; a cell that is still too large then is divided by hash, into blocks of about the right size,
+#: which costs pairs but loses none.
+LEVELS = 12
+#: Distances nearer than this to a bound are settled by splitting, leaves by their cosines.
 MARGIN = 1e-7
 TOP_RADIUS = 2.0
-LEVELS = 40
+#: A node of so few vectors, or of so small a radius, has no children.
+LEAF, LEAF_RADIUS = 12, 1e-6
 
 
 class CoverTree:
-    """A cover tree over unit vectors x (n, d). Nodes are numbered; order[lo:hi] are the vectors below a node."""
+    """A cover tree over unit vectors x (n, d). order[lo:hi] are the vectors below a node; its children are the nodes
+    first_kid .. first_kid + kids - 1, the first of which has the same centre."""
 
-    def __init__(self, x: np.ndarray):
+    NODE = np.dtype([("center", np.int64), ("lo", np.int64), ("hi", np.int64), ("first_kid", np.int64), ("kids", np.int64), ("radius", np.float64)])
+
+    def __init__(self, x: np.ndarray, order: np.ndarray | None = None, nodes: np.ndarray | None = None):
         self.x = x
-        self.order = np.arange(len(x))
-        self.center: list[int] = []
-        self.radius: list[float] = []
-        self.span: list[tuple[int, int]] = []
-        self.children: list[np.ndarray] = []
-        if len(x):
-            self._build()
-        self.center_of = np.array(self.center, np.int64)
-        self.radius_of = np.array(self.radius)
-        self.size_of = np.array([b - a for a, b in self.span], np.int64)
-
-    def _node(self, center: int, lo: int, hi: int, far: np.ndarray) -> int:
-        self.center.append(center)
-        self.radius.append(float(far.max()) if hi - lo > 1 else 0.0)
-        self.span.append((lo, hi))
-        self.children.append(np.zeros(0, np.int64))
-        return len(self.center) - 1
-
-    def _build(self) -> None:
-        far = distances(self.x, self.x[0])
-        stack = [(self._node(0, 0, len(self.x), far), TOP_RADIUS, far)]
+        if nodes is None:
+            order, nodes = self._built() if len(x) else (np.zeros(0, np.int64), np.zeros(0, self.NODE))
+        self.order, self.nodes = order, nodes
+        self.center, self.radius, self.kids, self.first_kid = nodes["center"], nodes["radius"], nodes["kids"], nodes["first_kid"]
+        self.lo, self.hi = nodes["lo"], nodes["hi"]
+
+    def _built(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.arange(len(self.x))
+        rows: list[list] = []
+
+        def node(center: int, lo: int, hi: int, far: np.ndarray) -> int:
+            rows.append([center, lo, hi, 0, 0, float(far.max())])
+            return len(rows) - 1
+
+        far = self._from(order, 0)
+        stack = [(node(0, 0, len(order), far), TOP_RADIUS, far)]
         while stack:
-            node, radius, far = stack.pop()
-            lo, hi = self.span[node]
-            if hi - lo == 1 or self.radius[node] == 0.0:
+            k, half, far = stack.pop()
+            center, lo, hi, _, _, radius = rows[k]
+            if hi - lo <= LEAF or radius <= LEAF_RADIUS:
                 continue
-            half = radius / 2
-            while half >= self.radius[node]:  # levels at which nothing would change
+            while half >= radius:  # levels at which nothing would change
                 half /= 2
-            own, kids, at = self.order[lo:hi].copy(), [], lo
-            center = self.center[node]
+            own, at, first = order[lo:hi].copy(), lo, len(rows)
             while len(own):
-                if kids:
-                    center = own[0]
-                    far = distances(self.x[own], self.x[center])
-                near = far <= half
-                near[own == center] = True
+                if at > lo:
+                    center = int(own[0])
+                    far = self._from(own, center)
+                near = far <= half  # the centre's own distance is 0, and that of the farthest vector exceeds half
                 mine = own[near]
-                self.order[at : at + len(mine)] = mine
-                kid = self._node(int(center), at, at + len(mine), far[near])
-                kids.append(kid)
-                if len(mine) > 1:
-                    stack.append((kid, half, far[near]))
+                order[at : at + len(mine)] = mine
+                stack.append((node(center, at, at + len(mine), far[near]), half, far[near]))
                 at += len(mine)
                 own, far = own[~near], far[~near]
-            self.children[node] = np.array(kids, np.int64)
+            rows[k][3:5] = first, len(rows) - first
+        return order, np.array([tuple(r) for r in rows], self.NODE)
+
+    def _from(self, own: np.ndarray, center: int) -> np.ndarray:
+        """Distances of some vectors from one of them; exactly 0 for itself, whatever rounding says."""
+        far = distances(self.x[own], self.x[center])
+        far[own == center] = 0.0
+        return far
 
     def below(self, node: int) -> np.ndarray:
-        lo, hi = self.span[node]
-        return self.order[lo:hi]
+        return self.order[self.lo[node] : self.hi[node]]
+
+    def children(self, node: int) -> np.ndarray:
+        return self.first_kid[node] + np.arange(self.kids[node])
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -111,19 +121,22 @@ class Forest:
             i = self.up[i]
         return i
 
-    def join(self, ids) -> None:
-        first = self.find(int(ids[0]))
-        for i in ids[1:]:
-            other = self.find(int(i))
-            if other != first:
-                first, other = min(first, other), max(first, other)
-                self.up[other] = first
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def join_all(self, ids: np.ndarray) -> None:
+        for i in ids[1:].tolist():
+            self.join(int(ids[0]), i)
 
 
-def dual_links(a: CoverTree, b: CoverTree | None, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, Forest]:
-    """Numbers of links of each vector of a and of b, and the forest over a's vectors and then b's. b None: a with itself."""
+def dual_links(a: CoverTree, b: CoverTree | None, cosine: float = COSINE, weight_a: np.ndarray | None = None, weight_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """Weights of what each vector of a and of b links with, and the forest over a's vectors and then b's. b None: a with
+    itself. Without weights each vector weighs 1."""
     same = b is None
-    b = a if same else b
+    wa = np.ones(len(a.x), np.int64) if weight_a is None else weight_a
+    b, wb = (a, wa) if same else (b, np.ones(len(b.x), np.int64) if weight_b is None else weight_b)
     na, nb = len(a.x), 0 if same else len(b.x)
     links_a = np.zeros(na, np.int64)
     links_b = links_a if same else np.zeros(nb, np.int64)
@@ -136,43 +149,46 @@ def dual_links(a: CoverTree, b: CoverTree | None, cosine: float = COSINE) -> tup
     def all_pairs(u: int, v: int) -> None:
         own, other = a.below(u), b.below(v)
         if same and u == v:
-            links_a[own] += len(own) - 1
-            forest.join(own)
+            links_a[own] += wa[own].sum() - wa[own]
+            forest.join_all(own)
             return
-        links_a[own] += len(other)
-        links_b[other] += len(own)
-        forest.join(np.concatenate([own, other + shift]))
+        links_a[own] += wb[other].sum()
+        links_b[other] += wa[own].sum()
+        forest.join_all(np.concatenate([own, other + shift]))
+
+    def leaves(u: int, v: int) -> None:
+        own, other = a.below(u), b.below(v)
+        hit = a.x[own] @ b.x[other].T >= cosine
+        if same and u == v:
+            hit = np.triu(hit, 1)
+        links_a[own] += hit @ wb[other]
+        links_b[other] += wa[own] @ hit
+        i, j = np.nonzero(hit)
+        for p, q in zip(own[i].tolist(), (other[j] + shift).tolist()):
+            forest.join(p, q)
 
     stack = [(0, 0)]
     while stack:
         u, v = stack.pop()
         itself = same and u == v
         if itself and 2 * a.radius[u] <= reach - MARGIN:
-            if a.size_of[u] > 1:
-                all_pairs(u, u)
+            all_pairs(u, u)
             continue
-        cu = a.children[u] if len(a.children[u]) else np.array([u])
-        cv = b.children[v] if len(b.children[v]) else np.array([v])
-        cos = a.x[a.center_of[cu]] @ b.x[b.center_of[cv]].T
-        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
-        ru, rv = a.radius_of[cu][:, None], b.radius_of[cv][None, :]
-        single = (ru == 0) & (rv == 0)
-        linked = np.where(single, cos >= cosine, dist + ru + rv <= reach - MARGIN)
-        open_ = ~single & ~linked & (dist - ru - rv <= reach + MARGIN)
+        if not a.kids[u] and not b.kids[v]:
+            leaves(u, v)
+            continue
+        cu = a.children(u) if a.kids[u] else np.array([u])
+        cv = b.children(v) if b.kids[v] else np.array([v])
+        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a.x[a.center[cu]] @ b.x[b.center[cv]].T)))
+        spread = a.radius[cu][:, None] + b.radius[cv][None, :]
+        linked = dist + spread <= reach - MARGIN
+        open_ = ~linked & (dist - spread <= reach + MARGIN)
         if itself:
             upper = np.triu(np.ones(dist.shape, bool), 1)
             linked &= upper
             open_ &= upper
             stack.extend((int(k), int(k)) for k in cu)
-        plain = linked & (a.size_of[cu] == 1)[:, None] & (b.size_of[cv] == 1)[None, :]
-        if plain.any():
-            i, j = np.nonzero(plain)
-            ia, jb = a.center_of[cu[i]], b.center_of[cv[j]]
-            np.add.at(links_a, ia, 1)
-            np.add.at(links_b, jb, 1)
-            for p, q in zip(ia.tolist(), (jb + shift).tolist()):
-                forest.join((p, q))
-        for i, j in zip(*np.nonzero(linked & ~plain)):
+        for i, j in zip(*np.nonzero(linked)):
             all_pairs(int(cu[i]), int(cv[j]))
         stack.extend((int(cu[i]), int(cv[j])) for i, j in zip(*np.nonzero(open_)))
     return links_a, links_b, forest
@@ -183,95 +199,188 @@ def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    rows = vectors.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("vec_id"), F.col(label).cast("string").alias("label"), x.alias("x"), finite.alias("finite"))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), x.alias("x"), finite.alias("finite"))
     # the largest component is divided out first, so that no square over- or underflows
     rows = rows.where(F.col("finite") & (F.size("x") > 0)).withColumn("top", F.array_max(F.transform("x", lambda v: F.abs(v)))).where("top > 0")
     rows = rows.withColumn("x", F.transform("x", lambda v: v / F.col("top"))).withColumn("norm", size)
     return rows.select("vec_id", F.concat_ws("/", "label", F.size("x").cast("string")).alias("label"), F.transform("x", lambda v: v / F.col("norm")).alias("x"))
 
 
-def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Spread unit vectors over blocks: label, block, vec_id, x."""
-    small_batches(rows.sparkSession, 2000)
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    rate = F.least(F.lit(1.0) / block, F.lit(float(MAX_PIVOTS)) / F.col("n"))
-    large = counts.where(F.col("n") > block).select("label", rate.alias("rate"))
-    picked = rows.join(large, "label").where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    pivots = picked.groupBy("label").agg(F.array_sort(F.collect_list("x")).alias("pivots"))  # about MAX_PIVOTS for each label
+def hashed(rows: DataFrame) -> DataFrame:
+    """Add 128 bits that tell the classes of equal vectors of one label apart."""
+    return rows.withColumn("h1", F.xxhash64("label", "x")).withColumn("h2", F.xxhash64(F.lit(17), "x", "label"))
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.zeros(batch.num_rows, np.int32)
-            names, pivot = batch.column("label").to_pylist(), batch.column("pivots")
-            first = {n: k for k, n in reversed(list(enumerate(names)))}
-            xs = batch.column("x").to_pylist()
-            for name, k in first.items():
-                if (p := pivot[k].as_py()) is not None:
-                    rows_ = [i for i, n in enumerate(names) if n == name]
-                    cell[rows_] = (np.array([xs[i] for i in rows_]) @ np.array(p).T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("vec_id"), batch.column("x"), pa.array(cell)], names=["label", "vec_id", "x", "cell"])
-
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    placed = stage(rows.join(pivots, "label", "left").select("label", "vec_id", "x", "pivots").mapInArrow(nearest, f"label string, vec_id {kind}, x array<double>, cell int"), "vector-cells")
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("vec_id", "x"), F.col("salts"))
-    return placed.join(sizes, ["label", "cell"]).select("label", F.concat_ws(".", "cell", salt).alias("block"), "vec_id", "x")
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """label, x and weight of each class of equal vectors, and its name: the least vec_id."""
+    return rows.groupBy("h1", "h2").agg(F.first("label").alias("label"), F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("x").alias("x"))
+
+
+def _divide(big: DataFrame, sizes: DataFrame, pivots: int, level: int) -> DataFrame:
+    """The vectors of overfull cells in new cells: each vector goes to the nearest pivot of its cell."""
+    of = sizes.select("cell", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = big.join(of, "cell")
+    draw = F.pmod(F.xxhash64("h1", "h2", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.where(draw * F.col("n") < pivots).select(F.col("cell").alias("of"), F.col("x").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("h2", "h1"), F.col("chunks")).cast("int")).drop("n", "chunks")
+    fields, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema.fields), big.columns
+
+    def nearest(key: tuple, own: pa.Table, pivot: pa.Table) -> pa.Table:
+        got = own.select(columns)
+        if pivot.num_rows and own.num_rows:
+            p = _matrix(pivot.column("pivot"))
+            p = p[np.lexsort(p.T[::-1])]  # every chunk of a cell numbers its pivots alike
+            at = (_matrix(own.column("x")) @ p.T).argmax(axis=1)
+            names = [f"{c}.{k}" for c, k in zip(own.column("cell").to_pylist(), at.tolist())]
+            got = got.set_column(got.schema.get_field_index("cell"), "cell", pa.array(names, pa.string()))
+        return got
+
+    return rows.groupBy("cell", "chunk").cogroup(picked.groupBy("of", "part")).applyInArrow(nearest, fields)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+
+def blocks(found: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """Add each class's cell, a path of pivot numbers below its label, so that a cell holds at most ``block`` classes."""
+    whole = found.withColumn("cell", F.col("label"))
+    done, level = [], 0
+    while True:
+        sizes = whole.groupBy("cell").agg(F.count("*").alias("n"))
+        large = stage(sizes.where(F.col("n") > block), "large-cells")
+        if large.isEmpty():
+            return _union([*done, whole])
+        done.append(whole.join(large, "cell", "left_anti"))
+        big = whole.join(large, "cell", "left_semi")
+        if level == LEVELS:
+            salt = F.pmod(F.xxhash64("h1", "h2"), F.ceil(F.col("n") / block))
+            return _union([*done, big.join(large, "cell").withColumn("cell", F.concat_ws(".", "cell", salt.cast("string"))).drop("n")])
+        whole, level = stage(_divide(big.select(*found.columns, "cell"), large, pivots, level), "vector-cells"), level + 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def packed(spread: DataFrame) -> DataFrame:
-    """One row for each block: its ids, its matrix, and a centre and radius that cover it."""
+    """One row for each block: ids, weights, matrix, its cover tree, and a centre and radius that cover it."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
+        pdf = pdf.sort_values(["name", "h1", "h2"], kind="stable")
         x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+        tree = CoverTree(x)
         mean = x.mean(axis=0)
         size = np.linalg.norm(mean)
         c = mean / size if size > 1e-9 else x[0]
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64)], "matrix": [x.tobytes()], "centre": [c], "radius": [float(distances(x, c).max())]})
+        return pd.DataFrame({
+            "cell": [pdf["cell"].iloc[0]], "matrix": [x.tobytes()], **{out: [pdf[c].to_numpy(np.int64)] for c, out in (("name", "ids"), ("weight", "weights"), ("h1", "h1"), ("h2", "h2"))},
+            "vectors": [tree.order.tobytes()], "nodes": [tree.nodes.tobytes()], "centre": [c], "radius": [float(distances(x, c).max())],
+        })
+
+    kind = "cell string, matrix binary, ids array<bigint>, weights array<bigint>, h1 array<bigint>, h2 array<bigint>, vectors binary, nodes binary, centre array<double>, radius double"
+    return stage(spread.groupBy("cell").applyInPandas(pack, kind), "vector-blocks")
+
+
+def _dot(p: str, q: str) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+
+def _apart(p: str, q: str) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * _dot(p, q)))
+
 
-    return stage(spread.groupBy("label", "block").applyInPandas(pack, "label string, block string, ids array<bigint>, matrix binary, centre array<double>, radius double"), "vector-blocks")
+def upper_levels(leaves: DataFrame) -> list[DataFrame]:
+    """The cells above and with the blocks, from the labels down: level k has (cell, parent, centre, radius) of the paths
+    of k pivots. A cell's centre is that of one of its children, and its radius covers them all."""
+    depth = F.size(F.split("cell", r"\.(?=[0-9]+(\.[0-9]+)*$)")) - 1
+    rows = stage(leaves.select("cell", "centre", "radius", depth.alias("depth")), "cell-0")
+    deepest = rows.agg(F.max("depth").alias("d")).first()["d"] or 0
+    levels, below = [], None
+    for d in range(deepest, -1, -1):
+        own = rows.where(F.col("depth") == d).select("cell", "centre", "radius")
+        now = own if below is None else own.unionByName(below)
+        now = now.withColumn("parent", F.regexp_replace("cell", r"\.[0-9]+$", "") if d else F.lit(""))
+        now = stage(now, f"cell-level-{d}")
+        levels.append(now)
+        heads = now.groupBy("parent").agg(F.min_by("centre", "cell").alias("centre"))
+        below = now.join(heads.withColumnRenamed("centre", "head"), "parent").groupBy("parent").agg(F.first("head").alias("centre"), F.max(_apart("centre", "head") + F.col("radius")).alias("radius")).withColumnRenamed("parent", "cell")
+    return levels[::-1]
 
 
-def traverse(blocks_: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """For each pair of blocks that may hold links: (a, b, n) rows, n links of vector a, and a forest edge to b if not null."""
+def block_pairs(leaves: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Pairs (one, two) of blocks, one <= two, that their own and their cells' centres and radii don't rule out."""
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
-    small = blocks_.select("label", "block", "centre", "radius")
-    left = small.select("label", F.col("block").alias("one"), F.col("centre").alias("c1"), F.col("radius").alias("r1"))
-    right = small.select("label", F.col("block").alias("two"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
-    cos = F.aggregate(F.zip_with("c1", "c2", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * cos))
-    pairs = left.join(right, "label").where((F.col("one") == F.col("two")) | ((F.col("one") < F.col("two")) & (apart - F.col("r1") - F.col("r2") <= reach + MARGIN))).select("label", "one", "two")
-    pairs = pairs.repartition("label", "one", "two")
-    matrix = lambda name, tag: blocks_.select("label", F.col("block").alias(name), F.col("ids").alias(f"ids{tag}"), F.col("matrix").alias(f"m{tag}"))
-    both = pairs.join(matrix("two", "2"), ["label", "two"]).join(matrix("one", "1"), ["label", "one"])
+    levels = upper_levels(leaves)
+    alive = levels[0].select(F.col("cell").alias("one"), F.col("cell").alias("two"))
+    ended = []
+    for level in levels[1:]:
+        kids = lambda tag, name: level.select(F.col("parent").alias(tag), F.col("cell").alias(name), F.col("centre").alias(f"c_{name}"), F.col("radius").alias(f"r_{name}"))  # noqa: E731, B023
+        # a block that has no children meets the other's children itself
+        far = alive.join(kids("one", "a"), "one", "left").join(kids("two", "b"), "two", "left")
+        far = far.where((F.col("one") != F.col("two")) | (F.col("a") <= F.col("b")) | F.col("a").isNull())
+        known = leaves.select(F.col("cell"), F.col("centre"), F.col("radius"))
+        both = far.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        near = both.where((F.col("a") == F.col("b")) | (_apart("c_a", "c_b") - F.col("r_a") - F.col("r_b") <= reach + MARGIN)).select(F.col("a").alias("one"), F.col("b").alias("two"))
+        half_a = far.where(F.col("a").isNotNull() & F.col("b").isNull()).select(F.col("two").alias("cell"), F.col("a").alias("kid"), F.col("c_a").alias("c"), F.col("r_a").alias("r"))
+        half_b = far.where(F.col("b").isNotNull() & F.col("a").isNull()).select(F.col("one").alias("cell"), F.col("b").alias("kid"), F.col("c_b").alias("c"), F.col("r_b").alias("r"))
+        mixed = half_a.unionByName(half_b).join(known, "cell").where(_apart("c", "centre") - F.col("r") - F.col("radius") <= reach + MARGIN).select(F.col("cell").alias("one"), F.col("kid").alias("two"))
+        ended.append(far.where(F.col("a").isNull() & F.col("b").isNull()).select("one", "two"))
+        alive = stage(near.unionByName(mixed), "cell-pairs")
+    return _union([alive, *ended]).select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
+
+
+def traverse(leaves: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """For each pair of blocks that may hold links, a row for each class with any: h1, h2 and a (its name), the weight n of
+    its links, and b, the name of its root in the pair's forest."""
+    columns = ("ids", "weights", "h1", "h2", "matrix", "vectors", "nodes")
+    pairs = stage(block_pairs(leaves, cosine), "block-pairs").repartition("one", "two")
+    side = lambda name, tag: leaves.select(F.col("cell").alias(name), F.struct(*columns).alias(tag))
+    both = pairs.join(side("two", "right"), "two").join(side("one", "left"), "one").select("left", F.when(F.col("one") != F.col("two"), F.col("right")).alias("right"))
+
+    def tree(row: dict) -> CoverTree:
+        return CoverTree(np.frombuffer(row["matrix"]).reshape(len(row["ids"]), -1), np.frombuffer(row["vectors"], np.int64), np.frombuffer(row["nodes"], CoverTree.NODE))
+
+    def longs(column: str, *rows: dict) -> np.ndarray:
+        return np.concatenate([np.array(r[column], np.int64) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids1 = np.array(batch.column("ids1")[k].as_py(), np.int64)
-                itself = batch.column("one")[k].as_py() == batch.column("two")[k].as_py()
-                a = CoverTree(np.frombuffer(batch.column("m1")[k].as_py()).reshape(len(ids1), -1))
-                if itself:
-                    ids2, b = ids1[:0], None
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                if right is None:
+                    own = (left,)
+                    n, _, forest = dual_links(tree(left), None, cosine, longs("weights", left))
                 else:
-                    ids2 = np.array(batch.column("ids2")[k].as_py(), np.int64)
-                    b = CoverTree(np.frombuffer(batch.column("m2")[k].as_py()).reshape(len(ids2), -1))
-                n1, n2, forest = dual_links(a, b, cosine)
-                ids, n = np.concatenate([ids1, ids2]), n1 if itself else np.concatenate([n1, n2])
-                at = np.flatnonzero(n)
-                roots = [int(ids[forest.find(int(i))]) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(roots, pa.int64()), pa.array(n[at])], names=["a", "b", "n"])
+                    own = (left, right)
+                    one, two, forest = dual_links(tree(left), tree(right), cosine, longs("weights", left), longs("weights", right))
+                    n = np.concatenate([one, two])
+                at, ids = np.flatnonzero(n), longs("ids", *own)
+                roots = ids[[forest.find(int(i)) for i in at]] if len(at) else ids[:0]
+                cols = [longs("h1", *own)[at], longs("h2", *own)[at], ids[at], roots, n[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "a", "b", "n"])
 
-    small_batches(blocks_.sparkSession, 2)
-    return both.select("one", "two", "ids1", "m1", "ids2", "m2").mapInArrow(run, "a bigint, b bigint, n bigint")
+    small_batches(leaves.sparkSession, 2)
+    return both.mapInArrow(run, "h1 bigint, h2 bigint, a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector."""
-    rows = stage(valid(vectors), "unit-vectors")
-    found = stage(traverse(packed(blocks(rows, block)), cosine), "vector-links")
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    where = components(found.select("a", "b"))
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(where.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    rows = stage(hashed(valid(vectors)), "unit-vectors")
+    found = stage(classes_of(rows), "vector-classes")
+    links = stage(traverse(packed(blocks(found, block)), cosine), "vector-links")
+    facts = stage(found.select("h1", "h2", "name", "weight").join(links.groupBy("h1", "h2").agg(F.sum("n").alias("n")), ["h1", "h2"], "left"), "class-links")
+    members = stage(join_hot(rows.select("vec_id", "h1", "h2"), facts, ["h1", "h2"], "weight"), "vector-members")
+    # a name that stands for several classes joins them
+    names = members.groupBy("vec_id").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.sum(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    torn = names.where("least <> most").select("vec_id")
+    joined = members.join(torn, "vec_id", "left_semi").select(F.col("vec_id").alias("a"), F.col("name").alias("b"))
+    where = components(links.select("a", "b").union(joined)).withColumnRenamed("id", "least")
+    sizes = names.groupBy("least").agg(F.count("*").alias("names"))
+    labels = stage(where.join(sizes, "least"), "vector-components")
+    known = join_hot(stage(names.select("vec_id", "least", "n_links"), "vector-names"), labels, ["least"], "names", "left")
+    out = vectors.select("vec_id").join(known, "vec_id", "left")
+    component = F.coalesce("component", "least", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
