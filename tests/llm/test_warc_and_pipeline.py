@@ -42,6 +42,46 @@ def test_files_are_written_and_read(spark, tmp_path):
     assert meta["refers_to"] == "<urn:1>" and meta["block"].startswith("source-status: 404\r\nsource-Server: s\r\nsource-X-Y: z\r\nsource-payload-digest: sha256:")
 
 
+def warc_record(http: bytes, body: bytes, extra: bytes = b"", length: bytes | None = None) -> bytes:
+    block = http + b"\r\n\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:r>\r\n" + extra + b"Content-Length: " + (length or str(len(block)).encode()) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_bodies_are_decoded_and_digests_kept(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    body = "<p>Grüße</p>"
+    packed = gzip.compress(body.encode("latin-1"))
+    chunked = b"%x\r\n" % 5 + packed[:5] + b"\r\n%x;x=y\r\n" % len(packed[5:]) + packed[5:] + b"\r\n0\r\n\r\n"
+    kept = b"WARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\n"
+    records = [
+        warc_record(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked, kept),
+        warc_record(b"HTTP/1.1 200 OK", b"<meta charset='latin-1'>" + body.encode("latin-1"), length=b"unknown"),
+        warc_record(b"HTTP/1.1 200 OK", body.encode(), b"WARC-Target-URI: http://a/\r\n"),
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 1\r\n\r\nx\r\n\r\n",
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(records[2])[:-9])
+    (tmp_path / "d.warc").write_bytes(b"no such thing")
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    rows = [r for r in got if r["record_type"] == "response"]
+    assert len(got) - len(rows) == 2 and len(rows) >= 6
+    assert all("Grüße" in r["payload"] for r in rows)
+    assert sorted({(r["payload_digest"], r["block_digest"]) for r in rows}, key=str)[0] == ("sha1:ABC", "sha1:DEF")
+    assert {r["payload_digest"] for r in rows if r["target_uri"]} == {"sha256:" + hashlib.sha256(body.encode()).hexdigest()}
+    meta = warc.derive(warc.sources_of(warc.read_warc(spark, str(tmp_path / "b.warc")))).where("record_type = 'metadata'").collect()
+    assert len(meta) == 3 and "source-payload-digest: sha1:ABC" in meta[0]["block"] and {m["source_digest"] for m in meta} >= {"sha1:ABC"}
+
+
+def test_long_and_unclosed_markup(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 200_000 + "<!-- never closed <b>x"), (2, "u", "<script>never closed <p>y")], "page_id long, url string, html string")
+    got = {r["source_id"]: r["block"] for r in warc.derive(warc.responses(pages)).where("record_type = 'conversion'").collect()}
+    assert got[1].count("word") == 200_000 and got[1].endswith("x") and got[2].endswith("y")
+
+
 def test_pipeline_equals_its_operators_stage_by_stage(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{data}/documents.parquet")

@@ -5,22 +5,32 @@ each response: a ``metadata`` record (application/warc-fields: the source's HTTP
 title, language, number of links) and a ``conversion`` record (text/plain: the payload's text). Both keep the target URI
 and date, name the source in WARC-Refers-To and carry digests of their own blocks; they name each other in
 WARC-Concurrent-To. Identifiers are made of the source's identifier, so a repeated run gives the same ones. All of
-deriving is DataFrame functions in one pass without a shuffle; only reading WARC files runs Python.
+deriving is DataFrame functions in one pass without a shuffle; only reading WARC files runs Python. ``write_warc`` stores
+records as gzip files of one member each, through Spark's own writer and so on any of its file systems.
 
 Cases: a null payload is empty and gives empty text; a null URI stays null and is left out of the headers; repeated
 rows give repeated records; markup that never closes is text from there on. Extra columns aren't carried. An empty
-table gives no records.
+table gives no records. Of files: a source's own payload digest is kept, and computed from the payload's bytes where it
+has none; chunked and gzip or deflate bodies are undone and characters decoded by the charset named in the headers or
+the markup, UTF-8 otherwise, bytes that can't be decoded becoming U+FFFD; a record whose length is missing or no number
+ends where the next one begins; a file that is no WARC file, or cut off, gives the records before that.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.llm.common import small_batches
+
 VERSION = "WARC/1.1"
 #: The date of response records made of pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
@@ -121,62 +131,132 @@ def derive(sources: DataFrame) -> DataFrame:
     )
 
 
+#: What ends a record in a file.
+RECORD_END = "\r\n\r\n"
+
+
 def serialized(records: DataFrame) -> DataFrame:
-    """Each derived record as the text of a WARC record, in a column ``value``."""
+    """Each derived record as the text of a WARC record, without its end, in a column ``value``."""
     def line(name: str, value: Column) -> Column:
-        return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")))
+        return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\\r\\n]+", " "), F.lit("\r\n")))
 
     head = F.concat(
         F.lit(f"{VERSION}\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("target_uri")), line("WARC-Refers-To", F.col("refers_to")), line("WARC-Concurrent-To", F.col("concurrent_to")),
         line("WARC-Block-Digest", F.col("block_digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length")),
     )
-    return records.select(F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("value"))
+    return records.select(F.concat(head, F.lit("\r\n"), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    serialized(records).write.option("lineSep", "").option("compression", "gzip").text(path)
+    """Write derived records as gzip WARC files into a folder, a file for each partition; each file is one gzip member."""
+    serialized(records).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of a WARC file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(head.get("content-length") or 0)
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+    """Headers (lower-case names) and block of each record of a WARC file, decompressed as it is read."""
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+    try:
+        line = stream.readline()
+        while line:
+            if not line.startswith(b"WARC/"):
+                line = stream.readline()
+                continue
+            head: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            size = head.get("content-length", "")
+            if size.isascii() and size.isdigit():
+                block, line = stream.read(int(size)), stream.readline()
+            else:
+                lines = []
+                while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                    lines.append(line)
+                block = b"".join(lines).removesuffix(RECORD_END.encode())
+            yield head, block
+    except (EOFError, gzip.BadGzipFile, zlib.error):  # a file that is cut off or damaged: what came before it counts
+        return
+
+
+def http_parts(block: bytes) -> tuple[str, bytes]:
+    """The header lines and the raw payload of an HTTP response."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return head.decode("utf-8", "replace"), payload
+
+
+def body_of(http: str, payload: bytes) -> bytes:
+    """A payload without its chunks and compression; one that doesn't decode stays as it is."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:])}
+    if "chunked" in fields.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while m := re.compile(rb"([0-9a-fA-F]{1,8})[^\r\n]*\r\n").match(payload, at):
+            n, at = int(m[1], 16), m.end()
+            parts.append(payload[at : at + n])
+            at += n + 2
+        payload = b"".join(parts) if parts else payload
+    wanted = {"gzip": 47, "x-gzip": 47, "deflate": 47}.get(fields.get("content-encoding", ""))
+    for bits in (wanted, -15) if wanted else ():
+        try:
+            return zlib.decompressobj(bits).decompress(payload)
+        except zlib.error:
+            continue
+    return payload
+
+
+def text_from(http: str, body: bytes) -> str:
+    """A body's characters by the charset of its headers, or else of its markup's first 1,024 bytes."""
+    named = re.search(r"(?im)^content-type:.*charset=[\"']?([\w.:-]+)", http) or re.search(r"(?i)<meta[^>]*charset=[\"']?([\w.:-]+)", body[:1024].decode("latin-1"))
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+RECORD = ("record_type", "record_id", "target_uri", "date", "refers_to", "block_digest", "payload_digest", "http_headers", "payload")
+#: A batch of records read from a file holds about so many characters.
+BATCH_CHARS = 8_000_000
+
+
+def _record(head: dict[str, str], block: bytes) -> tuple:
+    http, payload, digest_ = None, block, head.get("warc-payload-digest")
+    text = None
+    if head.get("warc-type") == "response":
+        http, payload = http_parts(block)
+        body = body_of(http, payload)
+        digest_ = digest_ or "sha256:" + hashlib.sha256(body).hexdigest()
+        text = text_from(http, body)
+    return (*(head.get(k) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-refers-to", "warc-block-digest")), digest_, http, block.decode("utf-8", "replace") if text is None else text)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, one task's share of files at a time; responses are parted into HTTP headers and payload."""
-    names = ("record_type", "record_id", "target_uri", "date", "refers_to", "http_headers", "payload")
+    """Records of WARC files, plain or gzip; responses are parted into HTTP headers and the payload's text. A task holds one
+    file as it is stored and a bounded batch of its records."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * len(RECORD))], names=list(RECORD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                out = []
-                for head, block in parse_records(content):
-                    http, payload = None, block
-                    if head.get("warc-type") == "response":
-                        first, _, payload = block.partition(b"\r\n\r\n")
-                        http = first.decode("utf-8", "replace")
-                    out.append((head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-refers-to"), http, payload.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * len(names))], names=list(names))
+            for content in batch.column("content"):
+                rows, size = [], 0
+                for head, block in parse_records(content.as_py()):
+                    rows.append(_record(head, block))
+                    size += len(block)
+                    if size > BATCH_CHARS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names))
+    small_batches(spark, 1)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in RECORD))
 
 
 def sources_of(records: DataFrame) -> DataFrame:
     """The response records of ``read_warc`` as sources for ``derive``."""
     return records.where(F.col("record_type") == "response").select(
-        F.lit(None).cast("long").alias("source_id"), "record_id", "target_uri", "date", "http_headers", "payload", digest(F.col("payload")).alias("payload_digest")
+        F.lit(None).cast("long").alias("source_id"), "record_id", "target_uri", "date", F.coalesce("http_headers", F.lit("")).alias("http_headers"), F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest"
     )
 
 
