@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import components, covertree, minhash, passages
+from wavemill.llm import components, covertree, minhash, passages, words as word_module
+from wavemill.llm.words import word_hashes
 
 
 def union_find(n, links):
@@ -235,12 +236,33 @@ def test_planted_passages_are_found_and_cut(spark):
     assert passages.find(df.limit(0)).count() == 0
 
 
+def test_hashes_of_words(monkeypatch):
+    monkeypatch.setattr(word_module, "PIECE", 300)
+    r = random.Random(3)
+    alphabet = "abAB \t\n\x0b\x1c\xa0é𝒜\u2028"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(900))) for _ in range(60)] + [None, "", " ", "x" * 1000, "\ud800 a"]
+    h, n = word_hashes(texts)
+    own = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    assert n.tolist() == [len(x) for x in own] and len(h) == n.sum()
+    flat = [w for x in own for w in x]
+    assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(flat, h.tolist())))
+
+
+def test_keys_do_not_depend_on_the_batch():
+    r = random.Random(4)
+    texts = [" ".join(words(r, r.randrange(120))) for _ in range(40)] + ["again " * 300, "", None, "again " * 60]
+    key, owner, at = passages.keys_of(*word_hashes(texts))
+    for k, t in enumerate(texts):
+        one, _, where = passages.keys_of(*word_hashes([t]))
+        assert sorted(zip(key[owner == k].tolist(), at[owner == k].tolist())) == sorted(zip(one.tolist(), where.tolist()))
+
+
 def test_seeds_of_a_shared_run_meet():
     r = random.Random(6)
     for _ in range(50):
         run = words(r, passages.K + passages.W - 1)
         a, b = words(r, r.randrange(40)) + run + words(r, 30), words(r, r.randrange(40)) + run + words(r, 9)
-        one, two = (set(passages.seeds(passages.word_hashes(" ".join(t)))[0].tolist()) for t in (a, b))
+        one, two = (set(passages.seeds(*word_hashes([" ".join(t)]))[0].tolist()) for t in (a, b))
         assert one & two
 
 
