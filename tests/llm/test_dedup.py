@@ -114,6 +114,23 @@ def test_dropping_keeps_one_of_each_group(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    r = random.Random(10)
+    one, two, three = copies(r, 6, 40, 2), copies(r, 6, 50, 2), copies(r, 2, 30, 1)
+    rows = [(4, one[0]), (9, one[1]), (9, two[0]), (12, two[1]), (12, two[1]), (3, three[0]), (3, "something else altogether here now"), (8, three[1]), (20, "alone")]
+    rows = [(str(i).zfill(2), t, k) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_shingles int")
+    got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in minhash.near_duplicates(df, 2, 60).collect()}
+    texts = {i: [] for i, _, _ in rows}
+    for i, t, _ in rows:
+        texts[i].append(grams(t, 2))
+    links = [(a, b) for a in texts for b in texts if any(100 * len(x & y) >= 60 * len(x | y) for x in texts[a] for y in texts[b])]
+    want = union_find(sorted(texts), links)
+    assert {i: c for (i, _), c in got.items()} == want
+    kept = minhash.drop_near_duplicates(df, 2, 60)
+    assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted({c for c in want.values()})
+
+
 def test_cover_tree_covers_and_nests():
     r = np.random.default_rng(3)
     x = r.standard_normal((300, 8))

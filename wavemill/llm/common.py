@@ -67,6 +67,20 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, ho
     return rest.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+#: Rows of one key that meet its wide row in one group, about.
+WIDE_ROWS = 1000
+
+
+def dealt(rows: DataFrame, wide: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """For a join of (narrow, staged) rows with a table of wide rows, one for each key: both with a column ``group_no`` to
+    join on as well. A key of many rows is dealt by the column ``by`` into groups of about ``WIDE_ROWS``, and its wide row
+    goes to each group; nothing wide is broadcast."""
+    sizes = stage(rows.groupBy(key).agg(F.count("*").alias("held_by")), "key-sizes")
+    groups = F.ceil(F.col("held_by") / WIDE_ROWS).cast("int")
+    one = join_hot(rows, sizes, [key], "held_by").withColumn("group_no", F.pmod(F.xxhash64(by), groups).cast("int")).drop("held_by")
+    return one, wide.join(sizes, key).withColumn("group_no", F.explode(F.sequence(F.lit(0), groups - 1))).drop("held_by")
+
+
 def crc32_mod(col: Column, m: int) -> Column:
     """crc32 of a value as text, modulo m; a null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(m)

@@ -15,8 +15,11 @@ With 4 slots a band and 32 bands, two sets of similarity 0.8 share no bucket wit
 
 Cases: a text without words has an empty set and links with nothing, as does a null text. With fewer words than a
 shingle, the whole sequence is the one shingle. A row with a null doc_id is linked with nothing and its component is
-null; rows of one doc_id are one document each with the same id: all of them take part, and share the component of the
-least of what they link to. Ties go to the smallest doc_id. Extra columns aren't carried.
+null; rows of one doc_id, with one text or several, are one document: each text's links count, and all rows share the
+component of the least doc_id that any of them reaches. ``kept`` is true of every row of the least doc_id;
+``drop_near_duplicates`` keeps one row of those, that of the least text.
+Extra columns aren't carried by ``near_duplicates``. An empty table gives an empty result. Ids may be of any type that
+orders.
 """
 
 from __future__ import annotations
@@ -30,45 +33,40 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import small_batches, stage
+from wavemill.llm.common import dealt, join_hot, small_batches, stage
 from wavemill.llm.components import components
+from wavemill.llm.words import mix, word_hashes
 
 SHINGLE = 5
 SLOTS, BAND = 128, 4
 PERCENT = 80
-_WORDS = 300_000
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * _A
-    z = (z ^ (z >> np.uint64(27))) * _B
-    return z ^ (z >> np.uint64(31))
-
-
-_word_hash: dict[bytes, int] = {}
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    try:
-        h = [_word_hash[w] for w in words]
-    except KeyError:
-        if len(_word_hash) > _WORDS:
-            _word_hash.clear()
-        for w in set(words).difference(_word_hash):
-            _word_hash[w] = xxhash.xxh3_64_intdigest(w)
-        h = [_word_hash[w] for w in words]
-    v = np.array(h, np.uint64)
-    k = min(size, len(words))
-    n = len(words) - k + 1
+_mix = mix
+
+
+def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    h, n = word_hashes(texts)
+    whole = _mix(_rolled(h, size) + np.uint64(size))
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= size:
+            out.append(np.unique(whole[at : at + k - size + 1]))
+        elif k:
+            out.append(_mix(_rolled(h[at : at + k], k) + np.uint64(k)))
+        else:
+            out.append(h[:0])
+        at += k
+    return out
+
+
+def _rolled(v: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k values from each place on."""
+    n = max(0, len(v) - k + 1)
     out = v[:n].copy()
     for j in range(1, k):
         out = _mix(out + _G) ^ v[j : j + n] * _A
-    return np.unique(_mix(out + np.uint64(k)))
+    return out
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -128,7 +126,7 @@ def signed(docs: DataFrame, size: int, slots: int = SLOTS, band: int = BAND) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            ids, sets = batch.column("doc_id"), [shingles(t, size) for t in batch.column("text").to_pylist()]
+            ids, sets = batch.column("doc_id"), shingles(batch.column("text").to_pylist(), size)
             has_id = ids.is_valid().to_pylist()
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and ok else None for s, ok in zip(sets, has_id)]
             new = {d: s for d, s in zip(digest, sets) if d is not None and d not in known}
@@ -148,25 +146,29 @@ def signed(docs: DataFrame, size: int, slots: int = SLOTS, band: int = BAND) ->
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its set as an array."""
+    """id and its set as an array, of documents with an ``id``, a ``text`` and the ``digest`` of the set: a text with another
+    set, of the same doc_id, is left out."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
+            got = shingles(batch.column("text").to_pylist(), size)
+            own = [k for k, (s, d) in enumerate(zip(got, batch.column("digest").to_pylist())) if xxhash.xxh3_128_digest(s.tobytes()) == d]
+            sets = [got[k].view(np.int64) for k in own]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "elements"])
+            elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own, pa.int64())), elements], names=["id", "elements"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, elements array<bigint>")
+    return docs.select("id", "text", "digest").mapInArrow(run, "id bigint, elements array<bigint>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) with the sizes of their sets (na, nb) and of what they have in common, the elements that b has and a
+    """Staged pairs (a, b) with the sizes of their sets (na, nb) and of what they have in common, the elements that b has and a
     hasn't, and whether the common part is at least ``percent`` hundredths of the union."""
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("added", F.array_except("eb", "ea"))
+    narrow, hubs = dealt(pairs, left, "a", "b")
+    both = narrow.join(right, "b").join(hubs, ["a", "group_no"]).withColumn("added", F.array_except("eb", "ea"))
     na, nb = F.size("ea").cast("long"), F.size("eb").cast("long")
     common = nb - F.size("added")
     return both.select(*pairs.columns, na.alias("na"), nb.alias("nb"), common.alias("common"), "added", (100 * common >= percent * (na + nb - common)).alias("linked"))
@@ -178,15 +180,16 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     The common original of edited copies shares more buckets with them than they do with one another.
     """
     known = members.groupBy("id").agg(F.count("*").alias("n"))
-    scored = members.join(known, "id")
-    hubs = scored.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("id")).alias("first"))).alias("hub")).select("bucket", (-F.col("hub.first")).alias("a"))
-    return scored.join(hubs, "bucket").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    scored = stage(members.join(known, "id"), "scored")
+    hubs = stage(scored.groupBy("bucket").agg(F.min(F.struct((-F.col("n")).alias("few"), "id")).alias("hub"), F.count("*").alias("size")).select("bucket", F.col("hub.id").alias("a"), "size"), "bucket-hubs")
+    return join_hot(scored, hubs, ["bucket"], "size").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
 
 
 def labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
     """Add the component of an id as a column; an id without links is its own."""
-    by = labels.select(F.col("id").alias(column), F.col("component"))
-    return rows.join(by, column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
+    sizes = rows.groupBy(column).agg(F.count("*").alias("_n"))
+    by = stage(labels.select(F.col("id").alias(column), F.col("component")).join(sizes, column), "labels")
+    return join_hot(rows, by, [column], "_n", "left").withColumn(name, F.coalesce("component", column)).drop("component", "_n")
 
 
 def left_apart(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -243,41 +246,63 @@ def _size_class(size: Column) -> Column:
 
 def links_between(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that connect all candidates of (bucket, id) as far as their sets do."""
-    groups = stage(compared(hub_pairs(members), sets, percent), "hub-groups")
+    groups = stage(compared(stage(hub_pairs(members), "hub-pairs"), sets, percent), "hub-groups")
     links = groups.where("linked").select("a", "b")
     labels = components(links)
-    named = labelled(labelled(groups, labels, "a", "la"), labels, "b", "lb")
-    more = stage(compared(left_apart(named, percent), sets, percent).where("linked").select("a", "b"), "apart-links")
+    named = stage(labelled(stage(labelled(groups, labels, "a", "la"), "hub-named"), labels, "b", "lb"), "both-named")
+    more = stage(compared(stage(left_apart(named, percent), "apart-pairs"), sets, percent).where("linked").select("a", "b"), "apart-links")
     return links.union(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, n_shingles, component_id and kept for every row."""
+    rows = _judged(docs.select("doc_id", "text"), size, percent)
+    component = F.coalesce("component_id", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, the digest of the set, and component_id (null: no set) of every row."""
     rows = stage(signed(docs, size), "signatures")
-    classes = stage(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "classes")
+    # one node for each class of equal sets, numbered; its rows' least doc_id is its name
+    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("name"), F.min("bands").alias("bands"), F.count("*").alias("n"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
     several = exploded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = stage(exploded.join(several, "bucket"), "buckets")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(_one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), size)), "sets")
-    every = links_between(members, sets, percent)
-    where = components(every)
-    named = classes.select("digest", "id").join(where, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    links = links_between(members, stage(_sets_of(docs, members, classes, size), "sets"), percent)
+    return _named(rows, classes, links)
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """id and full set of the classes that have candidates, made of the text of one document of each."""
+    wanted = stage(classes.join(members.select("id").distinct(), "id", "left_semi").select("name", "id", "digest"), "wanted")
+    found = full_sets(docs.join(wanted, docs["doc_id"] == wanted["name"]), size)
+    return found.groupBy("id").agg(F.first("elements").alias("elements"))  # of repeated rows
 
 
-def _one_set(sets: DataFrame) -> DataFrame:
-    """A set for each id: rows that repeat a doc_id are told apart only by their least set."""
-    return sets.groupBy("id").agg(F.min("elements").alias("elements"))
+def _named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Add to every row the least doc_id of its component; texts of one doc_id are one document."""
+    own = F.xxhash64("digest")
+    torn = rows.where(F.col("digest").isNotNull()).groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")
+    texts = rows.join(torn, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest")
+    same = texts.join(texts.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    found = components(links.union(same))
+    nodes = stage(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()).join(classes.select("id", "name"), "id"), "linked")
+    least = stage(nodes.groupBy("component").agg(F.min("name").alias("component_id"), F.count("*").alias("nodes")), "component-names")
+    by_node = join_hot(nodes, least, ["component"], "nodes").select("id", "component_id")
+    named = stage(classes.select("digest", "id", "n", "name").join(by_node, "id", "left").select("digest", F.coalesce("component_id", "name").alias("component_id"), "n"), "named")
+    return join_hot(rows.select("doc_id", "n_shingles", "digest"), named, ["digest"], "n", "left").drop("n")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays, the one of the smallest doc_id, with its own columns."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = stage(_judged(docs.select("doc_id", "text"), size, percent).where(F.col("digest").isNotNull()).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "judged")
+    gone = stage(rows.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    again = stage(rows.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if again.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
