@@ -51,6 +51,31 @@ def test_contamination_against_brute_force(spark, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_scanner_against_brute_force():
+    """Few different words, so that windows overlap, repeat and touch in every way."""
+    import random
+
+    r = random.Random(2)
+    for _ in range(150):
+        window = r.choice([2, 3, 5, 13])
+        items = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(1, 3 * window)))) for i in range(r.randrange(1, 6))] + [(None, "z z")]
+        scanner = decontaminate.WindowScanner(items, window)
+        for _ in range(6):
+            text = " ".join(r.choice("abcz" if r.random() < 0.5 else "abc") for _ in range(r.randrange(60)))
+            n, hits = scanner.scan(text)
+            want = brute_hits(text, items, window)
+            assert n == want[0] and {h["item_id"] for h in hits} == want[2]
+            assert len({w for h in hits for w in range(h["first_word"], h["last_word"] + 1)}) == want[1]
+
+
+def test_very_long_texts_and_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "pad " * 300_000 + "a b c"), (2, "q r")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "q r"), (7, "A b C"), (7, "A b C"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.find_hits(docs, bench)).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (300_003, 3, 1, False)
+    assert (got[2]["n_hit"], got[2]["n_items"], got[2]["contaminated"]) == (2, 0, True)
+
+
 def test_spans_point_into_the_original(spark):
     docs = spark.createDataFrame([(5, "So: Only FOUR words, here. End")], "doc_id long, text string")
     h = decontaminate.find_hits(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).first()["hits"][0]

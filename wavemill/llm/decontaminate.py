@@ -3,12 +3,17 @@
 Texts are lower-cased (A-Z) and split into words of digits, a-z and characters beyond ASCII. A window is ``window``
 consecutive words of one item; an item of fewer words, but not none, is one window. The automaton runs over word
 numbers, so each document is scanned once; matched words are mapped back to character offsets of the original text.
-The benchmark is sent to the workers in blocks of at most ``BLOCK_BYTES`` bytes of text (one block for any usual
-benchmark); with more blocks, the documents pass once through each block's automaton.
+
+The automaton's patterns are the items' consecutive parts of ``(window + 1) // 2`` words, one of which lies in every
+window, and the short items: about one node for each word of the benchmark, not one for each word of each window. A part
+found in a document is followed to both sides as far as the words agree, and counts if a whole window does. The benchmark
+is sent to the workers in blocks of at most ``BLOCK_BYTES`` bytes of text: one for any usual benchmark, and only beyond
+that do the documents pass through several automata.
 
 Cases: a null or empty text has no words and no hits; a null or wordless item has no window; equal windows of several
-items count for each of them; repeated rows are each judged. An empty benchmark marks nothing. Extra columns pass
-through; ``n_words`` and ``hits`` are replaced.
+items count for each of them; an item with a null id hits words like any other but isn't named; repeated rows are each
+judged. An empty benchmark marks nothing. Extra columns pass through; ``n_words`` and ``hits`` are replaced. Item ids are
+integers.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from wavemill.llm.common import small_batches, stage
 
 WINDOW = 13
 #: Benchmark text in one automaton, in bytes; bounds what is broadcast and what a worker holds.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 16_000_000
 
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
@@ -41,46 +46,68 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowScanner:
-    """The automaton over all windows of some items, given as (item_id, text)."""
+    """The automaton over the parts of some items, given as (item_id, text)."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         import ahocorasick
 
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        self.window, part = window, (window + 1) // 2
+        self.items: list[tuple[int | None, tuple[int, ...]]] = []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item_id, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1)):
-                if part := tuple(ids[k : k + window]):
-                    owners.setdefault(part, set()).add(item_id)
+            ids = tuple([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)])
+            if not ids:
+                continue
+            step = part if len(ids) >= window else len(ids)
+            for k in range(0, len(ids) - step + 1, step):
+                places.setdefault(ids[k : k + step], []).append((len(self.items), k))
+            self.items.append((item_id, ids))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for part, who in owners.items():
-            self.automaton.add_word(part, (len(part), sorted(who)))
-        self.empty = not owners
+        for pattern, where in places.items():
+            self.automaton.add_word(pattern, (len(pattern), where))
+        self.empty = not places
         self.automaton.make_automaton()
 
+    def _runs(self, ids: tuple[int, ...]) -> dict[int | None, list[list[int]]]:
+        """For each item_id the runs of words that a window of it covers, as first and last word, in order."""
+        reached: dict[tuple[int, int], int] = {}
+        found: dict[int | None, list[list[int]]] = {}
+        for last, (length, where) in self.automaton.iter(ids):
+            first = last - length + 1
+            for k, at in where:
+                if reached.get((k, first - at), -1) >= last:
+                    continue  # a part of a run that has been followed already
+                item_id, own = self.items[k]
+                back, end, fore = at, last + 1, at + length
+                while back and first - (at - back) > 0 and own[back - 1] == ids[first - (at - back) - 1]:
+                    back -= 1
+                while fore < len(own) and end < len(ids) and own[fore] == ids[end]:
+                    fore, end = fore + 1, end + 1
+                reached[k, first - at] = end - 1
+                if fore - back >= min(self.window, len(own)):
+                    found.setdefault(item_id, []).append([first - (at - back), end - 1])
+        return found
+
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """Number of words, and for each item the maximal runs of hit words with their places in the text."""
         words = words_of(text)
         if self.empty or not words:
             return len(words), []
         number = self.number.get
-        ids = tuple([number(w, 0) for w in words])
-        runs: dict[int, list[list[int]]] = {}
-        for last, (length, who) in self.automaton.iter(ids):
-            for item in who:
-                own = runs.setdefault(item, [])
-                first = last - length + 1
-                while own and own[-1][1] >= first - 1:
-                    first = min(first, own.pop()[0])
-                own.append([first, last])
-        if not runs:
+        found = self._runs(tuple([number(w, 0) for w in words]))
+        if not found:
             return len(words), []
-        places = [m.span() for m in _ORIGINAL_WORD.finditer(text)]
-        return len(words), [
-            {"first_word": a, "last_word": b, "start": places[a][0], "end": places[b][1], "item_id": item}
-            for item in sorted(runs) for a, b in runs[item]
-        ]
+        places, hits = [m.span() for m in _ORIGINAL_WORD.finditer(text)], []
+        for item in sorted(found, key=lambda i: (i is None, i)):
+            runs: list[list[int]] = []
+            for a, b in sorted(found[item]):
+                if runs and a <= runs[-1][1] + 1:
+                    runs[-1][1] = max(b, runs[-1][1])
+                else:
+                    runs.append([a, b])
+            hits += [{"first_word": a, "last_word": b, "start": places[a][0], "end": places[b][1], "item_id": item} for a, b in runs]
+        return len(words), hits
 
 
 _scanners: dict[str, WindowScanner] = {}
@@ -88,11 +115,11 @@ _scanners: dict[str, WindowScanner] = {}
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of a bounded size, each collected on its own."""
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"]) for r in own.collect()]
 
 
@@ -145,7 +172,7 @@ def n_hit_words(hits: str = "hits"):
 
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of a table with ``hits``."""
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"].cast("string")), lambda i: i.isNotNull())))
     rows = found.select("doc_id", "n_words", n_hit_words().alias("n_hit"), items.alias("items"))
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
