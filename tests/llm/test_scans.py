@@ -215,26 +215,73 @@ def test_licences_by_header_file_and_ancestor(spark):
     assert got[2]["levels_up"] == 1 and got[1]["similarity"] == 1.0
 
 
-def test_cosine_against_plain_python(spark):
+def plain_cosine(text, template, templates):
     import math
     from collections import Counter
 
-    lines = ["Licensed under the Apache License", "MIT license license", "licence of zebras"]
+    sets = [set(re.findall("[a-z0-9]+", x.lower())) for _, x in templates]
+    idf = lambda t: math.log((1 + len(sets)) / (1 + sum(t in s for s in sets))) + 1 if any(t in s for s in sets) else 1.0
+    a, b = ({t: n * idf(t) for t, n in Counter(re.findall("[a-z0-9]+", x.lower())).items()} for x in (text, template))
+    return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+
+def test_cosine_against_plain_python(spark):
+    lines = ["Licensed under the Apache License", "MIT license license", "licence of zebras zebras", "Copyright 2020 Foo. All rights reserved."]
     files = spark.createDataFrame([(i, "a/b", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
-    found = licences.headers(files)
-    idf, unseen = licences.inverse_frequencies(found, licences.TEMPLATES)
-    n = len(lines)
-    for t, w in idf.items():
-        assert w == pytest.approx(math.log((1 + n) / (1 + sum(t in licences.terms_of(x) for x in lines))) + 1)
-    best = found.select("doc_id", F.transform("lines", lambda x: licences.best_template(x, licences.TEMPLATES, idf, unseen)).alias("b")).collect()
+    best = licences.headers(files).select("doc_id", F.transform("lines", lambda x: licences.best_template(x, licences.TEMPLATES)).alias("b")).collect()
     for r in best:
-        tf = Counter(licences.terms_of(lines[r["doc_id"]]))
-        norm = math.sqrt(sum((c * idf.get(t, unseen)) ** 2 for t, c in tf.items()))
-        cos = []
-        for _, text in licences.TEMPLATES:
-            own = Counter(licences.terms_of(text))
-            cos.append(sum(tf[t] * c * idf[t] ** 2 for t, c in own.items()) / norm / math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())))
-        assert r["b"][0]["similarity"] == pytest.approx(max(cos), abs=1e-8)
+        want = max(plain_cosine(lines[r["doc_id"]], text, licences.TEMPLATES) for _, text in licences.TEMPLATES)
+        assert r["b"][0]["similarity"] == pytest.approx(want, abs=1e-8)
+    found = licences.headers(files.withColumn("text", F.concat("text", F.lit(" without warranty software the the copyright")))).withColumn("file_no", F.col("doc_id"))
+    for r in licences.best_bodies(found, licences.BODIES).collect():
+        want = max(plain_cosine(lines[r["file_no"]] + " without warranty software the the copyright", text, licences.BODIES) for _, text in licences.BODIES)
+        assert r["whole"]["similarity"] == pytest.approx(want, abs=1e-8)
+
+
+def brute_licences(files):
+    """Own licences by plain cosines, then each file's nearest directory that declares one."""
+    own, declared = {}, {}
+    for k, (i, path, text) in enumerate(files):
+        lines = [x for x in (text or "").split("\n") if re.search(licences.MENTION, x) and re.search("[a-z0-9]", x.lower())]
+        like = lambda x, ts: max((round(plain_cosine(x, body, ts), 9), -n, name) for n, (name, body) in enumerate(ts))
+        best = max((like(x, licences.TEMPLATES) for x in lines), default=(0,))
+        whole = like(text, licences.BODIES) if text and re.search(licences.BODY, text) else (0,)
+        mine = whole if whole[0] >= 0.6 else best if best[0] >= 0.6 else None
+        is_file = whole[0] >= 0.6 or (mine is not None and sum(len(x.split()) for x in lines) >= 0.3 * len(text.split()))
+        own[k] = (mine, is_file)
+        if is_file and path is not None:
+            at = path.rpartition("/")[0]
+            declared[at] = min(declared.get(at, (9, 9, 9, None)), (-mine[0], -mine[1], i, mine[2]))
+    out = []
+    for k, (i, path, _) in enumerate(files):
+        mine, is_file = own[k]
+        row = (i, mine[2], "file" if is_file else "header", None, None) if mine else (i, None, "none", None, None)
+        if not mine and path is not None:
+            at, up = path.rpartition("/")[0], 0
+            while True:
+                if at in declared:
+                    row = (i, declared[at][3], "inherited", at, up)
+                    break
+                if not at:
+                    break
+                at, up = at.rpartition("/")[0], up + 1
+        out.append(row)
+    return out
+
+
+def test_licences_against_brute_force(spark, data):
+    body = dict(licences.BODIES)
+    odd = [
+        (10, "p/LICENSE", "Copyright (c) 2020 Foo\n" + body["MIT"]), (10, "p/LICENSE", "Copyright (c) 2020 Foo\n" + body["MIT"]), (11, "p/q/r.c", "int x;"), (12, "p/COPYING", body["BSD-3-Clause"]),
+        (13, "p/q/BSD", body["BSD-2-Clause"]), (14, "z.txt", "SPDX-License-Identifier: Apache-2.0"), (15, "other/z.txt", "All rights reserved."), (16, None, "All rights reserved."), (17, "", ""), (18, "lic/x", "licence " + "word " * 30_000),
+        (19, "gnu/COPYING", body["GPL-3.0"]), (20, "gnu/old/COPYING", body["GPL-2.0"]), (21, "gnu/old/a/b", None), (22, "lic/--", "©licen©\n copyright"), (23, "a/b", "Copyright 2020 Foo. All rights reserved."),
+    ]
+    docs = [tuple(r) for r in licences.with_path(spark.read.parquet(f"{data}/documents.parquet")).collect()]
+    for files in (odd, docs):
+        df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("best", F.lit("clash"))
+        got = [(r["doc_id"], r["licence"], r["basis"], r["from_dir"], r["levels_up"]) for r in licences.scan(df).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, brute_licences(files)))
+    assert licences.scan(df.limit(0)).count() == 0
 
 
 def test_licences_are_inherited_from_any_depth(spark):

@@ -1,19 +1,22 @@
 """Licence scans: TF-IDF cosine of licence headers and licence files to templates, and inheritance from the nearest
 ancestor directory, in DataFrame functions only.
 
-A header is a line of a document that mentions a licence or copyright. Each header is compared as a sparse TF-IDF
-vector with each template; document frequencies of the templates' terms are counted over the headers of all documents,
-and a term of no template weighs as one that no header holds. The best template of at least ``MIN_SIMILARITY`` is the
-document's own licence. A licence file is a document whose licensed headers hold at least ``FILE_SHARE`` of its words;
-it declares its licence for its directory and all below, until a nearer declaration. A document without a licence of
-its own takes the one that the nearest ancestor directory declares.
-
-The comparison runs in each row, so copies gather in no task; paths are joined by distinct directory. What reaches the
-driver is one count for each term of the templates.
+A header is a line of a document that mentions a licence or copyright; each is compared as a sparse TF-IDF vector with the
+header templates. A document that holds the typical words of a licence's body is compared as a whole with the texts of
+licences too. Inverse document frequencies are those among the templates, and a term of no template weighs 1, so a
+document's similarity depends on nothing but its text. The best template of at least ``MIN_SIMILARITY`` is the
+document's own licence. A licence file is a document that is like a licence's text, or whose licensed headers hold at
+least ``FILE_SHARE`` of its words; it declares its licence for its directory and all below, until a nearer declaration. A
+document without a licence of its own takes the one that the nearest ancestor directory declares.
+
+Headers are compared in each row, so copies gather in no task; whole texts as (text, term) rows that meet the broadcast
+terms of the fixed templates. Paths are joined by distinct directory, and directories that hold very many rows are
+broadcast. Nothing of the documents reaches the driver.
 
 Cases: a null or empty text has no header. A null path inherits nothing. Ties between templates go to the first in the
 list, between licence files of one directory to the more similar, then the lower doc_id. Repeated rows give repeated
-results. Extra columns aren't carried. An empty table gives an empty result.
+results. Extra columns aren't carried. An empty table gives an empty result. A line or text without a letter or digit is
+like nothing. Ids of any type that orders.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import stage
+from wavemill.llm.common import join_hot, stage
 
 MIN_SIMILARITY = 0.6
 FILE_SHARE = 0.3
@@ -48,9 +51,67 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Proprietary", "Copyright. All rights reserved. No license is granted."),
+    ("Proprietary", "Copyright. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
+]
+#: Licences that an SPDX tag may name.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict(TEMPLATES) if name != "Proprietary"]
+
+#: Texts of licences as they stand in licence files, and the notices of licences too long to be compared whole.
+BODIES = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
 ]
-#: A line that mentions a licence.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+BODIES += [("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END)]
+#: The notice of the GNU licences; they differ in name and version.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."
+)
+BODIES += [(short, _GNU.format(name=name, version=version)) for short, name, version in (("GPL-3.0", "General", 3), ("GPL-2.0", "General", 2), ("LGPL-3.0", "Lesser General", 3), ("AGPL-3.0", "Affero General", 3))]
+
+#: A line that mentions a licence, and a text that may be a licence's.
 MENTION = "(?i)licen[cs]|copyright|all rights reserved|public domain|spdx"
+BODY = r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use)|redistribution\s+and\s+use|without\s+warrant(y|ies)|unencumbered\s+software|free\s+software|subject\s+to\s+the\s+terms"
 
 
 def terms_of(line: str) -> list[str]:
@@ -70,78 +131,109 @@ def with_path(docs: DataFrame) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """doc_id, path, dir, n_words, and the terms of each line that mentions a licence."""
+    """doc_id, path, dir, n_words, the terms of each line that mentions a licence, and those of the whole text if it may be
+    a licence's."""
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(MENTION))
     mentions = F.col("text").rlike(MENTION)
     none = F.array().cast("array<array<string>>")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
+    n_words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     return files.select(
         "doc_id",
         "path",
         directory.alias("dir"),
-        F.when(mentions, F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))).otherwise(0).alias("n_words"),
+        F.when(mentions, n_words(F.col("text"))).otherwise(0).alias("n_words"),
         F.when(mentions, F.transform(lines, terms)).otherwise(none).alias("lines"),
-        F.when(mentions, F.aggregate(lines, F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))).otherwise(0).alias("header_words"),
+        F.when(mentions, F.aggregate(lines, F.lit(0), lambda a, x: a + n_words(x))).otherwise(0).alias("header_words"),
+        F.when(F.col("text").rlike(BODY), terms(F.col("text"))).alias("body"),
     )
 
 
-def inverse_frequencies(found: DataFrame, templates: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the templates' terms over all headers, and that of a term seen nowhere."""
-    vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    lines = found.where(F.size("lines") > 0).select(F.explode("lines").alias("line"))
-    known = F.array(*map(F.lit, vocabulary))
-    held = lines.select(F.explode(F.array_union(F.array_intersect("line", known), F.array(F.lit("")))).alias("term"))
-    df = {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}  # one row for each term of the templates
-    n = df.get("", 0)
-    return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
+def inverse_frequencies(templates: list[tuple[str, str]]) -> dict[str, float]:
+    """Inverse document frequency of each term among some templates."""
+    df = Counter(t for _, text in templates for t in set(terms_of(text)))
+    return {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
+
+
+def _weighted(text: str, idf: dict[str, float]) -> dict[str, float]:
+    """A template's vector, of length 1, times the inverse frequencies: what a text's term counts are multiplied with."""
+    own = Counter(terms_of(text))
+    norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
+    return {t: n * idf[t] * idf[t] / norm for t, n in own.items()}
+
 
+def _literal_map(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
 
-def _sum_of(line: Column, parts: Column) -> Column:
-    return F.aggregate(line, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(parts, t), F.lit(0.0)))
 
+def _norm(line: Column, weight: Column) -> Column:
+    """The length of a line's vector: one pass over its sorted terms, counting runs."""
+    square = lambda s: F.pow(s["n"] * F.coalesce(F.try_element_at(weight, s["term"]), F.lit(1.0)), F.lit(2.0))
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+    step = lambda s, t: F.when(
+        s["term"] == t, F.struct(s["term"].alias("term"), (s["n"] + 1.0).alias("n"), s["sum"].alias("sum"))
+    ).otherwise(F.struct(t.alias("term"), F.lit(1.0).alias("n"), (s["sum"] + square(s)).alias("sum")))
+    return F.sqrt(F.aggregate(F.array_sort(line), start, step, lambda s: s["sum"] + square(s)))
 
-def best_template(line: Column, templates: list[tuple[str, str]], idf: dict[str, float], unseen: float) -> Column:
+
+def best_template(line: Column, templates: list[tuple[str, str]]) -> Column:
     """struct(similarity, rank, licence) of the template nearest to a line's terms; a lower place gives a higher rank."""
-    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
-    distinct = F.array_distinct(line)
-    tf = lambda t: F.size(F.filter(line, lambda x: x == t)).cast("double")
-    square = lambda t: F.pow(tf(t) * F.coalesce(F.try_element_at(weight, t), F.lit(unseen)), F.lit(2.0))
-    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda a, t: a + square(t)))
+    idf = inverse_frequencies(templates)
+    norm = _norm(line, _literal_map(idf))
     choices = []
     for k, (name, text) in enumerate(templates):
-        own = Counter(terms_of(text))
-        own_norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
-        parts = F.create_map(*[F.lit(x) for t, n in sorted(own.items()) for x in (t, n * idf[t] * idf[t] / own_norm)])
-        dot = _sum_of(line, parts)
+        parts = _literal_map(_weighted(text, idf))
+        dot = F.aggregate(line, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(parts, t), F.lit(0.0)))  # noqa: B023
         choices.append(F.struct(F.round(dot / norm, 9).alias("similarity"), F.lit(-k).alias("rank"), F.lit(name).alias("licence")))
     return F.when(F.size(line) > 0, F.array_max(F.array(*choices)))
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_similarity: float = MIN_SIMILARITY, file_share: float = FILE_SHARE) -> DataFrame:
+def best_bodies(found: DataFrame, bodies: list[tuple[str, str]]) -> DataFrame:
+    """file_no and the struct(similarity, rank, licence) of the licence's text nearest to each whole text that may be one."""
+    spark, idf = found.sparkSession, inverse_frequencies(bodies)
+    rows = [(t, -k, name, w) for k, (name, text) in enumerate(bodies) for t, w in sorted(_weighted(text, idf).items())]
+    parts = spark.createDataFrame(rows, "term string, rank int, licence string, part double")
+    weights = spark.createDataFrame(sorted(idf.items()), "term string, weight double")
+    counts = found.where(F.size("body") > 0).select("file_no", F.explode("body").alias("term")).groupBy("file_no", "term").agg(F.count("*").alias("n"))
+    # both tables are as large as the fixed templates
+    norms = counts.join(F.broadcast(weights), "term", "left").groupBy("file_no").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("weight", F.lit(1.0)), F.lit(2.0)))).alias("norm"))
+    dots = counts.join(F.broadcast(parts), "term").groupBy("file_no", "rank", "licence").agg(F.sum(F.col("n") * F.col("part")).alias("dot"))
+    like = F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"), "rank", "licence")
+    return dots.join(norms, "file_no").groupBy("file_no").agg(F.max(like).alias("whole"))
+
+
+def _counted(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Facts with the number of rows that hold their key."""
+    return stage(facts.join(rows.groupBy(key).agg(F.count("*").alias("held_by")), key), "licence-facts")
+
+
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_similarity: float = MIN_SIMILARITY, file_share: float = FILE_SHARE, bodies: list[tuple[str, str]] = BODIES) -> DataFrame:
     """doc_id, path, licence, similarity, basis (header, file, inherited, none), from_dir and levels_up of every file."""
-    found = stage(headers(files.select("doc_id", "path", "text")), "licence-headers")
-    idf, unseen = inverse_frequencies(found, templates)
-    best = F.array_max(F.transform("lines", lambda x: best_template(x, templates, idf, unseen)))
-    some = F.size("lines") > 0
+    found = stage(headers(files.select("doc_id", "path", "text")).withColumn("file_no", F.monotonically_increasing_id()), "licence-headers")
+    line = F.array_max(F.transform("lines", lambda x: best_template(x, templates)))
+    whole = F.when(F.col("whole.similarity") >= min_similarity, F.col("whole"))
     own = (
-        found.withColumn("best", F.when(some, best))
-        .withColumn("best", F.when(F.col("best.similarity") >= min_similarity, F.col("best")))
-        .withColumn("is_file", F.coalesce(F.col("best").isNotNull() & (F.col("header_words") >= F.lit(file_share) * F.col("n_words")), F.lit(False)))
-        .select("doc_id", "path", "dir", "best", "is_file")
+        found.join(stage(best_bodies(found, bodies), "licence-bodies"), "file_no", "left")
+        .withColumn("line", F.when(F.size("lines") > 0, line))
+        .withColumn("line", F.when(F.col("line.similarity") >= min_similarity, F.col("line")))
+        .withColumn("whole", whole)
+        .withColumn("is_file", F.col("whole").isNotNull() | F.coalesce(F.col("line").isNotNull() & (F.col("header_words") >= F.lit(file_share) * F.col("n_words")), F.lit(False)))
+        .select("doc_id", "path", "dir", F.coalesce("whole", "line").alias("best"), "is_file")
     )
     own = stage(own, "licence-own")
     declared = (
         own.where(F.col("is_file") & F.col("dir").isNotNull())
         .groupBy(F.col("dir").alias("at"))
-        .agg(F.max(F.struct(F.col("best.similarity").alias("similarity"), F.col("best.rank").alias("rank"), (-F.col("doc_id")).alias("first"), F.col("best.licence").alias("licence"))).alias("declared"))
+        .agg(F.min(F.struct((-F.col("best.similarity")).alias("unlike"), (-F.col("best.rank")).alias("place"), "doc_id", F.col("best").alias("best"))).alias("first"))
+        .select("at", F.col("first.best").alias("declared"))
     )
-    parts = F.split("dir", "/")
     ups = own.where(F.col("best").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
-    above = ups.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("levels_up")).select(
+    above = ups.select("dir", F.explode(F.sequence(F.lit(0), F.size(F.split("dir", "/")))).alias("levels_up")).select(
         "dir", "levels_up", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.size(F.split("dir", "/")) - F.col("levels_up")), "/").alias("at")
     )
-    nearest = above.join(declared, "at").groupBy("dir").agg(F.min(F.struct("levels_up", "at", "declared")).alias("nearest"))
-    got = own.join(nearest, "dir", "left")
+    above = stage(above, "licence-above")
+    nearest = join_hot(above, _counted(above, declared, "at"), ["at"], "held_by").groupBy("dir").agg(F.min(F.struct("levels_up", "at", "declared")).alias("nearest"))
+    got = join_hot(own, _counted(own, nearest, "dir"), ["dir"], "held_by", "left")
     inherited = F.col("best").isNull() & F.col("nearest").isNotNull()
     return got.select(
         "doc_id",
