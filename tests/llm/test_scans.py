@@ -102,6 +102,49 @@ def test_language_held_out_accuracy_and_edges(spark, data):
     assert {r["lang_pred"] for r in langid.predict(docs, *langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Hashed columns of a text's n-grams, one letter at a time."""
+    codes = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()] + [0] * langid.ORDERS
+    for i, c in enumerate(codes):
+        for order in range(1, langid.ORDERS + 1):
+            if c:
+                h = c
+                for k in range(1, order):
+                    h = (h * 0x01000193 + codes[i + k]) & 0xFFFFFFFF
+                yield ((h + order) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+
+
+def test_language_query_against_plain_bayes(spark, data):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts, sizes = {}, Counter()
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and not held(r["doc_id"]):
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+            sizes[r["lang"]] += 1
+    total = {k: sum(c.values()) + 0.5 * langid.BUCKETS for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op7_language_naive_bayes"](spark, data).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        own, g = Counter(plain_grams(r["text"])), got[r["doc_id"]]
+        if not own:
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        logs = {k: math.log(sizes[k] / sum(sizes.values())) + sum(n * math.log((c[b] + 0.5) / total[k]) for b, n in own.items()) for k, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert g["lang_pred"] == best and g["held_out"] == held(r["doc_id"])
+        assert g["score"] == pytest.approx(1 / sum(math.exp(max(-700, v - logs[best])) for v in logs.values()), abs=1e-2)
+
+
+def test_language_ties_repeats_and_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "abc", "b", 1), (1, "abc", "b", 1), (2, "abc", "a", 1), (2, "abc", "a", 1), (5, "abc", None, 2)], "doc_id long, text string, lang string, score int")
+    got = langid.predict(docs, *langid.fit(docs))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and [r["lang_pred"] for r in got.collect()] == ["a"] * 5
+
+
 def test_batch_scores_equal_single_scores():
     logp = np.random.default_rng(0).normal(size=(langid.BUCKETS + 1, 3)).astype(np.float32)
     texts = ["Hello wörld", None, "", "one", "x" * 5000, "日本語 text", "𝒜 b"]
@@ -175,6 +218,40 @@ def test_quality_held_out_and_edges(spark, data):
     assert quality.drop_rejected(docs, one).columns == docs.columns and quality.drop_rejected(docs, one).count() == 5
 
 
+def test_quality_query_against_plain_chains(spark, data):
+    """Every score again, with forward and backward sums in plain logarithms, a line at a time."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    learned = spark.createDataFrame([r for r in labels.collect() if not held(r["doc_id"])], labels.schema)
+    model = quality.fit(docs, learned)
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    got = {r["doc_id"]: r for r in QUERIES["op5_quality_crf"](spark, data).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        lines = quality.line_features([r["text"]])
+        e, t, n = model.emissions(lines).tolist(), model.trans.tolist(), len(lines.x)
+        up, down = [[0.0, e[0]]], [[0.0, 0.0]]
+        for k in range(1, n):
+            up.append([add(up[-1][0] + t[0][y], up[-1][1] + t[1][y]) + y * e[k] for y in (0, 1)])
+        for k in range(n - 1, 0, -1):
+            down.insert(0, [add(t[y][0] + down[0][0], t[y][1] + e[k] + down[0][1]) for y in (0, 1)])
+        p = [1 / (1 + math.exp(min(700, u[0] + d[0] - u[1] - d[1]))) for u, d in zip(up, down)]
+        w = [max(1, len(x.encode())) for x in (r["text"] or "").split("\n")]
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(sum(a * b for a, b in zip(p, w)) / sum(w), abs=1e-6)
+        assert g["held_out"] == held(r["doc_id"]) and g["predicted"] == int(g["score"] >= 0.3)
+
+
+def test_quality_of_long_texts(spark):
+    long = "A good line of words.\n" * 40_000
+    lines = quality.line_features(["One good line.\nAnother.", "BAD!! BAD!!\n" * 40])
+    model = quality.train(lines, np.array([1, 0]), rounds=20)
+    docs = spark.createDataFrame([(1, long), (2, "x" * 2_000_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    got = [r["score"] for r in quality.add_score(docs, model).select("score").collect()]
+    assert len(got) == 3 and all(0 <= s <= 1 for s in got) and got[1] == got[2]
+
+
 def test_scores_do_not_depend_on_the_batch():
     texts = ["One good line.\nAnother.", "BAD!! BAD!!\n" * 40, "", None, "x"]
     lines = quality.line_features(texts)
@@ -197,6 +274,26 @@ def test_shards_of_a_hot_text(spark):
     assert (small.groupby("text_crc32").shard.nunique() > 1).sum() <= 1 + 8  # at most the texts at the shards' borders
 
 
+def test_shard_query_keeps_its_law(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op9_shard_sampled_splitters"](spark, data).toPandas()
+    assert sorted(got.doc_id) == sorted(docs)
+    body = [(docs[i] or "").encode() for i in got.doc_id]
+    assert got["size"].tolist() == [len(b) + 1 for b in body] and got.text_crc32.tolist() == [zlib.crc32(b) for b in body]
+    sizes = got.groupby("shard")["size"].sum()
+    assert list(sizes.index) == list(range(8)) and (sizes - sizes.mean()).abs().max() <= max(got["size"])
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    groups = got.assign(text=body).groupby("text")
+    limit = shards.WHOLE_SHARE * sizes.mean()
+    assert all(g.shard.nunique() == 1 for _, g in groups if g["size"].sum() <= limit)
+
+
+def test_shards_of_long_texts(spark):
+    rows = [(i, "y" * 3_000_000 if i in (3, 4) else "z" * (i % 7)) for i in range(300)]
+    got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), 2).toPandas()
+    assert sorted(got.groupby("shard")["size"].sum() // 1_000_000) == [3, 3]
+
+
 def test_shards_of_few_and_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert shards.assign(empty).count() == 0

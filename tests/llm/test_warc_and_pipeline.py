@@ -103,3 +103,24 @@ def test_pipeline_equals_its_operators_stage_by_stage(spark, data):
     last = corpus_pipeline.run(spark, data).collect()
     own = bpe.ForcedBoundaryBpe(word_bpe_path())
     assert {r["doc_id"]: r["n_tokens"] for r in last} == {r["doc_id"]: len(own.encode(r["text"])) for r in four.collect()}
+
+
+def test_stages_take_odd_documents(spark, data, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, names that clash and an empty table pass through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    bench = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    good = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(8).collect()]
+    rows = [(1, None), (2, ""), (None, good[0]), (3, good[1]), (3, good[1]), (4, "word " * 20_000), (5, bench[0]), (6, good[2]), (7, good[2]), (8, "a"), (9, "\u2028 \x1c ©")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, 1.0, "r") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, row string")
+    for table_of in (docs, docs.limit(0)):
+        now = table_of
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            now = step(spark, now, data)
+            assert now.columns == docs.columns, name
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        ids = [r["doc_id"] for r in now.collect()]
+        last = corpus_pipeline.STAGES[-1][1](spark, now, data).collect()
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in last)
+        if table_of is docs:
+            assert 5 not in ids and 7 not in ids and ids.count(3) <= 1
+            assert {r["n_tokens"] for r in last if r["doc_id"] in (1, 2)} <= {0}

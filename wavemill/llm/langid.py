@@ -29,6 +29,8 @@ PER_LANGUAGE = 4000
 #: Languages whose log-probabilities fit in one broadcast: 512 columns of BUCKETS floats are 128 MB.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Log-probabilities gathered at once.
+GATHERED = 4_000_000
 
 
 @lru_cache(1)
@@ -113,10 +115,13 @@ def score(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
     begins = codes > 0
     at = np.flatnonzero(begins)
     which = np.repeat(np.arange(len(texts)), letters)
+    step = max(1, GATHERED // len(langs))
     for order in range(1, ORDERS + 1):
-        rows = logp[ngram_columns(codes, order)[at]]
-        for k in range(len(langs)):
-            total[:, k] += np.bincount(which, weights=rows[:, k], minlength=len(texts))
+        columns = ngram_columns(codes, order)[at]
+        for lo in range(0, len(at), step):
+            rows, own = logp[columns[lo : lo + step]], which[lo : lo + step]
+            for k in range(len(langs)):
+                total[:, k] += np.bincount(own, weights=rows[:, k], minlength=len(texts))
     total += logp[-1]
     best = total.argmax(axis=1)
     p = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)

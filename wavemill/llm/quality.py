@@ -4,7 +4,8 @@ Each line has features of its own text and of its neighbours (mean word length,
 words, and so on). The chain's two states are tied to their neighbours by learned transition weights. The forward-
 backward algorithm gives each line's marginal probability of being good, and a document's score is their mean weighted
 by line length. For fitting, each line takes its document's label; at most about ``MAX_TRAIN`` labelled documents of at
-most ``MAX_TRAIN_BYTES`` bytes, picked by a hash of doc_id, are used. Scoring takes whole texts, a batch at a time.
+most ``MAX_TRAIN_BYTES`` bytes and ``MAX_TRAIN_LINES`` lines, picked by a hash of doc_id, are used: less than 200 MB of
+features. Scoring takes whole texts, a batch at a time.
 
 Cases: a null or empty text is one empty line, scored like any other; ties in nothing matter; repeated rows are each
 scored; documents without a label are scored but not learned from; a label row without a quality is left out, and a
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import crc32_mod, small_batches
 
 MAX_TRAIN = 3000
-MAX_TRAIN_BYTES = 20_000
+MAX_TRAIN_BYTES, MAX_TRAIN_LINES = 20_000, 500
 #: A document of a lower score is rejected.
 THRESHOLD = 0.3
 
@@ -190,7 +191,7 @@ def score(texts: list[str | None], model: Model | float) -> np.ndarray:
     return np.clip(np.add.reduceat(p * w, start) / np.add.reduceat(w, start), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, max_lines: int = MAX_TRAIN_LINES) -> Model | float:
     """Fit on a bounded sample of the labelled documents."""
     spark = docs.sparkSession
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -199,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
         return 0.5
     rate = min(1.0, max_train / n)
     picked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(picked, "doc_id").select("doc_id", "text", "quality")
+    n_lines = F.octet_length("text") - F.octet_length(F.translate("text", "\n", "")) + 1
+    rows = docs.select("doc_id", "text").where((F.octet_length("text") <= max_bytes) & (n_lines <= max_lines)).join(picked, "doc_id").select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

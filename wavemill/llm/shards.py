@@ -7,8 +7,9 @@ again and split inside the text's own keys. With the counts of the ranges before
 gives its place in the whole order: the law ``bytes`` cuts that order into shards of near equal bytes.
 
 Only (id, size, hashes) is shuffled, never a text, and no task holds more than one range. The driver sees the ranges'
-boundaries and counts, at most ``MAX_RANGES`` times a small factor. Records of one text stay in one shard, unless a cut
-through a text with more than ``WHOLE_SHARE`` of a shard's bytes is needed.
+boundaries and counts, at most ``MAX_RANGES`` times a small factor. The shards' capacity alone decides where copies are
+cut: records of one text stay in one shard, unless leaving the text whole at a shard's border would move more than
+``WHOLE_SHARE`` of a shard's bytes.
 
 Cases: a null text has no bytes (size 1, crc 0) and stands with the empty text. A null id is a value like any other.
 Repeated rows are separate records. An empty table gives an empty result. Extra columns aren't carried.
@@ -31,8 +32,8 @@ RANGE_BYTES = 4 << 30
 OVERSAMPLE = 32
 #: A range of more than so many times the mean is overfull.
 OVERFULL = 2.0
+#: The capacity law's tolerance: a text at a shard's border stays whole if it has at most so much of a shard's bytes.
 WHOLE_SHARE = 0.002
-_ROUNDS = 4
 _CELL = 1 << 32
 
 
@@ -94,16 +95,14 @@ def splitters(rows: DataFrame, total: int, n_ranges: int) -> tuple[list[int], li
     cells = {(k >> 32) << 32 for k in quantile_keys(sample_keys(rows, width / OVERSAMPLE, 1), width)}
     bounds = sorted(cells)
     counts = count_ranges(rows, bounds)
-    for k in range(_ROUNDS):
-        full = [r for r, (b, n) in enumerate(counts) if b > OVERFULL * width and n > 1]
-        if not full:
-            break
+    seed = 2
+    while full := [r for r, (b, n) in enumerate(counts) if b > OVERFULL * width and n > 1]:
         own = range_of(F.col("key"), bounds)
-        sample = sample_keys(rows.where(own.isin(full)), width / OVERSAMPLE, 2 + k)
+        sample = sample_keys(rows.where(own.isin(full)), width / OVERSAMPLE, seed)
         more = sorted({*bounds, *quantile_keys(sample, width, own)})
         if more == bounds:
-            break
-        bounds, counts = more, count_ranges(rows, more)
+            break  # what is left over are rows of one key
+        bounds, counts, seed = more, count_ranges(rows, more), seed + 1
     return bounds, counts
 
 
