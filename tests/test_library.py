@@ -132,6 +132,25 @@ def test_models_are_trained_saved_and_loaded(spark, tmp_path):
         models.create("other")
 
 
+def test_kernel_machine_and_neighbours_part_a_ring_from_its_middle(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((160, 2))
+    y = ((x**2).sum(axis=1) > 1.2).astype(int)
+    df = models.vectors(spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(160)], "id long, label int, xs array<double>"))
+    got = models.train_models(df, {"svm": {"C": [10.0], "gamma": ["scale"], "n_features": [100]}, "knn": {"n_neighbors": [3]}, "random_forest": {"n_estimators": [5], "max_depth": [3]}}, k=2)
+    assert all("error" not in r for r in got["models"].values()) and all(r["cv_score"] > 0.85 for n, r in got["models"].items() if n != "random_forest")
+    linear = models.create("svm", n_rows=160, kernel="linear").fit(df)
+    assert models.evaluate(linear, df).first()["accuracy"] < 0.8
+    models.save_models(got, str(tmp_path / "m"))
+    back = models.load_models(str(tmp_path / "m"))
+    for name in ("svm", "knn"):
+        one, two = (m["models"][name]["model"].transform(df).select("id", "prediction").collect() for m in (got, back))
+        assert sorted(one) == sorted(two)
+        assert models.evaluate(back["models"][name]["model"], df).first()["auc"] > 0.9
+    with pytest.raises(ValueError):
+        models.create("svm", kernel="poly")
+
+
 def test_random_features_approximate_the_kernel(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.6, 0.2])], "id int, xs array<double>")
     z = {r["id"]: np.array(r["xs"]) for r in models.random_features(df, 4000, 0.5, 2).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +80,26 @@ def metrics(pred: DataFrame, truth: str = "label", guess: str = "prediction") ->
     return rows.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("r").alias("balanced_accuracy"), w("p").alias("precision"), w("r").alias("recall"), w("f").alias("f1"))
 
 
+#: Ranges of scores whose counts are added up one after the other.
+SCORE_RANGES = 256
+
+
 def roc_auc(pred: DataFrame, truth: str = "label", score: str = "score") -> DataFrame:
-    """Area under the curve with ties counted half, from counts by distinct score; null with one class only."""
-    by = pred.groupBy(score).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = by.withColumn("below", below)
-    return rows.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
+    """Area under the curve with ties counted half, from counts by distinct score; null with one class only.
+
+    Distinct scores are split into ranges at approximate quantiles; what lies below a score is what lies in the ranges
+    before, of which there are few, and below it in its own.
+    """
+    by = pred.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
+    bounds = by.agg(F.percentile_approx("score", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 10 * SCORE_RANGES).alias("q")).first()["q"] or []
+    splits = [float("-inf"), *sorted({float(q) for q in bounds}), float("inf")]
+    cast = by.withColumn("score", F.col("score").cast("double"))
+    rows = Bucketizer(splits=splits, inputCol="score", outputCol="part", handleInvalid="keep").transform(cast) if len(splits) > 2 else cast.withColumn("part", F.lit(0.0))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("part").agg(F.sum("neg").alias("neg")).select("part", before(Window.orderBy("part")).alias("lower"))  # at most SCORE_RANGES rows
+    placed = rows.withColumn("inside", before(Window.partitionBy("part").orderBy("score"))).join(ranges, "part")
+    below = F.col("lower") + F.col("inside")
+    return placed.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
 
 
 def best_model(results: DataFrame, by: str = "accuracy") -> DataFrame:
@@ -99,8 +114,7 @@ def importance_table(importance: DataFrame) -> DataFrame:
 def knn(train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """prediction of each query (id, xs) by its k nearest training rows (id, xs, label), ties by id; itself is left out.
 
-    Each Arrow batch of queries is held against broadcast blocks of the training matrix; callers keep the training side
-    small (it is collected once its size has been checked).
+    Blocks of queries meet blocks of training rows through a shuffle; nothing is collected or broadcast.
     """
     from wavemill.operators.models import knn_predict
 

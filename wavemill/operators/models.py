@@ -1,25 +1,27 @@
-"""Classifiers on pyspark.ml, grid search over stratified folds, and exact nearest neighbours."""
+"""Classifiers on pyspark.ml (forests, logistic regression, kernel machines on random Fourier features, neighbours) and
+grid search over stratified folds."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 from itertools import product
-from pathlib import Path
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.operators.evaluation import metrics, roc_auc, stratified_folds
-
-#: Training rows of nearest neighbours that may be broadcast, in bytes of vectors.
-MAX_NEIGHBOUR_BYTES = 256 << 20
+from wavemill.operators.neighbours import k_nearest, votes
 
 
 def vectors(rows: DataFrame, xs: str = "xs") -> DataFrame:
@@ -43,31 +45,119 @@ def random_features(rows: DataFrame, n: int, gamma: float, dim: int, seed: int =
     return plain.mapInArrow(run, plain.schema)
 
 
+class KernelMap(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features of ``features``; gamma 0 means 1 / (dimensions x variance), measured when fitting."""
+
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel exp(-gamma |x - y|^2)", TypeConverters.toFloat)
+    n = Param(Params._dummy(), "n", "number of features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
+
+    def __init__(self, gamma: float = 0.0, n: int = 512, seed: int = 42):
+        super().__init__()
+        self._set(gamma=gamma, n=n, seed=seed)
+
+    def _fit(self, rows: DataFrame) -> KernelMapModel:
+        x = vector_to_array("features")
+        # variance over all components of all rows, as one number
+        parts = rows.select(F.size(x).alias("d"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v).alias("s"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v).alias("q"))
+        got = parts.agg(F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("n")).first()
+        if not got["n"]:
+            raise ValueError("nothing to fit on")
+        variance = got["q"] / got["n"] - (got["s"] / got["n"]) ** 2
+        gamma = self.getOrDefault("gamma") or 1 / (got["d"] * variance if variance > 0 else 1.0)
+        return KernelMapModel(gamma, self.getOrDefault("n"), self.getOrDefault("seed"), got["d"])
+
+
+class KernelMapModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    gamma, n, seed = KernelMap.gamma, KernelMap.n, KernelMap.seed
+    dim = Param(Params._dummy(), "dim", "dimensions", TypeConverters.toInt)
+
+    def __init__(self, gamma: float = 1.0, n: int = 512, seed: int = 42, dim: int = 1):
+        super().__init__()
+        self._set(gamma=gamma, n=n, seed=seed, dim=dim)
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        n, gamma, dim, seed = (self.getOrDefault(p) for p in ("n", "gamma", "dim", "seed"))
+        marked = rows.withColumn("xs", vector_to_array("features")) if "xs" not in rows.columns else rows.withColumn("_xs", F.col("xs")).withColumn("xs", vector_to_array("features"))
+        kept = [c for c in marked.columns if c not in ("features", "xs")]
+        mapped = random_features(marked.select("xs", F.struct(*kept, F.col("features")).alias("row")), n, gamma, dim, seed)
+        out = mapped.select("row.*", array_to_vector("xs").alias("fourier"))
+        return out.withColumnRenamed("_xs", "xs") if "_xs" in out.columns else out
+
+
+class Neighbours(Estimator):
+    """k nearest neighbours as a model; rows need an ``id`` and ``xs``."""
+
+    def __init__(self, n_neighbors: int = 5, weights: str = "uniform"):
+        super().__init__()
+        self.n_neighbors, self.weights = n_neighbors, weights
+
+    def _fit(self, rows: DataFrame) -> NeighboursModel:
+        return NeighboursModel(rows.select("id", "label", "xs"), self.n_neighbors, self.weights)
+
+
+class NeighboursModel(Model):
+    def __init__(self, train: DataFrame, n_neighbors: int, weights: str):
+        super().__init__()
+        self.train, self.n_neighbors, self.weights = train, n_neighbors, weights
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        got = votes(k_nearest(self.train, rows, self.n_neighbors), self.weights)
+        share = lambda k: F.coalesce(F.try_element_at("votes", F.lit(k)) / F.col("total"), F.lit(0.0))
+        known = got.select("id", F.col("prediction").cast("double").alias("prediction"), array_to_vector(F.array(share(0), share(1))).alias("probability"))
+        return rows.drop("prediction", "probability").join(known, "id", "left")
+
+
 def create(name: str, seed: int = 42, n_rows: int | None = None, **params):
-    """A classifier by name; C of a regularised model is turned into 1 / (C n)."""
+    """A classifier by name and by the usual names of its parameters; C of a regularised model is turned into 1 / (C n).
+
+    svm (C, kernel rbf or linear, gamma, n_features): a linear machine for two classes, on random Fourier features for the
+    kernel, with probabilities by a logistic fit to its margins. random_forest (n_estimators, max_depth), knn (n_neighbors,
+    weights) and logistic_regression (C).
+    """
+    penalty = lambda default: 1 / (params.pop("C", 1.0) * n_rows) if n_rows else default if "C" not in params else 1 / (1000 * params.pop("C"))
     if name == "svm":
-        c = params.pop("C", 1.0)
-        return LinearSVC(regParam=1 / (c * n_rows) if n_rows else 0.01, **params)
+        kernel = params.pop("kernel", "rbf")
+        if kernel not in ("rbf", "linear"):
+            raise ValueError(f"unknown kernel {kernel}")
+        gamma = params.pop("gamma", "scale")
+        first = [KernelMap(0.0 if gamma == "scale" else float(gamma), params.pop("n_features", 512), seed)] if kernel == "rbf" else []
+        machine = LinearSVC(featuresCol="fourier" if first else "features", rawPredictionCol="margin", predictionCol="side", regParam=penalty(0.001), **params)
+        return Pipeline(stages=[*first, machine, LogisticRegression(featuresCol="margin", regParam=1e-6)])
     if name == "random_forest":
-        return RandomForestClassifier(seed=seed, numTrees=params.pop("n_estimators", 100), **params)
+        depth = {"maxDepth": params.pop("max_depth")} if params.get("max_depth") is not None else {}
+        params.pop("max_depth", None)
+        return RandomForestClassifier(seed=seed, numTrees=params.pop("n_estimators", 100), **depth, **params)
+    if name == "knn":
+        return Neighbours(**params)
     if name == "logistic_regression":
-        c = params.pop("C", 1.0)
-        return LogisticRegression(regParam=1 / (c * n_rows) if n_rows else 0.0, elasticNetParam=0.0, standardization=False, **params)
+        return LogisticRegression(regParam=penalty(0.0), elasticNetParam=0.0, standardization=False, maxIter=params.pop("max_iter", 100), **params)
     raise ValueError(f"unknown model {name}")
 
 
 def train_one(rows: DataFrame, name: str, grid: dict[str, list] | None = None, k: int = 5, seed: int = 42):
-    """Grid search by stratified k-fold accuracy, refitted on all rows: (model, cross-validation accuracy, parameters)."""
+    """Grid search by stratified k-fold accuracy, refitted on all rows: (model, cross-validation accuracy, parameters).
+
+    The folds of one choice of parameters are trained at once; the first of equal choices wins.
+    """
     folded = stratified_folds(rows, "id", "label", k, seed).persist()
-    estimator = create(name, seed, folded.count())
-    build = ParamGridBuilder()
-    for param, values in (grid or {}).items():
-        build = build.addGrid(estimator.getParam(param), values)
-    maps = build.build()
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", seed=seed, parallelism=4).fit(folded)
-    best = int(np.argmax(cv.avgMetrics))
-    folded.unpersist()
-    return cv.bestModel, float(cv.avgMetrics[best]), {p.name: v for p, v in maps[best].items()}
+    n = folded.count()
+    judge = MulticlassClassificationEvaluator(metricName="accuracy")
+    scored = []
+    try:
+        for values in product(*(grid or {}).values()):
+            params = dict(zip(grid or {}, values))
+
+            def fold_score(fold: int, params=params) -> float:
+                model = create(name, seed, n, **params).fit(folded.where(F.col("fold") != fold))
+                return judge.evaluate(model.transform(folded.where(F.col("fold") == fold)))
+
+            with ThreadPool(min(k, 4)) as pool:
+                scored.append((float(np.mean(pool.map(inheritable_thread_target(folded.sparkSession)(fold_score), range(k)))), params))
+        best, params = max(scored, key=lambda s: s[0])
+        return create(name, seed, n, **params).fit(rows), best, params
+    finally:
+        folded.unpersist()
 
 
 def train_models(rows: DataFrame, specs: dict[str, dict], k: int = 5, seed: int = 42) -> dict:
@@ -90,9 +180,7 @@ def evaluate(model, rows: DataFrame) -> DataFrame:
     pred = model.transform(rows).withColumn("prediction", F.col("prediction").cast("int"))
     out = metrics(pred)
     if "probability" in pred.columns:
-        from pyspark.ml.functions import vector_to_array
-
-        out = out.join(F.broadcast(roc_auc(pred.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))))), how="left")
+        out = out.crossJoin(roc_auc(pred.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))))
     return out
 
 
@@ -122,55 +210,31 @@ def permutation_importance(model, rows: DataFrame, index: int, seed: int = 42) -
 
 def knn_predict(train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """(id, prediction): the class with most votes among the k nearest, the least class of equals; rows with the query's
-    own id are left out. Up to MAX_NEIGHBOUR_BYTES of training vectors are broadcast; more are taken in blocks whose k
-    best are merged by query."""
-    size = train.agg(F.sum(F.size("xs")).alias("s")).first()["s"] or 0
-    n_blocks = max(1, -(-size * 8 // MAX_NEIGHBOUR_BYTES))
-    part = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
-    spark, found = train.sparkSession, None
-    for b in range(n_blocks):
-        block = train.where(part == b).select("id", "label", "xs").toPandas()
-        if not len(block):
-            continue
-        sent = spark.sparkContext.broadcast((block["id"].to_numpy(), block["label"].to_numpy(), np.stack(block["xs"].to_numpy()).astype(float)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, labels, x = sent.value
-            for batch in batches:
-                own, out = np.asarray(batch.column("id").to_numpy(zero_copy_only=False)), []
-                for q, v in zip(own, batch.column("xs").to_pylist()):
-                    d = np.round(((x - np.array(v, float)) ** 2).sum(axis=1), 9)
-                    best = [j for j in np.lexsort((ids, d))[: k + 1] if ids[j] != q][:k]
-                    out.append([{"d": float(d[j]), "id": int(ids[j]), "label": int(labels[j])} for j in best])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int32())])))], names=["id", "near"])
-
-        one = queries.select("id", "xs").mapInArrow(run, "id bigint, near array<struct<d:double,id:bigint,label:int>>")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return queries.select("id", F.lit(None).cast("int").alias("prediction"))
-    near = found.select("id", F.explode("near").alias("n")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("near")) if n_blocks > 1 else found
-    vote = F.lit(1.0) if weights == "uniform" else F.try_divide(F.lit(1.0), F.sqrt("n.d") + 1e-12)
-    votes = near.select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.label").alias("label")).agg(F.sum(vote).alias("v"))
-    return votes.groupBy("id").agg(F.max_by("label", F.struct("v", -F.col("label"))).alias("prediction"))
+    own id are left out."""
+    return votes(k_nearest(train, queries, k), weights).select("id", "prediction")
 
 
 def save_models(results: dict, path: str) -> None:
-    """Each model in its own folder, and what is known of them as JSON."""
+    """Each model in its own folder (of neighbours: their rows), and what is known of them as JSON, all written by Spark."""
+    spark, info = SparkSession.active(), {"best": results["best"], "models": {}}
     for name, r in results["models"].items():
-        if "model" in r:
+        info["models"][name] = {k: v for k, v in r.items() if k != "model"}
+        if isinstance(r.get("model"), NeighboursModel):
+            r["model"].train.write.mode("overwrite").parquet(f"{path}/{name}")
+            info["models"][name] |= {"n_neighbors": r["model"].n_neighbors, "weights": r["model"].weights}
+        elif "model" in r:
             r["model"].write().overwrite().save(f"{path}/{name}")
-    info = {"best": results["best"], "models": {n: {k: v for k, v in r.items() if k != "model"} for n, r in results["models"].items()}}
-    Path(path).mkdir(parents=True, exist_ok=True)
-    Path(path, "models.json").write_text(json.dumps(info))
+    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/models.json")
 
 
 def load_models(path: str) -> dict:
-    from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, RandomForestClassificationModel
-
-    kinds = {"svm": LinearSVCModel, "random_forest": RandomForestClassificationModel, "logistic_regression": LogisticRegressionModel}
-    info = json.loads(Path(path, "models.json").read_text())
+    spark = SparkSession.active()
+    kinds = {"svm": PipelineModel, "random_forest": RandomForestClassificationModel, "logistic_regression": LogisticRegressionModel}
+    info = json.loads(spark.read.text(f"{path}/models.json").first()["value"])
     for name, r in info["models"].items():
-        if "error" not in r:
+        if name == "knn" and "error" not in r:
+            r["model"] = NeighboursModel(spark.read.parquet(f"{path}/{name}"), r["n_neighbors"], r["weights"])
+        elif "error" not in r:
             r["model"] = kinds[name].load(f"{path}/{name}")
     return info
 
