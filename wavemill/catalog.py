@@ -320,7 +320,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 _SC = "WITH sc AS (SELECT doc_id, quality AS label, (n_chars % 97) / 97.0::DOUBLE + quality * 0.1::DOUBLE AS score, CAST((n_chars % 97) / 97.0::DOUBLE + quality * 0.1::DOUBLE > 0.5::DOUBLE AS INTEGER) AS prediction FROM documents JOIN labels USING (doc_id))"
 register("stratified_folds", "ML4", "label:l fold:l n:l", lambda s, d: evaluation.stratified_folds(_xy(s, d), "id", "label").groupBy("label", "fold").agg(F.count("*").alias("n")), "SELECT label, f AS fold, c // 5 + CASE WHEN f < c % 5 THEN 1 ELSE 0 END AS n FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY label), (SELECT unnest(range(5)) AS f)")
 register("train_test_split", "ML5", "label:l split:s n:l", lambda s, d: evaluation.train_test_split(_xy(s, d), "id", "label").groupBy("label", "split").agg(F.count("*").alias("n")), "WITH c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label) SELECT label, 'test' AS split, (c + 4) // 5 AS n FROM c UNION ALL SELECT label, 'train', c - (c + 4) // 5 FROM c")
-_KNN = "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, b.label, round(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), z -> (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM p), v AS (SELECT id, label, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL)"
+_KNN = "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, b.label, round(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM p), v AS (SELECT id, label, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL)"
 register("knn_predict", "ML8", "id:l prediction:l", lambda s, d: evaluation.knn(_xy(s, d), _xy(s, d), 5), _KNN + " SELECT id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM v) WHERE k = 1")
 register("classification_metrics", "ML10 ML14", "accuracy:d balanced_accuracy:d precision:d recall:d f1:d", lambda s, d: evaluation.metrics(_scored(s, d)), _SC + ", cl AS (SELECT DISTINCT label AS c FROM sc), m AS (SELECT c, (SELECT count(*) FROM sc WHERE label = c) AS sup, (SELECT count(*) FROM sc WHERE label = c AND prediction = c) AS hit, (SELECT count(*) FROM sc WHERE prediction = c) AS gu FROM cl), pr AS (SELECT *, coalesce(hit / nullif(gu, 0), 0) AS p, hit / sup AS r FROM m) SELECT sum(hit) / sum(sup) AS accuracy, avg(r) AS balanced_accuracy, sum(p * sup) / sum(sup) AS precision, sum(r * sup) / sum(sup) AS recall, sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * sup) / sum(sup) AS f1 FROM pr")
 register("confusion", "ML10", "truth:l guess:l n:l", lambda s, d: evaluation.confusion(_scored(s, d)), _SC + " SELECT label AS truth, prediction AS guess, count(*) AS n FROM sc GROUP BY ALL")
@@ -373,7 +373,7 @@ register("knn", "ML8 ML13", _METRICS, _fitted("knn"))
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    specs = {"svm": {"C": [1.0]}, "random_forest": {"max_depth": [3]}, "knn": {"n_neighbors": [3, 5]}, "logistic_regression": {"C": [0.1, 1.0]}, "unknown": {}}
+    specs = {"svm": {"C": [1.0], "n_features": [128], "maxIter": [30]}, "random_forest": {"max_depth": [3]}, "knn": {"n_neighbors": [3, 5]}, "logistic_regression": {"C": [0.1, 1.0]}, "unknown": {}}
     got = models.train_models(_binary(s, d), specs, k=3)
     rows = [(n, r.get("cv_score"), got["best"] == n, "error" in r) for n, r in got["models"].items()]
     return s.createDataFrame(rows, "model string, cv_score double, best boolean, failed boolean")
