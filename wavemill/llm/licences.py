@@ -191,9 +191,10 @@ def best_template(line: Column, templates: list[tuple[str, str]]) -> Column:
 def best_bodies(found: DataFrame, bodies: list[tuple[str, str]]) -> DataFrame:
     """file_no and the struct(similarity, rank, licence) of the licence's text nearest to each whole text that may be one."""
     spark, idf = found.sparkSession, inverse_frequencies(bodies)
-    rows = [(t, -k, name, w) for k, (name, text) in enumerate(bodies) for t, w in sorted(_weighted(text, idf).items())]
-    parts = spark.createDataFrame(rows, "term string, rank int, licence string, part double")
-    weights = spark.createDataFrame(sorted(idf.items()), "term string, weight double")
+    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = [f"('{t}', {-k}, {quoted(name)}, {w!r}D)" for k, (name, text) in enumerate(bodies) for t, w in sorted(_weighted(text, idf).items())]
+    parts = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(term, rank, licence, part)")
+    weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {w!r}D)" for t, w in sorted(idf.items())) + " AS t(term, weight)")
     counts = found.where(F.size("body") > 0).select("file_no", F.explode("body").alias("term")).groupBy("file_no", "term").agg(F.count("*").alias("n"))
     # both tables are as large as the fixed templates
     norms = counts.join(F.broadcast(weights), "term", "left").groupBy("file_no").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("weight", F.lit(1.0)), F.lit(2.0)))).alias("norm"))
