@@ -35,6 +35,8 @@ VERSION = "WARC/1.1"
 #: The date of response records made of pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 
+#: Blanks and line ends at both ends of a text.
+ENDS = "^[ \\n]+|[ \\n]+$"
 #: Fixed values: (pattern, replacement) steps from markup to text, in order; patterns that Java and RE2 read alike.
 TEXT_STEPS = [
     ("(?s)<!--.*?-->", ""),
@@ -56,14 +58,29 @@ TEXT_STEPS = [
     ("&amp;|&#38;", "&"),
     ("[ \\t\\r\\f]+", " "),
     (" ?\\n[ \\n]*", "\n"),
-    ("^[ \\n]+|[ \\n]+$", ""),
+    (ENDS, ""),
 ]
 
 
+def _literals(pattern: str, new: str) -> list[str]:
+    """The alternatives of a pattern of plain characters, which may be replaced one after another since no replacement can
+    be part of another one; none of any other pattern."""
+    parts = pattern.split("|")
+    plain = all(re.fullmatch("[&#;0-9a-z]+", p) for p in parts) and not any(c in p for c in new for p in parts)
+    return parts if plain else []
+
+
 def text_of(markup: Column) -> Column:
+    """The steps on a column. Plain alternatives and the trimming at both ends need no regular expression."""
     out = F.coalesce(markup, F.lit(""))
     for pattern, new in TEXT_STEPS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
+        parts = _literals(pattern, new)
+        for part in parts:
+            out = F.replace(out, F.lit(part), F.lit(new))
+        if pattern == ENDS:
+            out = F.btrim(out, F.lit(" \n"))
+        elif not parts:
+            out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
     return out
 
 
