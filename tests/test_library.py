@@ -1,12 +1,14 @@
 """Small cases: edges of operators, sources and sinks, configuration, models and streams."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavemill import config, schema
 from wavemill.operators import epochs, erp, evaluation, fusion, graph, kernels, microstates, models, quality
-from wavemill.sources import recordings
+from wavemill.sources import decoders, recordings
 from wavemill.streaming import windows
 
 
@@ -169,11 +171,78 @@ def test_synthetic_recordings_round_trip(spark, tmp_path):
     assert peak == 10
 
 
+def cnt_file(x, rate, width, block=0, base=3, sensitivity=2.0, calibration=0.5):
+    """A continuous .cnt file of whole counts x (channels x samples), with 14 bytes after its samples."""
+    n, samples = x.shape
+    head, start = bytearray(900 + 75 * n), 900 + 75 * n
+    struct.pack_into("<H", head, 370, n)
+    struct.pack_into("<H", head, 376, rate)
+    struct.pack_into("<iii", head, 864, samples, 0, 0)
+    struct.pack_into("<ii", head, 886, start + width * x.size, 0)
+    struct.pack_into("<i", head, 894, block * width)
+    for k in range(n):
+        struct.pack_into("<10s", head, 900 + 75 * k, f"C{k}".encode())
+        struct.pack_into("<h", head, 900 + 75 * k + 47, base)
+        struct.pack_into("<f", head, 900 + 75 * k + 59, sensitivity)
+        struct.pack_into("<f", head, 900 + 75 * k + 71, calibration)
+    run = max(1, block)
+    return bytes(head) + x.reshape(n, -1, run).transpose(1, 0, 2).astype(f"<i{width}").tobytes() + b"e" * 14
+
+
+def raw_file(x, marks, rate, version, bits=0, span=0):
+    kind = {2: ">i2", 4: ">f4", 6: ">f8"}[version]
+    head = struct.pack(">i6hi5hih", version, 2024, 1, 2, 3, 4, 5, 0, rate, len(x), 1, bits, span, x.shape[1], len(marks))
+    return head + b"".join(f"{m:4s}".encode() for m in marks) + np.concatenate([x, *([v] for v in marks.values())]).T.astype(kind).tobytes()
+
+
+@pytest.mark.parametrize("width, block", [(2, 0), (4, 0), (2, 5), (4, 5)])
+def test_cnt_counts_become_volts(width, block):
+    x = np.random.default_rng(width + block).integers(-3000, 3000, (3, 20))
+    rate, names, got = decoders.decode_cnt(cnt_file(x, 250, width, block))
+    assert (rate, names) == (250.0, ["C0", "C1", "C2"])
+    np.testing.assert_allclose(got, (x - 3) * (1 / 204.8) * 1e-6)
+
+
+@pytest.mark.parametrize("version", [2, 4, 6])
+def test_simple_binary_keeps_event_channels(version):
+    x, marks = np.random.default_rng(version).integers(-99, 99, (2, 9)), {"DIN1": np.arange(9) % 2}
+    bits, span = (12, 5000) if version == 2 else (0, 0)
+    rate, names, got = decoders.decode_simple_binary(raw_file(x, marks, 500, version, bits, span))
+    assert (rate, names) == (500.0, ["E1", "E2", "DIN1"])
+    np.testing.assert_allclose(got[:2], x * (5000 / 4096 if bits else 1.0) * 1e-6)
+    assert got[2].tolist() == marks["DIN1"].tolist()
+
+
+@pytest.mark.parametrize("decode", [decoders.decode_cnt, decoders.decode_simple_binary])
+def test_damaged_recordings_raise(decode):
+    whole = raw_file(np.ones((2, 4)), {}, 500, 4)
+    for data in (b"", b"\x00", bytes(899), bytes(2000), whole[:-1], struct.pack(">i", 3) + bytes(60)):
+        with pytest.raises(ValueError):
+            decode(data)
+
+
+def test_a_task_is_loaded_with_its_failures(spark, tmp_path):
+    for folder in ("neuroscan", "egi"):
+        (tmp_path / folder).mkdir()
+    x = np.arange(6).reshape(2, 3)
+    (tmp_path / "neuroscan" / "sub-1_task-rest.cnt").write_bytes(cnt_file(x, 100, 2))
+    (tmp_path / "egi" / "sub-1_task-rest.raw").write_bytes(raw_file(x, {}, 100, 4))
+    (tmp_path / "egi" / "sub-2_task-rest.raw").write_bytes(raw_file(x, {}, 100, 4))
+    (tmp_path / "egi" / "sub-3_task-rest.raw").write_bytes(b"\x00")
+    (tmp_path / "egi" / "sub-4_task-oddball.raw").write_bytes(raw_file(x, {}, 100, 4))
+    everyone = recordings.load_task(spark, str(tmp_path), "rest").collect()
+    assert sorted((r["subject"], r["ch"]) for r in everyone if r["error"] is None) == [("1", "C0"), ("1", "C1"), ("2", "E1"), ("2", "E2")]
+    assert [(r["subject"], r["error"]) for r in everyone if r["error"]] == [("3", "file is too short for its header")]
+    some = recordings.load_task(spark, str(tmp_path), "rest", ["2", "4", "4"]).collect()
+    assert sorted((r["subject"], r["ch"] or r["error"]) for r in some) == [("2", "E1"), ("2", "E2"), ("4", "no file")]
+    assert recordings.load_task(spark, str(tmp_path), "other").count() == 0
+
+
 def test_files_that_cannot_be_decoded_say_so(spark, tmp_path):
     (tmp_path / "sub-1_task-rest.txt").write_text("100\na,b\n1,2\n3,4\n")
-    (tmp_path / "sub-2_task-rest.cnt").write_bytes(b"\x00")
+    (tmp_path / "sub-2_task-rest.cdt").write_bytes(b"\x00")
     got = {(r["subject"], r["ch"]): (r["xs"], r["error"]) for r in recordings.load_recordings(spark, [str(tmp_path)]).collect()}
-    assert got[("1", "a")] == ([1.0, 3.0], None) and got[("2", None)][1] == "no decoder for .cnt"
+    assert got[("1", "a")] == ([1.0, 3.0], None) and got[("2", None)][1] == "no decoder for .cdt"
     files = recordings.scan_manifest(spark, str(tmp_path))
     assert files.count() == 1 and recordings.list_subjects(files).first()["subject"] == "2"
 

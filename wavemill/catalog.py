@@ -250,7 +250,7 @@ register("avg_clustering", "CON14 CON13", "subject:s average_clustering:d", lamb
 register("shortest_path", "CON15 CON16 CON17 CON21", "subject:s is_connected:b average_shortest_path:d diameter:l global_efficiency:d", lambda s, d: _graph(s, d, graph.paths), (T.sql(_CORR + _GRAPH + ", walk(subject, s, v, h) AS (SELECT subject, node, node, 0 FROM nd UNION SELECT w.subject, w.s, ge.b, w.h + 1 FROM walk w JOIN ge ON ge.subject = w.subject AND ge.a = w.v WHERE w.h < 7), ds AS (SELECT subject, s, v, min(h) AS h FROM walk WHERE s <> v GROUP BY ALL), nn AS (SELECT subject, count(*) AS n FROM nd GROUP BY subject) SELECT nn.subject, count(h) = any_value(n * (n - 1)) AS is_connected, CASE WHEN count(h) = any_value(n * (n - 1)) THEN avg(h) END AS average_shortest_path, CASE WHEN count(h) = any_value(n * (n - 1)) THEN max(h) END AS diameter, coalesce(sum(1.0 / h), 0) / any_value(n * (n - 1)) AS global_efficiency FROM nn LEFT JOIN ds USING (subject) GROUP BY nn.subject", "rec")).replace("WITH ", "WITH RECURSIVE ", 1))
 register("graph_density", "CON18", "subject:s density:d number_of_edges:l number_of_nodes:l", lambda s, d: _graph(s, d, graph.density), T.sql(_CORR + _GRAPH + " SELECT subject, sum(d) / (count(*) * (count(*) - 1)) AS density, sum(d) / 2 AS number_of_edges, count(*) AS number_of_nodes FROM dg GROUP BY subject", "rec"))
 register("degree_centrality", "CON19", "subject:s mean_degree_centrality:d std_degree_centrality:d min_degree:l max_degree:l", lambda s, d: _graph(s, d, graph.degree_centrality), T.sql(_CORR + _GRAPH + " SELECT subject, avg(d / 7.0) AS mean_degree_centrality, stddev_pop(d / 7.0) AS std_degree_centrality, min(d) AS min_degree, max(d) AS max_degree FROM dg GROUP BY subject", "rec"))
-register("betweenness", "CON20", "subject:s mean_betweenness_centrality:d std_betweenness_centrality:d", lambda s, d: _graph(s, d, graph.betweenness_centrality))
+register("betweenness", "CON20", "subject:s mean_betweenness_centrality:d std_betweenness_centrality:d", lambda s, d: _graph(s, d, graph.betweenness_centrality), T.sql(_CORR + _GRAPH + ", walk(subject, s, v, h, c) AS (SELECT subject, node, node, 0, 1::DOUBLE FROM nd UNION ALL SELECT w.subject, w.s, ge.b, w.h + 1, sum(w.c) FROM walk w JOIN ge ON ge.subject = w.subject AND ge.a = w.v WHERE w.h < 7 GROUP BY w.subject, w.s, ge.b, w.h + 1), ds AS (SELECT subject, s, v, min(h) AS h, arg_min(c, h) AS c FROM walk GROUP BY subject, s, v), bt AS (SELECT p.subject, p.v AS node, sum(p.c * q.c / r.c) AS t FROM ds p JOIN ds q ON q.subject = p.subject AND q.s = p.v JOIN ds r ON r.subject = p.subject AND r.s = p.s AND r.v = q.v AND r.h = p.h + q.h WHERE p.s <> p.v AND q.v <> p.v AND p.s <> q.v GROUP BY ALL) SELECT nd.subject, avg(coalesce(t, 0) / 42.0) AS mean_betweenness_centrality, stddev_pop(coalesce(t, 0) / 42.0) AS std_betweenness_centrality FROM nd LEFT JOIN bt USING (subject, node) GROUP BY nd.subject", "rec").replace("WITH ", "WITH RECURSIVE ", 1))
 register("cross_freq_coupling", "CON22", "subject:s coupling:d", lambda s, d: connectivity.coupling(_phases(s, d), _phases(s, d).withColumn("x", F.col("x") * 0.5 + 1)), T.sql(_PH + ", pq AS (SELECT a.subject, a.ch AS i, b.ch AS j, sqrt(pow(avg(cos(a.x - (b.x * 0.5 + 1))), 2) + pow(avg(sin(a.x - (b.x * 0.5 + 1))), 2)) AS w FROM ph a JOIN ph b ON a.subject = b.subject AND a.n = b.n AND a.ch <> b.ch GROUP BY ALL) SELECT subject, avg(w) AS coupling FROM pq GROUP BY subject", "rec"))
 register("global_sync", "CON23", "subject:s global_synchronization:d", lambda s, d: connectivity.global_synchronization(_phases(s, d)), T.sql(_PH + ", r AS (SELECT subject, n, sqrt(pow(avg(cos(x)), 2) + pow(avg(sin(x)), 2)) AS r FROM ph GROUP BY ALL) SELECT subject, avg(r) AS global_synchronization FROM r GROUP BY subject", "rec"))
 register("epoch_connectivity", "CON24 CON1 CON2", "subject:s i:s j:s w:d", lambda s, d: connectivity.plv(T.rec(s, d).withColumn("subject", F.concat("subject", F.lit("_epoch_"), F.floor(F.col("n") / 80).cast("string"))).withColumn("x", F.col("x") * 12)), T.sql(", ph AS (SELECT subject || '_epoch_' || (n // 80) AS subject, ch, n, x * 12 AS x FROM rec)" + _PLV + " SELECT * FROM e", "rec"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.sources.decoders import decode_cnt, decode_simple_binary
+
 #: Recording formats in order of preference, and the extensions of their files.
 FORMATS = [("neuroscan", 0, ".cnt"), ("eeglab", 1, ".set"), ("eeglab", 1, ".fdt"), ("curry", 2, ".cdt"), ("curry", 2, ".dpa"), ("egi", 3, ".raw")]
 INSTRUMENTS = ("ftnd", "bis11")
@@ -61,9 +63,8 @@ def detect_format(files: DataFrame) -> DataFrame:
 
 
 Decoder = Callable[[bytes], tuple[float, list[str], np.ndarray]]
-#: Decoders by extension: bytes -> (sampling rate, channel names, channels x samples). Binary layouts of vendors are
-#: plugged in here; none is shipped that couldn't be verified.
-DECODERS: dict[str, Decoder] = {}
+#: Decoders by extension: bytes -> (sampling rate, channel names, channels x samples). More may be plugged in.
+DECODERS: dict[str, Decoder] = {".cnt": decode_cnt, ".raw": decode_simple_binary}
 
 
 def decode_text_matrix(data: bytes) -> tuple[float, list[str], np.ndarray]:
@@ -75,11 +76,8 @@ def decode_text_matrix(data: bytes) -> tuple[float, list[str], np.ndarray]:
 DECODERS[".txt"] = decode_text_matrix
 
 
-def load_recordings(spark: SparkSession, paths: str | list[str], decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """Packed channels (subject, task, ch_idx, ch, sfreq, xs, error) of recording files; a file that can't be decoded
-    gives one row that says why, so one bad file doesn't stop a load."""
-    table = decoders or DECODERS
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
+def _decoded(files: DataFrame, table: dict[str, Decoder]) -> DataFrame:
+    """Files (name, content) as packed channels."""
     rows = files.select(subject_of(F.col("name")).alias("subject"), task_of(F.col("name")).alias("task"), extension_of(F.col("name")).alias("ext"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +93,33 @@ def load_recordings(spark: SparkSession, paths: str | list[str], decoders: dict[
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["subject", "task", "ch_idx", "ch", "sfreq", "xs", "error"])
 
-    return rows.mapInArrow(run, "subject string, task string, ch_idx int, ch string, sfreq double, xs array<double>, error string")
+    return rows.mapInArrow(run, PACKED)
+
+
+#: The schema of recordings read from files.
+PACKED = "subject string, task string, ch_idx int, ch string, sfreq double, xs array<double>, error string"
+
+
+def load_recordings(spark: SparkSession, paths: str | list[str], decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """Packed channels (subject, task, ch_idx, ch, sfreq, xs, error) of recording files; a file that can't be decoded
+    gives one row that says why, so one bad file doesn't stop a load."""
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
+    return _decoded(files, decoders or DECODERS)
+
+
+def load_task(spark: SparkSession, folder: str, task: str, subjects: list[str] | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """One task's recordings of all subjects, or of those named, as ``load_recordings`` gives them: of each subject the
+    file that ``find_file`` takes. Files of other tasks aren't opened. A file that can't be decoded and a named subject
+    without a file give one row each that says so."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*task-{task}.*").load(folder)
+    files = found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
+    chosen = find_file(manifest(files.select("name"))).where(F.col("task") == task)
+    if subjects is None:
+        return _decoded(files.join(chosen.select("name"), "name", "left_semi"), decoders or DECODERS)
+    wanted = spark.createDataFrame([(s,) for s in subjects], "subject string").distinct()
+    chosen = chosen.join(wanted, "subject", "left_semi")
+    none = wanted.join(chosen, "subject", "left_anti").select(F.col("subject"), F.lit(task).alias("task"), *(F.lit(None).cast(k).alias(c) for c, k in (("ch_idx", "int"), ("ch", "string"), ("sfreq", "double"), ("xs", "array<double>"))), F.lit("no file").alias("error"))
+    return _decoded(files.join(chosen.select("name"), "name", "left_semi"), decoders or DECODERS).unionByName(none)
 
 
 def recording_info(samples: DataFrame, sfreq: float) -> DataFrame:
