@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavemill.llm import warc
+from wavemill.llm import audit, trie, warc
 from wavemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def op10_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(licences.with_path(table(spark, sf_dir, "documents")))
 
 
+def op11_main_text_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavemill.llm import main_text
+
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings_cover_tree": op1_embeddings_cover_tree,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -89,8 +103,13 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate_aho_corasick": op8_decontaminate_aho_corasick,
     "op9_shard_sampled_splitters": op9_shard_sampled_splitters,
     "op10_licence_tfidf": op10_licence_tfidf,
+    "op11_main_text_lstm": op11_main_text_lstm,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_derivatives": warc.oracle_sql(),
+    "op12_conversation_trie": trie.oracle_sql(),
+    "op13_filter_audit": audit.oracle_sql(),
 }
