@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 LETTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(LETTERS)]
-#: Partitions of the store for each input partition, so that a store holds a part of what an input partition holds.
-STORES_PER_SPLIT = 4
+#: Bytes of text for which there is one store, about; copies count too, so a store holds less.
+STORE_BYTES = 32 << 20
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 _SIGNS = re.compile(r"[#$%&*|]")
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -114,8 +114,8 @@ def masks(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part")
     ).withColumn("fingerprint", F.xxhash64("text"))
-    split = rows.rdd
-    stores = split.mapPartitions(_own_copies).partitionBy(STORES_PER_SPLIT * max(1, split.getNumPartitions()), _place)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    stores = rows.rdd.mapPartitions(_own_copies).partitionBy(max(8, -(-size // STORE_BYTES)), _place)
     outcomes = docs.sparkSession.createDataFrame(stores.mapPartitions(_routed), "doc_id long, part string, mask int, n long")
     return outcomes.groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
 
