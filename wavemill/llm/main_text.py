@@ -7,7 +7,7 @@ the probability that the block is main text; blocks of at least ``THRESHOLD`` ar
 
 The model is trained where it is used. Its training pages are made: page layouts (menus, headers, notices, adverts, sidebars,
 forms, comments, footers around and inside articles, with telling names, with others and with none) filled with the words of a
-sample of at most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters, those least by a hash, and the sampled pages
+drawn sample of at most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters, and the sampled pages
 themselves where an ``article`` or ``main`` element tells their main text. The sample bounds only what is learnt from; every page
 is labelled whole. The fitted weights, a few MB whatever the input, are broadcast.
 
@@ -493,8 +493,10 @@ def training_pages(html: list[str], made: int = MADE, seed: int = 11) -> list[tu
 
 
 def fit(pages: DataFrame) -> dict[str, np.ndarray]:
-    """A model from the sampled pages; from plain words where there are none."""
-    sample = pages.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html")).select("html").limit(SAMPLE)
+    """A model from the sampled pages; from plain words where there are none. A draw of about four times as many rows as are
+    wanted, whatever the size of the table, is ordered by hash; so what reaches the driver doesn't grow with the partitions."""
+    share = min(1.0, 4 * SAMPLE / max(1, pages.count()))
+    sample = pages.sample(fraction=share, seed=7).where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html")).select("html").limit(SAMPLE)
     return train(training_pages([r["html"] for r in sample.collect()]))
 
 
