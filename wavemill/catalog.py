@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import text
 from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, kernels, microstates, models, quality, spectral
+from wavemill.plans import recording_files
 from wavemill.plans import tables as T
 from wavemill.sources import recordings
 
@@ -70,6 +71,12 @@ register("detect_format", "SRC8", "subject:s task:s format:s", lambda s, d: reco
 register("find_file", "SRC7", "subject:s task:s name:s", lambda s, d: recordings.find_file(_files(s, d)), f"{_MANIFEST} SELECT subject, task, name FROM (SELECT *, row_number() OVER (PARTITION BY subject, task ORDER BY priority, ext, name) AS r FROM man) WHERE r = 1")
 register("recording_info", "SRC9", "subject:s n_channels:l n_samples:l duration:d channels:s", lambda s, d: recordings.recording_info(T.ev(s, d), 4.0), T.sql("SELECT subject, count(DISTINCT ch) AS n_channels, max(n) + 1 AS n_samples, max(n) / 4.0 AS duration, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT e2.ch AS c FROM ev e2 WHERE e2.subject = ev.subject)) AS channels FROM ev GROUP BY subject", "ev"))
 
+_SAMPLES_SQL = f"WITH {recording_files.SQL} SELECT subject, 'rest' AS task, 'C' || (i // 8) AS ch, k * 8 + i % 8 AS n, e AS uv FROM (SELECT subject, k, CAST(unnest(embedding) AS DOUBLE) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM v)"
+_MARKS_SQL = f"WITH {recording_files.SQL} SELECT subject, 'rest' AS task, k * 8 AS sample, CAST(label AS VARCHAR) AS kind FROM v"
+for _kind, _format, _id in (("set", "eeglab", "SRC3b"), ("cdt", "curry", "SRC3c")):
+    register(f"{_format}_files", f"{_id} SRC3", "subject:s task:s ch:s n:l uv:d", lambda s, d, k=_kind: recording_files.samples(s, d, k), _SAMPLES_SQL)
+    register(f"{_format}_marks", f"{_id} PRE8", "subject:s task:s sample:l kind:s", lambda s, d, k=_kind: recording_files.marks(s, d, k), _MARKS_SQL)
+
 # --- data quality ----------------------------------------------------------------------------------------------------
 
 _CH = ", c AS (SELECT subject, ch, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, sum(abs(x)) AS a, max(n) AS last FROM ev GROUP BY subject, ch)"

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.sources import vendor
 from wavemill.sources.decoders import decode_cnt, decode_simple_binary
 
 #: Recording formats in order of preference, and the extensions of their files.
 FORMATS = [("neuroscan", 0, ".cnt"), ("eeglab", 1, ".set"), ("eeglab", 1, ".fdt"), ("curry", 2, ".cdt"), ("curry", 2, ".dpa"), ("egi", 3, ".raw")]
 INSTRUMENTS = ("ftnd", "bis11")
+#: Formats that ``vendor`` reads.
+PAIRS = ("eeglab", "curry")
 
 
 def formats(spark: SparkSession) -> DataFrame:
@@ -107,19 +110,31 @@ def load_recordings(spark: SparkSession, paths: str | list[str], decoders: dict[
     return _decoded(files, decoders or DECODERS)
 
 
+def whole_channels(pieces: DataFrame) -> DataFrame:
+    """Pieces of channels (``vendor.PIECES``) put together as ``load_recordings`` gives them; a channel is one row."""
+    rows = pieces.groupBy("subject", "task", "ch_idx", "ch", "sfreq", "error").agg(F.array_sort(F.collect_list(F.struct("n0", "xs"))).alias("p"))
+    return rows.select("subject", "task", "ch_idx", "ch", "sfreq", F.when(F.col("error").isNull(), F.flatten("p.xs")).alias("xs"), "error")
+
+
 def load_task(spark: SparkSession, folder: str, task: str, subjects: list[str] | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """One task's recordings of all subjects, or of those named, as ``load_recordings`` gives them: of each subject the
-    file that ``find_file`` takes. Files of other tasks aren't opened. A file that can't be decoded and a named subject
-    without a file give one row each that says so."""
+    format that ``find_file`` takes. Files of other tasks aren't opened. Pairs of files (.set with .fdt, .cdt with .dpa) are
+    read by ``vendor`` in byte ranges. A file that can't be decoded and a named subject without a file give one row each that
+    says so."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*task-{task}.*").load(folder)
     files = found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
     chosen = find_file(manifest(files.select("name"))).where(F.col("task") == task)
-    if subjects is None:
-        return _decoded(files.join(chosen.select("name"), "name", "left_semi"), decoders or DECODERS)
-    wanted = spark.createDataFrame([(s,) for s in subjects], "subject string").distinct()
-    chosen = chosen.join(wanted, "subject", "left_semi")
-    none = wanted.join(chosen, "subject", "left_anti").select(F.col("subject"), F.lit(task).alias("task"), *(F.lit(None).cast(k).alias(c) for c, k in (("ch_idx", "int"), ("ch", "string"), ("sfreq", "double"), ("xs", "array<double>"))), F.lit("no file").alias("error"))
-    return _decoded(files.join(chosen.select("name"), "name", "left_semi"), decoders or DECODERS).unionByName(none)
+    missing = None
+    if subjects is not None:
+        wanted = spark.createDataFrame([(s,) for s in subjects], "subject string").distinct()
+        chosen = chosen.join(wanted, "subject", "left_semi")
+        nothing = [F.lit(None).cast(k).alias(c) for c, k in (("ch_idx", "int"), ("ch", "string"), ("sfreq", "double"), ("xs", "array<double>"))]
+        missing = wanted.join(chosen, "subject", "left_anti").select("subject", F.lit(task).alias("task"), *nothing, F.lit("no file").alias("error"))
+    pairs = F.col("format").isin(*PAIRS)
+    single = _decoded(files.join(chosen.where(~pairs).select("name"), "name", "left_semi"), decoders or DECODERS)
+    paired = vendor.read_files(spark, folder, subjects, [task]).join(chosen.where(pairs).select("subject"), "subject", "left_semi")
+    out = single.unionByName(whole_channels(paired))
+    return out if missing is None else out.unionByName(missing)
 
 
 def recording_info(samples: DataFrame, sfreq: float) -> DataFrame:
