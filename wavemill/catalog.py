@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.functions import text
-from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, kernels, microstates, models, quality, spectral
+from wavemill.functions import dsp, text
+from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, ica, kernels, microstates, models, preprocessing, quality, spectral
 from wavemill.plans import recording_files
 from wavemill.plans import tables as T
 from wavemill.sources import recordings
@@ -175,18 +175,64 @@ register("edge_frequency", "SPE7", "rec:l edge_freq_50:d edge_freq_90:d edge_fre
 register("relative_power", "relative_power", "rec:l band:s relative_power:d", lambda s, d: spectral.relative_power(_psd(s, d), _bands(s), ["rec"]), T.sql(_PSD + ", " + _BANDS + " SELECT rec, band, sum(p) / any_value(total) AS relative_power FROM (SELECT *, sum(p) OVER (PARTITION BY rec) AS total FROM psd) JOIN bands ON freq BETWEEN lo AND hi GROUP BY rec, band", "sig"))
 register("band_ratios", "SPE8 SPE9", "grp:l alpha_theta_ratio:d beta_alpha_ratio:d theta_beta_ratio:d total_power:d", lambda s, d: spectral.ratios(spectral.by_band(_psd(s, d), _bands(s)).groupBy((F.col("rec") % 20).alias("grp"), F.col("rec").alias("ch"), "band").agg(F.avg("p").alias("power")), ["grp"]), T.sql(_PSD + ", " + _BANDS + ", bp AS (SELECT rec % 20 AS grp, rec, band, avg(p) AS power FROM psd JOIN bands ON freq BETWEEN lo AND hi GROUP BY ALL), m AS (SELECT grp, band, avg(power) AS m FROM bp GROUP BY ALL) SELECT grp, max(m) FILTER (band = 'alpha') / (max(m) FILTER (band = 'theta') + 1e-10) AS alpha_theta_ratio, max(m) FILTER (band = 'beta') / (max(m) FILTER (band = 'alpha') + 1e-10) AS beta_alpha_ratio, max(m) FILTER (band = 'theta') / (max(m) FILTER (band = 'beta') + 1e-10) AS theta_beta_ratio, sum(m) AS total_power FROM m GROUP BY grp", "sig"))
 register("dominant_frequency", "VAL6 VAL7", "grp:l dominant_frequency:d raw_spectral_entropy:d", lambda s, d: spectral.dominant_frequency(_psd(s, d).withColumn("grp", F.col("rec") % 20), ["grp"]), T.sql(_PSD + ", m AS (SELECT rec % 20 AS grp, f_idx, freq, avg(p) AS m, sum(p) AS s, sum(p * ln(p + 1e-10)) AS pl FROM psd GROUP BY ALL) SELECT grp, arg_max(freq, m) AS dominant_frequency, -sum(pl) / sum(s) AS raw_spectral_entropy FROM m GROUP BY grp", "sig"))
-register("band_power", "DSP1 DSP2 SPE2 SPE3 PRE2", "rec:l band:s power:d log_power:d", lambda s, d: kernels.band_power(T.sig(s, d), [("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)], 64.0))
-register("hilbert_phase", "DSP3", "rec:l n:l phase:d", lambda s, d: kernels.phases(T.sig(s, d)).select("rec", F.posexplode("xs").alias("n", "phase")))
-register("bandpass_filter", "PRE1 PRE2 CON3 MIC2", "rec:l n:l x:d", lambda s, d: kernels.bandpass(T.sig(s, d), 2.0, 20.0, 64.0).select("rec", F.posexplode("xs").alias("n", "x")))
-register("fir_filter", "PRE2", "rec:l n:l x:d", lambda s, d: kernels.bandpass(T.sig(s, d), 2.0, 20.0, 64.0, "fir").select("rec", F.posexplode("xs").alias("n", "x")))
-register("notch_filter", "notch", "rec:l n:l x:d", lambda s, d: kernels.notch_filter(T.sig(s, d), 16.0, 64.0).select("rec", F.posexplode("xs").alias("n", "x")))
 
+def _numbers(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
 
-def _recording_channels(s: SparkSession, d: str) -> DataFrame:
-    return T.rec(s, d).groupBy("subject", "ch").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s")).select("subject", "ch", F.col("s.x").alias("xs"))
 
+def _convolved_sql(kernel, pad: int, shift: int, source: str = "sig", keys: str = "rec", circular: bool = True) -> str:
+    """CTEs up to ``y`` (keys, n, x): signals, oddly extended by ``pad`` samples, convolved with a fixed kernel."""
+    place = f"(b.n + {pad} + {shift} - w.i)"
+    match = f"g.m = ({place} + {len(kernel)}) % {len(kernel)}" if circular else f"g.m = {place}"
+    same = " AND ".join(f"b.{k} = w.{k}" for k in keys.split(", "))
+    own = ", ".join(f"b.{k}" for k in keys.split(", "))
+    return f""", ls AS (SELECT {keys}, list(x ORDER BY n) AS xs, count(*) AS c FROM {source} GROUP BY {keys}),
+ pd AS (SELECT *, least({pad}, c - 1) AS p FROM ls),
+ wd AS (SELECT {keys}, i, CASE WHEN i < {pad} THEN 2 * xs[1] - xs[1 + {pad} - i] WHEN i < {pad} + c THEN xs[i - {pad} + 1] ELSE 2 * xs[c] - xs[2 * c - (i - {pad}) - 1] END AS v
+   FROM (SELECT *, unnest(range({pad} - p, {pad} + c + p)) AS i FROM pd)),
+ g AS (SELECT unnest({_numbers(kernel)}) AS g, unnest(range({len(kernel)})) AS m),
+ y AS (SELECT {own}, b.n, sum(w.v * g.g) AS x FROM {source} b JOIN wd w ON {same} JOIN g ON {match} GROUP BY {own}, b.n)"""
 
-register("ica_clean", "PRE3", "subject:s ch:s n:l x:d removed:l", lambda s, d: kernels.ica_clean(_recording_channels(s, d), "C0").select("subject", "ch", "removed", F.posexplode("xs").alias("n", "x")))
+
+def _zero_phase_sql(sos, n: int = 64) -> str:
+    kernel, pad = dsp.zero_phase_kernel(sos, n)
+    return _convolved_sql(kernel, pad, 0)
+
+
+_POWER_BANDS = [("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
+
+
+def _band_power_sql() -> str:
+    parts = []
+    for band, lo, hi in _POWER_BANDS:
+        body = _zero_phase_sql(dsp.butter_bandpass(lo, hi, 64.0)).lstrip(", ")
+        parts.append(f"SELECT * FROM (WITH {body} SELECT rec, '{band}' AS band, avg(x * x) AS power, log10(avg(x * x) + 1e-10) AS log_power FROM y GROUP BY rec)")
+    return T.sql(" UNION ALL ".join(parts), "sig")
+
+
+def _hilbert_sql() -> str:
+    kernel = dsp.analytic_kernel(64)
+    return T.sql(f", g AS (SELECT unnest({_numbers(kernel.real)}) AS re, unnest({_numbers(kernel.imag)}) AS im, unnest(range(64)) AS m) SELECT b.rec, b.n, atan2(sum(w.x * im), sum(w.x * re)) AS phase FROM sig b JOIN sig w ON b.rec = w.rec JOIN g ON g.m = (b.n - w.n + 64) % 64 GROUP BY b.rec, b.n", "sig")
+
+
+_FIR = dsp.fir_bandpass(2.0, 20.0, 64.0)
+register("band_power", "DSP1 DSP2 SPE2 SPE3 PRE2", "rec:l band:s power:d log_power:d", lambda s, d: kernels.band_power(T.sig(s, d), _POWER_BANDS, 64.0), _band_power_sql())
+register("hilbert_phase", "DSP3", "rec:l n:l phase:d", lambda s, d: kernels.phases(T.sig(s, d)).select("rec", F.posexplode("xs").alias("n", "phase")), _hilbert_sql())
+register("bandpass_filter", "PRE2 CON3 MIC2", "rec:l n:l x:d", lambda s, d: kernels.bandpass(T.sig(s, d), 2.0, 20.0, 64.0).select("rec", F.posexplode("xs").alias("n", "x")), T.sql(_zero_phase_sql(dsp.butter_bandpass(2.0, 20.0, 64.0)) + " SELECT rec, n, x FROM y", "sig"))
+register("fir_filter", "PRE2", "rec:l n:l x:d", lambda s, d: kernels.bandpass(T.sig(s, d), 2.0, 20.0, 64.0, "fir").select("rec", F.posexplode("xs").alias("n", "x")), T.sql(_convolved_sql(_FIR, min(len(_FIR) // 2, 63), len(_FIR) // 2, circular=False) + " SELECT rec, n, x FROM y", "sig"))
+register("notch_filter", "notch", "rec:l n:l x:d", lambda s, d: kernels.notch_filter(T.sig(s, d), 16.0, 64.0).select("rec", F.posexplode("xs").alias("n", "x")), T.sql(_zero_phase_sql(dsp.notch(16.0, 64.0)) + " SELECT rec, n, x FROM y", "sig"))
+
+_NUMBERED = ", nr AS (SELECT subject, ch, row_number() OVER (PARTITION BY subject, ch ORDER BY n) - 1 AS n, x FROM rec)"
+_FLOW = preprocessing.Flow(lo=2.0, hi=20.0, method="fir", reject=0.75, flat=0.05)
+register("preprocess_chain", "PRE1", "subject:s ch:s n:l x:d", lambda s, d: preprocessing.preprocess(preprocessing.numbered(T.rec(s, d)), 64.0, _FLOW), T.sql(_NUMBERED + _convolved_sql(_FIR, len(_FIR) // 2, len(_FIR) // 2, "nr", "subject, ch", circular=False) + ", bad AS (SELECT DISTINCT subject, n // 64 AS seg FROM y GROUP BY subject, n // 64, ch HAVING max(x) - min(x) > 0.75 OR max(x) - min(x) < 0.05) SELECT subject, ch, n, x FROM y WHERE (subject, n // 64) NOT IN (SELECT (subject, seg) FROM bad)", "rec"))
+
+
+def _ica(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return ica.clean(preprocessing.numbered(T.rec(s, d)), 64.0, eog=["C0"])
+
+
+register("ica_clean", "PRE3", "subject:s ch:s n:l x:d removed:l", lambda s, d: _ica(s, d)[0])
+register("ica_components", "PRE3", "subject:s component:l eye:d removed:b", lambda s, d: _ica(s, d)[1])
 
 # --- microstates -----------------------------------------------------------------------------------------------------
 

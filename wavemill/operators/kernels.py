@@ -1,7 +1,6 @@
-"""Signal kernels on Spark: one row holds one signal (or one recording's channels), an Arrow batch runs the kernel.
+"""Signal kernels on Spark: one row holds one signal, an Arrow batch runs the kernel.
 
-Band-pass, phases and spectra need one channel at a time, so they run on packed channels without any grouping; only
-ICA, which needs all channels of a recording together, groups by recording.
+Band-pass, phases and spectra need one channel at a time, so they run on packed channels without any grouping.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,25 +61,3 @@ def band_power(packed: DataFrame, bands: list[tuple[str, float, float]], fs: flo
     powers = map_signals(packed, lambda x: np.array([np.mean(dsp.zero_phase(x, sos) ** 2) for sos in filters]), "ps")
     names = F.array(*[F.lit(b[0]) for b in bands])
     return powers.select(*keys, F.posexplode("ps").alias("b", "power")).select(*keys, F.get(names, F.col("b")).alias("band"), "power", F.log10(F.col("power") + 1e-10).alias("log_power"))
-
-
-def ica_clean(packed: DataFrame, reference: str, n: int = 15, limit: float = 3.0) -> DataFrame:
-    """(subject, ch, xs) without the components that follow the reference channel; a recording whose channels don't
-    allow a fit keeps its samples and names the reason in ``error``."""
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch")
-        try:
-            x = np.stack([np.array(v, float) for v in pdf["xs"]])
-            eye = x[pdf["ch"].to_list().index(reference)]
-            y, bad = dsp.remove_components(x, eye, limit, n)
-            return pd.DataFrame({"subject": pdf["subject"], "ch": pdf["ch"], "xs": list(y), "removed": len(bad), "error": None})
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame({"subject": pdf["subject"], "ch": pdf["ch"], "xs": pdf["xs"], "removed": 0, "error": str(e)})
-
-    return packed.select("subject", "ch", "xs").groupBy("subject").applyInPandas(clean, "subject string, ch string, xs array<double>, removed int, error string")
-
-
-def preprocess(packed: DataFrame, fs: float, lo: float = 0.1, hi: float = 100.0, method: str = "iir", reference: str | None = None) -> DataFrame:
-    """Filter, then ICA where a reference channel is named; rejection is ``epochs.drop_bad_segments`` on the long form."""
-    out = bandpass(packed, lo, min(hi, fs / 2 * 0.99), fs, method)
-    return ica_clean(out, reference) if reference else out
