@@ -425,14 +425,36 @@ register("svm", "ML6 ML13", _METRICS, _fitted("svm"))
 register("knn", "ML8 ML13", _METRICS, _fitted("knn"))
 
 
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    """A polynomial machine on all labels of the embeddings: how its guesses on the test part fall."""
+    rows = evaluation.train_test_split(models.vectors(_xy(s, d)), "id", "label")
+    model = models.create("svm", kernel="poly", degree=2, coef0=1.0, gamma="auto").fit(rows.where("split = 'train'"))
+    return evaluation.confusion(model.transform(rows.where("split = 'test'")).withColumn("prediction", F.col("prediction").cast("int")))
+
+
+register("svm_classes", "ML6", "truth:l guess:l n:l", _classes)
+
+#: The configured grids, but for parameters that only steer another library's solver; of each list a part that is named here.
+GRIDS = {
+    "svm": {"kernel": ["rbf", "linear", "poly"], "n_features": [128]},
+    "random_forest": {"n_estimators": [50, 100], "max_depth": [3, 5]},
+    "knn": {"n_neighbors": [3, 5, 7], "weights": ["uniform", "distance"]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0]},
+    "unknown": {},
+}
+
+
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    specs = {"svm": {"C": [1.0], "n_features": [128], "maxIter": [30]}, "random_forest": {"max_depth": [3]}, "knn": {"n_neighbors": [3, 5]}, "logistic_regression": {"C": [0.1, 1.0]}, "unknown": {}}
-    got = models.train_models(_binary(s, d), specs, k=3)
-    rows = [(n, r.get("cv_score"), got["best"] == n, "error" in r) for n, r in got["models"].items()]
-    return s.createDataFrame(rows, "model string, cv_score double, best boolean, failed boolean")
+    return models.summary_table(s, models.train_models(_binary(s, d), GRIDS, k=5)).withColumn("failed", F.col("error").isNotNull())
+
+
+def _importance(s: SparkSession, d: str) -> DataFrame:
+    model = models.create("random_forest", max_depth=5).fit(_binary(s, d))
+    return s.createDataFrame(models.feature_importance(model, [f"f{k:02d}" for k in range(64)]), "feature string, importance double")
 
 
-register("grid_search", "ML1 ML2 ML3 ML12 ML15 M14", "model:s cv_score:d best:b failed:b", _grid)
+register("grid_search", "ML1 ML2 ML3 ML15 M14", "model:s cv_score:d params:s best:b failed:b", _grid)
+register("feature_importance", "ML12", "feature:s importance:d", _importance)
 
 # --- utilities -------------------------------------------------------------------------------------------------------
 

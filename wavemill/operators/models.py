@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.operators.evaluation import metrics, roc_auc, stratified_folds
+from wavemill.operators.machines import PairwiseMachines, PolynomialMap, scale_of
 from wavemill.operators.neighbours import k_nearest, votes
 
 
@@ -46,7 +47,7 @@ def random_features(rows: DataFrame, n: int, gamma: float, dim: int, seed: int =
 
 
 class KernelMap(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features of ``features``; gamma 0 means 1 / (dimensions x variance), measured when fitting."""
+    """Random Fourier features of ``features``; gamma 0 means 1 / (dimensions x variance), a negative one 1 / dimensions."""
 
     gamma = Param(Params._dummy(), "gamma", "width of the kernel exp(-gamma |x - y|^2)", TypeConverters.toFloat)
     n = Param(Params._dummy(), "n", "number of features", TypeConverters.toInt)
@@ -57,15 +58,8 @@ class KernelMap(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(gamma=gamma, n=n, seed=seed)
 
     def _fit(self, rows: DataFrame) -> KernelMapModel:
-        x = vector_to_array("features")
-        # variance over all components of all rows, as one number
-        parts = rows.select(F.size(x).alias("d"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v).alias("s"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v).alias("q"))
-        got = parts.agg(F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("n")).first()
-        if not got["n"]:
-            raise ValueError("nothing to fit on")
-        variance = got["q"] / got["n"] - (got["s"] / got["n"]) ** 2
-        gamma = self.getOrDefault("gamma") or 1 / (got["d"] * variance if variance > 0 else 1.0)
-        return KernelMapModel(gamma, self.getOrDefault("n"), self.getOrDefault("seed"), got["d"])
+        gamma, dim = scale_of(rows, self.getOrDefault("gamma"))
+        return KernelMapModel(gamma, self.getOrDefault("n"), self.getOrDefault("seed"), dim)
 
 
 class KernelMapModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -102,28 +96,46 @@ class NeighboursModel(Model):
         self.train, self.n_neighbors, self.weights = train, n_neighbors, weights
 
     def _transform(self, rows: DataFrame) -> DataFrame:
+        """Adds prediction, and probability: a vector with a place for each label from 0 to the greatest seen."""
+        most = self.train.agg(F.max("label")).first()[0]
         got = votes(k_nearest(self.train, rows, self.n_neighbors), self.weights)
         share = lambda k: F.coalesce(F.try_element_at("votes", F.lit(k)) / F.col("total"), F.lit(0.0))
-        known = got.select("id", F.col("prediction").cast("double").alias("prediction"), array_to_vector(F.array(share(0), share(1))).alias("probability"))
+        shares = F.array(*(share(k) for k in range(max(1, int(most or 0)) + 1)))
+        known = got.select("id", F.col("prediction").cast("double").alias("prediction"), array_to_vector(shares).alias("probability"))
         return rows.drop("prediction", "probability").join(known, "id", "left")
 
 
+class CountedLogisticRegression(Estimator):
+    """Logistic regression whose C weighs the sum of the losses of the rows it is fitted on, whatever their number."""
+
+    def __init__(self, C: float | None = None, **params):  # noqa: N803
+        super().__init__()
+        self.c, self.given = C, params
+
+    def _fit(self, rows: DataFrame) -> LogisticRegressionModel:
+        penalty = 1 / (self.c * max(1, rows.count())) if self.c else 0.0
+        return LogisticRegression(regParam=penalty, elasticNetParam=0.0, standardization=False, **self.given).fit(rows)
+
+
+#: Names of gamma as numbers: measured from the variance, or by the dimensions alone.
+GAMMAS = {"scale": 0.0, "auto": -1.0}
+
+
 def create(name: str, seed: int = 42, n_rows: int | None = None, **params):
-    """A classifier by name and by the usual names of its parameters; C of a regularised model is turned into 1 / (C n).
+    """A classifier by name and by the usual names of its parameters; C weighs the losses of the rows a model is fitted on.
 
-    svm (C, kernel rbf or linear, gamma, n_features): a linear machine for two classes, on random Fourier features for the
-    kernel, with probabilities by a logistic fit to its margins. random_forest (n_estimators, max_depth), knn (n_neighbors,
-    weights) and logistic_regression (C).
+    svm (C, kernel rbf, poly or linear, gamma, degree, coef0, n_features, maxIter): machines for all pairs of classes, with
+    probabilities, on random Fourier features or a tensor sketch for the kernel. random_forest (n_estimators, max_depth), knn
+    (n_neighbors, weights) and logistic_regression (C). ``n_rows`` isn't needed.
     """
-    penalty = lambda default: 1 / (params.pop("C", 1.0) * n_rows) if n_rows else default if "C" not in params else 1 / (1000 * params.pop("C"))
     if name == "svm":
-        kernel = params.pop("kernel", "rbf")
-        if kernel not in ("rbf", "linear"):
+        kernel, gamma = params.pop("kernel", "rbf"), params.pop("gamma", "scale")
+        if kernel not in ("rbf", "poly", "linear"):
             raise ValueError(f"unknown kernel {kernel}")
-        gamma = params.pop("gamma", "scale")
-        first = [KernelMap(0.0 if gamma == "scale" else float(gamma), params.pop("n_features", 512), seed)] if kernel == "rbf" else []
-        machine = LinearSVC(featuresCol="fourier" if first else "features", rawPredictionCol="margin", predictionCol="side", regParam=penalty(0.001), **params)
-        return Pipeline(stages=[*first, machine, LogisticRegression(featuresCol="margin", regParam=1e-6)])
+        gamma = GAMMAS[gamma] if gamma in GAMMAS else float(gamma)
+        n, degree, coef0 = params.pop("n_features", 512 if kernel == "rbf" else 1024), params.pop("degree", 3), params.pop("coef0", 0.0)
+        first = {"rbf": [KernelMap(gamma, n, seed)], "poly": [PolynomialMap(gamma, coef0, degree, n, seed)], "linear": []}[kernel]
+        return Pipeline(stages=[*first, PairwiseMachines(params.pop("C", 1.0), featuresCol={"rbf": "fourier", "poly": "sketch", "linear": "features"}[kernel], **params)])
     if name == "random_forest":
         depth = {"maxDepth": params.pop("max_depth")} if params.get("max_depth") is not None else {}
         params.pop("max_depth", None)
@@ -131,7 +143,7 @@ def create(name: str, seed: int = 42, n_rows: int | None = None, **params):
     if name == "knn":
         return Neighbours(**params)
     if name == "logistic_regression":
-        return LogisticRegression(regParam=penalty(0.0), elasticNetParam=0.0, standardization=False, maxIter=params.pop("max_iter", 100), **params)
+        return CountedLogisticRegression(params.pop("C", None), maxIter=params.pop("max_iter", 100), **params)
     raise ValueError(f"unknown model {name}")
 
 
@@ -239,5 +251,26 @@ def load_models(path: str) -> dict:
     return info
 
 
+def model_of(results: dict, name: str | None = None):
+    """The named model of ``train_models``, or the best; ValueError where there is none, or where it wasn't trained."""
+    name = name or results["best"]
+    if name is None:
+        raise ValueError("no model has been trained")
+    if "model" not in results["models"].get(name, {}):
+        raise ValueError(f"model {name} has not been trained")
+    return results["models"][name]["model"]
+
+
+def predict(results: dict, rows: DataFrame, name: str | None = None) -> DataFrame:
+    """rows with prediction and, by class, probability of the named or the best model."""
+    return model_of(results, name).transform(rows)
+
+
+def summary_table(spark: SparkSession, results: dict) -> DataFrame:
+    """One row for each configured model: its accuracy in cross-validation, parameters, whether it is the best, its error."""
+    rows = [(n, r.get("cv_score"), json.dumps(r.get("best_params", {}), sort_keys=True), results["best"] == n, r.get("error")) for n, r in results["models"].items()]
+    return spark.createDataFrame(rows, "model string, cv_score double, params string, best boolean, error string")
+
+
 def summary(results: dict) -> dict:
     return {"best": results["best"], "scores": {n: r.get("cv_score") for n, r in results["models"].items()}}
