@@ -19,7 +19,7 @@ def test_query_agrees_with_sql(spark, duck, data, name):
     assert key(ours) == key(theirs)
 
 
-SLOW = {"microstate_clusters", "grid_search", "random_forest", "svm"}
+SLOW = {"microstate_clusters", "microstate_chain", "microstate_templates", "grid_search", "random_forest", "svm"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))

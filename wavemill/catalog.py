@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import dsp, text
-from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, ica, kernels, microstates, models, preprocessing, quality, spectral
+from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, hmm, ica, kernels, microstates, models, preprocessing, quality, spectral, timefreq
 from wavemill.plans import recording_files
 from wavemill.plans import tables as T
 from wavemill.sources import recordings
@@ -234,6 +234,16 @@ def _ica(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 register("ica_clean", "PRE3", "subject:s ch:s n:l x:d removed:l", lambda s, d: _ica(s, d)[0])
 register("ica_components", "PRE3", "subject:s component:l eye:d removed:b", lambda s, d: _ica(s, d)[1])
 
+# --- time and frequency ----------------------------------------------------------------------------------------------
+
+_TAPERS = timefreq.slepian(64, 2.5, 4)[0]
+_TAPERED = ", m AS (SELECT rec, n, x - avg(x) OVER (PARTITION BY rec) AS x FROM sig), tp AS (" + " UNION ALL ".join(f"SELECT {_k} AS k, unnest({_numbers(_v)}) AS h, unnest(range(64)) AS n" for _k, _v in enumerate(_TAPERS)) + "), fq AS (SELECT unnest(range(33)) AS f), ft AS (SELECT rec, k, f, pow(sum(x * h * cos(2 * pi() * f * n / 64)), 2) + pow(sum(x * h * sin(2 * pi() * f * n / 64)), 2) AS s FROM m JOIN tp USING (n), fq GROUP BY rec, k, f)"
+register("multitaper_psd", "multitaper spectra", "rec:l f_idx:l freq:d p:d", lambda s, d: timefreq.multitaper_psd(T.sig(s, d), 64.0, 2.5, adaptive=False), T.sql(_TAPERED + " SELECT rec, f AS f_idx, CAST(f AS DOUBLE) AS freq, avg(s) / 64 * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END AS p FROM ft GROUP BY rec, f", "sig"))
+register("multitaper_adaptive", "multitaper spectra", "rec:l f_idx:l freq:d p:d", lambda s, d: timefreq.multitaper_psd(T.sig(s, d), 64.0))
+_WAVES = [(_f, timefreq.morlet(_f, 64.0, 5.0)) for _f in (6.0, 10.0, 20.0)]
+_WAVE_SQL = " UNION ALL ".join(f"SELECT * FROM (WITH g AS (SELECT unnest({_numbers(_w.real)}) AS re, unnest({_numbers(_w.imag)}) AS im, unnest(range({len(_w)})) - {len(_w) // 2} AS m) SELECT b.subject, b.ch, {_f}::DOUBLE AS freq, b.n, pow(sum(w.x * re), 2) + pow(sum(w.x * im), 2) AS power FROM nr b CROSS JOIN g JOIN nr w ON b.subject = w.subject AND b.ch = w.ch AND w.n = b.n - g.m WHERE b.n % 16 = 0 GROUP BY b.subject, b.ch, b.n)" for _f, _w in _WAVES)
+register("wavelet_power", "wavelet time-frequency power", "subject:s ch:s freq:d n:l power:d", lambda s, d: timefreq.wavelet_power(preprocessing.numbered(T.rec(s, d)), 64.0, [_f for _f, _ in _WAVES], 5.0, 16, 512), T.sql(_NUMBERED + " " + _WAVE_SQL, "rec"))
+
 # --- microstates -----------------------------------------------------------------------------------------------------
 
 _RUNS = ", ch AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY subject ORDER BY n) THEN 0 ELSE 1 END AS new FROM seq), ru AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY n) AS run FROM ch), sg AS (SELECT subject, state, min(n) AS start, max(n) + 1 AS \"end\", count(*) AS length FROM ru GROUP BY subject, run, state)"
@@ -247,6 +257,23 @@ register("transition_matrix", "MIC10", "subject:s a:l b:l p:d", lambda s, d: mic
 register("transition_entropy", "MIC11", "subject:s state:l transition_entropy:d self_transition:d global_transition_entropy:d", lambda s, d: microstates.transition_entropy(microstates.transitions(T.seq(s, d), 5)), T.sql(_TRANS + ", z AS (SELECT *, p / sum(p) OVER (PARTITION BY subject) AS q FROM tm) SELECT subject, a AS state, coalesce(sum(-p * ln(p)) FILTER (p > 0), 0) AS transition_entropy, max(p) FILTER (a = b) AS self_transition, sum(coalesce(sum(-q * ln(q)) FILTER (q > 0), 0)) OVER (PARTITION BY subject) AS global_transition_entropy FROM z GROUP BY subject, a", "seq"))
 
 
+def _states(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return microstates.analyse(preprocessing.numbered(T.rec(s, d)), 64.0, 4, 2)
+
+
+register("microstate_chain", "MIC1 MIC2", "subject:s state:l coverage:d frequency:d", lambda s, d: _states(s, d)[0])
+register("microstate_templates", "MIC5", "state:l ch:s v:d", lambda s, d: _states(s, d)[1])
+register("microstate_input", "MIC2", "subject:s ch:s n:l x:d", lambda s, d: microstates.prepared(preprocessing.numbered(T.rec(s, d)), 64.0, method="fir"), T.sql(_NUMBERED + _convolved_sql(_FIR, len(_FIR) // 2, len(_FIR) // 2, "nr", "subject, ch", circular=False) + " SELECT subject, ch, n, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS x FROM y WINDOW w AS (PARTITION BY subject, ch)", "rec"))
+
+
+def _hidden(s: SparkSession, d: str) -> DataFrame:
+    cut = hmm.cut_blocks(microstates.prepared(preprocessing.numbered(T.rec(s, d)), 64.0), 512)
+    return hmm.paths(cut, hmm.fit(cut, 4, max_iter=20)[0])
+
+
+register("microstate_hmm", "hidden-Markov microstates", "subject:s n:l state:l", _hidden)
+
+
 def _gfp_labels(s: SparkSession, d: str) -> DataFrame:
     return T.rec(s, d).select("subject", "n").distinct().withColumn("state", (F.col("n") % 8).cast("int"))
 
@@ -284,6 +311,11 @@ def _pair_signals(s: SparkSession, d: str) -> DataFrame:
 
 register("coherence", "CON7 DSP5", "subject:s i:s j:s w:d", lambda s, d: connectivity.coherence(_pair_signals(s, d), 1000.0, 8), T.sql(", c0 AS (SELECT rec, CAST(n // 16 AS INTEGER) AS ch, n % 16 AS n, x FROM sig), seg AS (SELECT rec, ch, g, n - g * 4 AS j, x - avg(x) OVER (PARTITION BY rec, ch, g) AS x FROM c0, (SELECT unnest([0, 1, 2]) AS g) WHERE n - g * 4 BETWEEN 0 AND 7), wi AS (SELECT rec, ch, g, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS x FROM seg), fr AS (SELECT CAST(unnest(range(5)) AS BIGINT) AS f), z AS (SELECT rec, ch, g, f, sum(x * cos(2 * pi() * f * j / 8)) AS re, sum(-x * sin(2 * pi() * f * j / 8)) AS im FROM wi, fr GROUP BY ALL), cr AS (SELECT a.rec, a.ch AS i, b.ch AS j, a.f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM z a JOIN z b ON a.rec = b.rec AND a.g = b.g AND a.f = b.f AND a.ch < b.ch GROUP BY ALL) SELECT CAST(rec AS VARCHAR) AS subject, 'C' || i AS i, 'C' || j AS j, avg((re * re + im * im) / (pa * pb)) AS w FROM cr GROUP BY ALL", "sig"))
 
+_CON_BANDS = [("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
+_BAND_CORR = " UNION ALL ".join(f"SELECT * FROM (WITH {_convolved_sql(_t, len(_t) // 2, len(_t) // 2, 'nr', 'subject, ch', circular=False).lstrip(', ')} SELECT a.subject, '{_b}' AS band, a.ch AS i, b.ch AS j, abs(corr(a.x, b.x)) AS w FROM y a JOIN y b ON a.subject = b.subject AND a.n = b.n AND a.ch < b.ch GROUP BY ALL)" for _b, _lo, _hi in _CON_BANDS for _t in (dsp.fir_bandpass(_lo, _hi, 64.0),))
+register("band_connectivity", "CON1 CON2 CON3", "subject:s band:s i:s j:s w:d", lambda s, d: connectivity.by_band(preprocessing.numbered(T.rec(s, d)), 64.0, _CON_BANDS, "correlation", "fir"), T.sql(_NUMBERED + " " + _BAND_CORR, "rec"))
+register("band_plv", "CON1 CON2 CON5", "subject:s band:s i:s j:s w:d", lambda s, d: connectivity.by_band(preprocessing.numbered(T.rec(s, d)), 64.0, _CON_BANDS, "plv"))
+
 _GRAPH = ", mir AS (SELECT subject, i AS a, j AS b, w FROM e UNION ALL SELECT subject, j, i, w FROM e), nd AS (SELECT DISTINCT subject, a AS node FROM mir), ge AS (SELECT * FROM mir WHERE w >= 0.06), dg AS (SELECT nd.subject, node, count(ge.b) AS d FROM nd LEFT JOIN ge ON ge.subject = nd.subject AND ge.a = node GROUP BY ALL), tr AS (SELECT p.subject, p.a AS node, count(*) AS t FROM ge p JOIN ge q ON p.subject = q.subject AND p.a = q.a AND p.b < q.b JOIN ge r ON r.subject = p.subject AND r.a = p.b AND r.b = q.b GROUP BY ALL)"
 
 

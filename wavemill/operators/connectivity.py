@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import dsp
+from wavemill.operators import kernels, preprocessing
 from wavemill.operators.quality import gram, pearson
 
 N_BINS = 20
@@ -84,6 +85,24 @@ def matrix(samples: DataFrame, method: str, **options) -> DataFrame:
     return table[method](samples, **options)
 
 
+def by_band(samples: DataFrame, fs: float, bands: list[tuple[str, float, float]], method: str = "plv", filter_method: str = "iir", **options) -> DataFrame:
+    """Edges (subject, band, i, j, w) of samples (subject, ch, n, x, numbered without gaps): for each band the channels are
+    filtered, for plv turned into phases, and compared by the method."""
+    channels = preprocessing.packed(samples)
+    out = None
+    for band, lo, hi in bands:
+        filtered = kernels.bandpass(channels, lo, hi, fs, filter_method)
+        if method == "coherence":
+            edges = matrix(filtered.select("subject", "ch", "xs"), method, **options)
+        else:
+            edges = matrix(preprocessing.unpacked(kernels.phases(filtered) if method == "plv" else filtered), method, **options)
+        edges = edges.select("subject", F.lit(band).alias("band"), "i", "j", "w")
+        out = edges if out is None else out.unionByName(edges)
+    if out is None:
+        raise ValueError("no bands")
+    return out
+
+
 def coupling(one: DataFrame, two: DataFrame) -> DataFrame:
     """Cross-frequency coupling: the mean over i <> j of the phase locking of channel i in one band and j in the other.
 

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.operators import kernels, preprocessing
 from wavemill.operators.spectral import entropy
 
 MIN_SEGMENT = 10
@@ -112,5 +113,21 @@ def cluster(samples: DataFrame, n_states: int = 4, n_init: int = 10, max_iter: i
     return labels, [[float(v) + mean[c] for c, v in zip(channels, back @ best.clusterCenters()[old])] for old in order]
 
 
+def prepared(samples: DataFrame, fs: float, lo: float = 2.0, hi: float = 20.0, method: str = "iir") -> DataFrame:
+    """Samples (subject, ch, n, x, numbered without gaps) filtered to the microstates' band, then z-scores by channel."""
+    filtered = kernels.bandpass(preprocessing.packed(samples), lo, min(hi, fs / 2 * 0.99), fs, method)
+    return zscore(preprocessing.unpacked(filtered))
+
+
+def analyse(samples: DataFrame, fs: float, n_states: int = 4, least: int = MIN_SEGMENT, **options) -> tuple[DataFrame, DataFrame]:
+    """The whole flow of a recording's microstates: filter, z-scores, clusters; then by (subject, state) the coverage and the
+    kept segments a second, and the templates (state, ch, v) in channel space."""
+    ready = prepared(samples, fs)
+    labels, centres = cluster(ready, n_states, **options)
+    channels = sorted(r["ch"] for r in ready.select("ch").distinct().collect())
+    templates = samples.sparkSession.createDataFrame([(k, c, float(v)) for k, row in enumerate(centres) for c, v in zip(channels, row)], "state int, ch string, v double")
+    return coverage(labels, n_states).join(occurrence(labels, n_states, fs, least), ["subject", "state"]), templates
+
+
 def packed_vector(col: str):
     return vector_to_array(F.col(col))
