@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import dsp, text
-from wavemill.operators import connectivity, epochs, erp, evaluation, fusion, graph, hmm, ica, kernels, microstates, models, preprocessing, quality, spectral, timefreq
+from wavemill.operators import connectivity, epochs, erp, evaluation, fused, fusion, graph, hmm, ica, kernels, microstates, models, preprocessing, quality, spectral, timefreq
 from wavemill.plans import recording_files
 from wavemill.plans import tables as T
+from wavemill.plans.shared import shared_dir
 from wavemill.sources import recordings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,6 +334,7 @@ register("node_strength", "CON10", "subject:s mean_node_strength:d std_node_stre
 register("clustering", "CON12", "subject:s clustering_coefficient:d", lambda s, d: graph.clustering(_edges(s, d), graph.nodes_of(_edges(s, d)), 0.06), T.sql(_CORR + _GRAPH + " SELECT dg.subject, coalesce(avg(coalesce(t, 0) / (d * (d - 1) / 2.0)) FILTER (d >= 2), 0) AS clustering_coefficient FROM dg LEFT JOIN tr USING (subject, node) GROUP BY dg.subject", "rec"))
 register("avg_clustering", "CON14 CON13", "subject:s average_clustering:d", lambda s, d: _graph(s, d, graph.average_clustering), T.sql(_CORR + _GRAPH + " SELECT dg.subject, avg(CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1) / 2.0) ELSE 0 END) AS average_clustering FROM dg LEFT JOIN tr USING (subject, node) GROUP BY dg.subject", "rec"))
 register("shortest_path", "CON15 CON16 CON17 CON21", "subject:s is_connected:b average_shortest_path:d diameter:l global_efficiency:d", lambda s, d: _graph(s, d, graph.paths), (T.sql(_CORR + _GRAPH + ", walk(subject, s, v, h) AS (SELECT subject, node, node, 0 FROM nd UNION SELECT w.subject, w.s, ge.b, w.h + 1 FROM walk w JOIN ge ON ge.subject = w.subject AND ge.a = w.v WHERE w.h < 7), ds AS (SELECT subject, s, v, min(h) AS h FROM walk WHERE s <> v GROUP BY ALL), nn AS (SELECT subject, count(*) AS n FROM nd GROUP BY subject) SELECT nn.subject, count(h) = any_value(n * (n - 1)) AS is_connected, CASE WHEN count(h) = any_value(n * (n - 1)) THEN avg(h) END AS average_shortest_path, CASE WHEN count(h) = any_value(n * (n - 1)) THEN max(h) END AS diameter, coalesce(sum(1.0 / h), 0) / any_value(n * (n - 1)) AS global_efficiency FROM nn LEFT JOIN ds USING (subject) GROUP BY nn.subject", "rec")).replace("WITH ", "WITH RECURSIVE ", 1))
+register("local_efficiency", "local efficiency", "subject:s local_efficiency:d", lambda s, d: _graph(s, d, graph.local_efficiency), (T.sql(_CORR + _GRAPH + ", walk(subject, u, s, v, h) AS (SELECT subject, a, b, b, 0 FROM ge UNION SELECT w.subject, w.u, w.s, e.b, w.h + 1 FROM walk w JOIN ge e ON e.subject = w.subject AND e.a = w.v JOIN ge o ON o.subject = w.subject AND o.a = w.u AND o.b = e.b WHERE w.h < 7), ds AS (SELECT subject, u, s, v, min(h) AS h FROM walk WHERE s <> v GROUP BY ALL), per AS (SELECT subject, u, sum(1.0 / h) AS t FROM ds GROUP BY ALL) SELECT dg.subject, avg(CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) AS local_efficiency FROM dg LEFT JOIN per ON per.subject = dg.subject AND per.u = dg.node GROUP BY dg.subject", "rec")).replace("WITH ", "WITH RECURSIVE ", 1))
 register("graph_density", "CON18", "subject:s density:d number_of_edges:l number_of_nodes:l", lambda s, d: _graph(s, d, graph.density), T.sql(_CORR + _GRAPH + " SELECT subject, sum(d) / (count(*) * (count(*) - 1)) AS density, sum(d) / 2 AS number_of_edges, count(*) AS number_of_nodes FROM dg GROUP BY subject", "rec"))
 register("degree_centrality", "CON19", "subject:s mean_degree_centrality:d std_degree_centrality:d min_degree:l max_degree:l", lambda s, d: _graph(s, d, graph.degree_centrality), T.sql(_CORR + _GRAPH + " SELECT subject, avg(d / 7.0) AS mean_degree_centrality, stddev_pop(d / 7.0) AS std_degree_centrality, min(d) AS min_degree, max(d) AS max_degree FROM dg GROUP BY subject", "rec"))
 register("betweenness", "CON20", "subject:s mean_betweenness_centrality:d std_betweenness_centrality:d", lambda s, d: _graph(s, d, graph.betweenness_centrality), T.sql(_CORR + _GRAPH + ", walk(subject, s, v, h, c) AS (SELECT subject, node, node, 0, 1::DOUBLE FROM nd UNION ALL SELECT w.subject, w.s, ge.b, w.h + 1, sum(w.c) FROM walk w JOIN ge ON ge.subject = w.subject AND ge.a = w.v WHERE w.h < 7 GROUP BY w.subject, w.s, ge.b, w.h + 1), ds AS (SELECT subject, s, v, min(h) AS h, arg_min(c, h) AS c FROM walk GROUP BY subject, s, v), bt AS (SELECT p.subject, p.v AS node, sum(p.c * q.c / r.c) AS t FROM ds p JOIN ds q ON q.subject = p.subject AND q.s = p.v JOIN ds r ON r.subject = p.subject AND r.s = p.s AND r.v = q.v AND r.h = p.h + q.h WHERE p.s <> p.v AND q.v <> p.v AND p.s <> q.v GROUP BY ALL) SELECT nd.subject, avg(coalesce(t, 0) / 42.0) AS mean_betweenness_centrality, stddev_pop(coalesce(t, 0) / 42.0) AS std_betweenness_centrality FROM nd LEFT JOIN bt USING (subject, node) GROUP BY nd.subject", "rec").replace("WITH ", "WITH RECURSIVE ", 1))
@@ -387,7 +389,24 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
     return fusion.apply_pca(fusion.fit_pca(wide, names, 3), wide, ["id"])
 
 
-register("pca", "FUS4 FUS10 FUS13", "id:l pca_component_0:d pca_component_1:d pca_component_2:d", _pca)
+def _chain(s: SparkSession, d: str, settings: fused.Settings) -> DataFrame:
+    """Fitted on four of five ids, saved, loaded and applied to the fifth."""
+    rows = T.ft(s, d).withColumn("value", F.when(~(F.col("value") > 0.25), F.col("value")))
+    path = shared_dir(s, "fused")
+    fused.fit(rows.where("id % 5 <> 0"), settings).save(path)
+    return fused.load(s, path).apply(rows.where("id % 5 = 0"))
+
+
+_CHAIN = """, h AS (SELECT id, label, name, CASE WHEN value > 0.25 THEN NULL ELSE value END AS value FROM ft),
+ md AS (SELECT name, quantile_cont(value, 0.5) AS m FROM h WHERE id % 5 <> 0 GROUP BY name),
+ fl AS (SELECT id, label, name, coalesce(value, m) AS value FROM h JOIN md USING (name)),
+ sc AS (SELECT name, avg(value) AS a, stddev_pop(value) AS b FROM fl WHERE id % 5 <> 0 GROUP BY name),
+ pc AS (SELECT name, label, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM fl WHERE id % 5 <> 0 GROUP BY ALL),
+ an AS (SELECT name, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1) / ((sum(ss) - sum(s * s / n)) / (sum(n) - count(*))) AS f_score FROM pc GROUP BY name QUALIFY row_number() OVER (ORDER BY f_score DESC, name) <= 20)
+ SELECT id, name, (value - a) / b AS value FROM fl JOIN sc USING (name) JOIN an USING (name) WHERE id % 5 = 0"""
+register("fusion_chain", "FUS4 FUS13 SNK10 SRC14 FUS5 FUS7 FUS11", "id:l name:s value:d", lambda s, d: _chain(s, d, fused.Settings("standard", "f_classif", 20)), T.sql(_CHAIN, "ft"))
+register("fusion_chain_pca", "FUS4 FUS13 SNK10 FUS10", "id:l name:s value:d", lambda s, d: _chain(s, d, fused.Settings("standard", "f_classif", 20, 5)))
+register("pca", "FUS10", "id:l pca_component_0:d pca_component_1:d pca_component_2:d", _pca)
 
 # --- models and evaluation -------------------------------------------------------------------------------------------
 

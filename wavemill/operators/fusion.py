@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.operators.ranks import quantiles
+
 
 def flatten(scalars: DataFrame | None, arrays: DataFrame | None) -> DataFrame:
     """Feature records (subject, task, ftype, name, value or values) to (subject, feature, value); arrays get _i suffixes."""
@@ -45,8 +47,8 @@ def per_task(long: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def impute_median(long: DataFrame, key: str = "name") -> DataFrame:
     """Nulls of a feature become its exact median."""
-    m = long.groupBy(key).agg(F.percentile("value", 0.5).alias("median"))
-    return long.join(F.broadcast(m), key).withColumn("value", F.coalesce("value", "median")).drop("median")
+    m = quantiles(long, [0.5], key).select(key, F.get("q", F.lit(0)).alias("median"))
+    return long.join(m, key, "left").withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
 def mode(df: DataFrame, column: str) -> DataFrame:
@@ -70,11 +72,11 @@ def scale(long: DataFrame, method: str = "standard", key: str = "name") -> DataF
         s = long.groupBy(key).agg(F.min("value").alias("a"), F.max("value").alias("b"))
         new = F.coalesce(F.try_divide(v - F.col("a"), F.col("b") - F.col("a")), v - v)
     elif method == "robust":
-        s = long.groupBy(key).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        s = quantiles(long, [0.25, 0.5, 0.75], key)
         new = (v - F.get("q", F.lit(1))) / F.when(F.get("q", F.lit(2)) > F.get("q", F.lit(0)), F.get("q", F.lit(2)) - F.get("q", F.lit(0))).otherwise(1.0)
     else:
         return long
-    return long.join(F.broadcast(s), key).withColumn("value", new).select(*long.columns)
+    return long.join(s, key).withColumn("value", new).select(*long.columns)
 
 
 def fit_pca(wide: DataFrame, columns: list[str], k: int) -> PipelineModel:
@@ -102,7 +104,7 @@ def mutual_information(long: DataFrame, n_bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each feature, in equal bins of its range, and the label."""
     s = long.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     b = F.coalesce(F.least(F.lit(n_bins - 1), F.floor(F.try_divide((F.col("value") - F.col("lo")) * n_bins, F.col("hi") - F.col("lo"))).cast("int")), F.lit(0))
-    joint = long.join(F.broadcast(s), "name").groupBy("name", b.alias("b"), "label").agg(F.count("*").alias("c"))
+    joint = long.join(s, "name").groupBy("name", b.alias("b"), "label").agg(F.count("*").alias("c"))
     h = lambda *cols: joint.groupBy("name", *cols).agg(F.sum("c").alias("c")).groupBy("name").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias("h_" + "_".join(cols)))
     both = h("b").join(h("label"), "name").join(h("b", "label"), "name")
     return both.select("name", (F.col("h_b") + F.col("h_label") - F.col("h_b_label")).alias("mi"))
@@ -116,14 +118,13 @@ def select_k(scores: DataFrame, score: str, k: int) -> DataFrame:
 
 def variance_filter(long: DataFrame, least: float) -> DataFrame:
     keep = long.groupBy("name").agg(F.var_pop("value").alias("v")).where(F.col("v") > least).select("name")
-    return long.join(F.broadcast(keep), "name", "left_semi")
+    return long.join(keep, "name", "left_semi")
 
 
 def describe(long: DataFrame) -> DataFrame:
     """count, nulls, mean, sample deviation, extremes and exact quartiles of each feature."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = long.groupBy("name").agg(F.count("value").alias("count"), F.count_if(F.col("value").isNull()).cast("long").alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return rows.select("name", "count", "nulls", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
+    rows = long.groupBy("name").agg(F.count("value").alias("count"), F.count_if(F.col("value").isNull()).cast("long").alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return rows.join(quantiles(long, [0.25, 0.5, 0.75]), "name", "left").select("name", "count", "nulls", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
 
 
 def prefix_counts(names: DataFrame, column: str = "feature") -> DataFrame:

@@ -119,6 +119,26 @@ def paths(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return _whole(graph, nodes, fn, "subject string, is_connected boolean, average_shortest_path double, diameter bigint, global_efficiency double")
 
 
+def local_efficiency(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mean over nodes of the efficiency among a node's neighbours, paths running among them alone; 0 for fewer than two."""
+    def fn(n: int, edges: list[tuple[int, int]]) -> tuple:
+        near: list[list[int]] = [[] for _ in range(n)]
+        for a, b in edges:
+            if a != b:
+                near[a].append(b)
+                near[b].append(a)
+        total = 0.0
+        for around in map(sorted, map(set, near)):
+            at = {v: k for k, v in enumerate(around)}
+            among = [(at[a], at[b]) for a in around for b in near[a] if b in at and a < b]
+            d = _hops(len(around), among)
+            off = d[~np.eye(len(around), dtype=bool)]
+            total += float((1 / off).mean()) if len(off) else 0.0
+        return (total / n if n else 0.0,)
+
+    return _whole(graph, nodes, fn, "subject string, local_efficiency double")
+
+
 def betweenness_centrality(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     def fn(n: int, edges: list[tuple[int, int]]) -> tuple:
         b = dsp.betweenness(n, edges)
