@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import dsp, text
-from wavemill.operators import connectivity, epochs, erp, evaluation, fused, fusion, graph, hmm, ica, kernels, microstates, models, preprocessing, quality, spectral, timefreq
+from wavemill.operators import connectivity, epochs, erp, evaluation, explain, fused, fusion, graph, hmm, ica, kernels, microstates, models, preprocessing, quality, spectral, timefreq
 from wavemill.plans import recording_files
 from wavemill.plans import tables as T
-from wavemill.plans.shared import shared_dir
+from wavemill.plans.shared import shared_dir, written
 from wavemill.sources import recordings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,7 +321,7 @@ _GRAPH = ", mir AS (SELECT subject, i AS a, j AS b, w FROM e UNION ALL SELECT su
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return connectivity.correlation(T.rec(s, d))
+    return written(connectivity.correlation(T.rec(s, d)), "edges")
 
 
 def _graph(s: SparkSession, d: str, fn) -> DataFrame:
@@ -331,7 +331,7 @@ def _graph(s: SparkSession, d: str, fn) -> DataFrame:
 
 register("matrix_stats", "CON9 CON11", "subject:s mean_connectivity:d std_connectivity:d max_connectivity:d min_connectivity:d density_cells:d", lambda s, d: connectivity.matrix_stats(_edges(s, d), 8, 0.06), T.sql(_CORR + ", cells AS (SELECT subject, w FROM e UNION ALL SELECT subject, w FROM e UNION ALL SELECT subject, 0.0 FROM (SELECT DISTINCT subject FROM e), range(8)) SELECT subject, avg(w) AS mean_connectivity, stddev_pop(w) AS std_connectivity, max(w) AS max_connectivity, min(w) AS min_connectivity, count(*) FILTER (w > 0.06) / 28.0 AS density_cells FROM cells GROUP BY subject", "rec"))
 register("node_strength", "CON10", "subject:s mean_node_strength:d std_node_strength:d max_node_strength:d", lambda s, d: connectivity.node_strength(_edges(s, d)), T.sql(_CORR + _GRAPH + ", st AS (SELECT subject, a, sum(w) AS s FROM mir GROUP BY ALL) SELECT subject, avg(s) AS mean_node_strength, stddev_pop(s) AS std_node_strength, max(s) AS max_node_strength FROM st GROUP BY subject", "rec"))
-register("clustering", "CON12", "subject:s clustering_coefficient:d", lambda s, d: graph.clustering(_edges(s, d), graph.nodes_of(_edges(s, d)), 0.06), T.sql(_CORR + _GRAPH + " SELECT dg.subject, coalesce(avg(coalesce(t, 0) / (d * (d - 1) / 2.0)) FILTER (d >= 2), 0) AS clustering_coefficient FROM dg LEFT JOIN tr USING (subject, node) GROUP BY dg.subject", "rec"))
+register("clustering", "CON12", "subject:s clustering_coefficient:d", lambda s, d: (lambda e: graph.clustering(e, graph.nodes_of(e), 0.06))(_edges(s, d)), T.sql(_CORR + _GRAPH + " SELECT dg.subject, coalesce(avg(coalesce(t, 0) / (d * (d - 1) / 2.0)) FILTER (d >= 2), 0) AS clustering_coefficient FROM dg LEFT JOIN tr USING (subject, node) GROUP BY dg.subject", "rec"))
 register("avg_clustering", "CON14 CON13", "subject:s average_clustering:d", lambda s, d: _graph(s, d, graph.average_clustering), T.sql(_CORR + _GRAPH + " SELECT dg.subject, avg(CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1) / 2.0) ELSE 0 END) AS average_clustering FROM dg LEFT JOIN tr USING (subject, node) GROUP BY dg.subject", "rec"))
 register("shortest_path", "CON15 CON16 CON17 CON21", "subject:s is_connected:b average_shortest_path:d diameter:l global_efficiency:d", lambda s, d: _graph(s, d, graph.paths), (T.sql(_CORR + _GRAPH + ", walk(subject, s, v, h) AS (SELECT subject, node, node, 0 FROM nd UNION SELECT w.subject, w.s, ge.b, w.h + 1 FROM walk w JOIN ge ON ge.subject = w.subject AND ge.a = w.v WHERE w.h < 7), ds AS (SELECT subject, s, v, min(h) AS h FROM walk WHERE s <> v GROUP BY ALL), nn AS (SELECT subject, count(*) AS n FROM nd GROUP BY subject) SELECT nn.subject, count(h) = any_value(n * (n - 1)) AS is_connected, CASE WHEN count(h) = any_value(n * (n - 1)) THEN avg(h) END AS average_shortest_path, CASE WHEN count(h) = any_value(n * (n - 1)) THEN max(h) END AS diameter, coalesce(sum(1.0 / h), 0) / any_value(n * (n - 1)) AS global_efficiency FROM nn LEFT JOIN ds USING (subject) GROUP BY nn.subject", "rec")).replace("WITH ", "WITH RECURSIVE ", 1))
 register("local_efficiency", "local efficiency", "subject:s local_efficiency:d", lambda s, d: _graph(s, d, graph.local_efficiency), (T.sql(_CORR + _GRAPH + ", walk(subject, u, s, v, h) AS (SELECT subject, a, b, b, 0 FROM ge UNION SELECT w.subject, w.u, w.s, e.b, w.h + 1 FROM walk w JOIN ge e ON e.subject = w.subject AND e.a = w.v JOIN ge o ON o.subject = w.subject AND o.a = w.u AND o.b = e.b WHERE w.h < 7), ds AS (SELECT subject, u, s, v, min(h) AS h FROM walk WHERE s <> v GROUP BY ALL), per AS (SELECT subject, u, sum(1.0 / h) AS t FROM ds GROUP BY ALL) SELECT dg.subject, avg(CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) AS local_efficiency FROM dg LEFT JOIN per ON per.subject = dg.subject AND per.u = dg.node GROUP BY dg.subject", "rec")).replace("WITH ", "WITH RECURSIVE ", 1))
@@ -504,6 +504,23 @@ def _importance(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(models.feature_importance(model, [f"f{k:02d}" for k in range(64)]), "feature string, importance double")
 
 
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    """Shapley values of the test part of a split, of a forest grown on the other part."""
+    rows = evaluation.train_test_split(_binary(s, d), "id", "label")
+    return explain.shapley_values(models.create("random_forest", max_depth=5).fit(rows.where("split = 'train'")), rows.where("split = 'test'").select("id", "xs"))
+
+
+def _surrogates(s: SparkSession, d: str) -> DataFrame:
+    """Local weights of a logistic model for the test part of a split."""
+    rows = evaluation.train_test_split(_binary(s, d), "id", "label")
+    model = models.create("logistic_regression", C=1.0).fit(rows.where("split = 'train'"))
+    found = explain.local_surrogates(model, rows.where("split = 'test'").select("id", "xs"))
+    return found.select("id", "r2", F.posexplode("weights").alias("feature", "weight"))
+
+
+register("shapley_values", "tree SHAP", "id:l feature:l value:d base:d", _explained)
+register("shapley_importance", "tree SHAP ML12", "feature:l importance:d", lambda s, d: explain.shapley_importance(_explained(s, d)))
+register("local_surrogates", "local surrogate explanations", "id:l feature:l weight:d r2:d", _surrogates)
 register("grid_search", "ML1 ML2 ML3 ML15 M14", "model:s cv_score:d params:s best:b failed:b", _grid)
 register("feature_importance", "ML12", "feature:s importance:d", _importance)
 

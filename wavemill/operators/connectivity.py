@@ -1,7 +1,7 @@
 """Functional connectivity between channels of a recording, as an edge list (keys, i, j, w) with i < j.
 
-Pairs of channels are made inside one row for each time (one shuffle by time, sums on the map side), never by joining
-the samples with themselves.
+Sums over pairs of channels are products of matrices, a block of times at once (``pairsums``), never joins of the samples with
+themselves.
 """
 
 from __future__ import annotations
@@ -15,23 +15,17 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import dsp
 from wavemill.operators import kernels, preprocessing
+from wavemill.operators.pairsums import joint_codes, phasors
 from wavemill.operators.quality import gram, pearson
+from wavemill.plans.shared import written
 
 N_BINS = 20
 METHODS = ("plv", "correlation", "coherence", "mutual_information", "mutual_info")
 
 
-def _pairs(samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """(key, time, i, j, x, y) for each pair of channels at each time."""
-    packed = samples.groupBy(key, time).agg(F.array_sort(F.collect_list(F.struct(F.col("ch").alias("c"), F.col(value).alias("v")))).alias("p"))
-    at = packed.select(key, time, "p", F.posexplode("p").alias("k", "a")).select(key, time, "a", F.explode(F.slice("p", F.col("k") + 2, F.size("p"))).alias("b"))
-    return at.select(key, time, F.col("a.c").alias("i"), F.col("b.c").alias("j"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
-
-
 def plv(phases: DataFrame) -> DataFrame:
     """Length of the mean of exp(i (x - y)) over time, of phases (subject, n, ch, x)."""
-    d = F.col("x") - F.col("y")
-    return _pairs(phases, "subject", "n", "x").groupBy("subject", "i", "j").agg(F.hypot(F.avg(F.cos(d)), F.avg(F.sin(d))).alias("w"))
+    return phasors(phases, ["subject"]).select("subject", "i", "j", (F.hypot("re", "im") / F.col("n")).alias("w"))
 
 
 def correlation(samples: DataFrame) -> DataFrame:
@@ -47,7 +41,8 @@ def bins(samples: DataFrame, n_bins: int = N_BINS) -> DataFrame:
 
 def mutual_information(samples: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     """Mutual information (nats) of channels' codes: H(i) + H(j) - H(i, j), from counts of joint codes."""
-    joint = _pairs(bins(samples, n_bins), "subject", "n", "code").groupBy("subject", "i", "j", "x", "y").agg(F.count("*").alias("c"))
+    joint = written(joint_codes(bins(samples, n_bins), ["subject"], n_bins), "joint-codes")
+
     def h(*cols: str) -> DataFrame:
         part = joint.groupBy("subject", "i", "j", *cols).agg(F.sum("c").alias("c"))
         return part.groupBy("subject", "i", "j").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias("h_" + "_".join(cols)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.operators.pairsums import moments
+
 #: Default limits of the validation rules.
 MIN_DURATION, MIN_CHANNELS, MIN_SFREQ, NOISE_LIMIT, FLAT_LIMIT = 60.0, 32, 250.0, 100e-6, 1e-6
 MIN_EPOCHS, MIN_EPOCH_SECONDS, CV_LIMIT = 10, 0.5, 0.5
@@ -109,15 +111,8 @@ def feature_outliers(features: DataFrame, z: float = Z_LIMIT) -> DataFrame:
 
 
 def gram(features: DataFrame, keys: list[str], row: str = "id", name: str = "name", value: str = "value") -> DataFrame:
-    """Moments of each ordered-by-name pair of columns of a long table: (keys, i, j, n, si, sj, sii, sjj, sij).
-
-    Rows are first packed by ``row``, so one shuffle brings a row's values together and the pairs are made inside it and
-    summed on the map side; nothing but sums is shuffled after that.
-    """
-    packed = features.where(F.col(value).isNotNull()).groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("c"), F.col(value).alias("v")))).alias("p"))
-    pairs = packed.select(*keys, "p", F.posexplode("p").alias("at", "a")).select(*keys, "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b"))
-    x, y = F.col("a.v"), F.col("b.v")
-    return pairs.groupBy(*keys, F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.count("*").alias("n"), F.sum(x).alias("si"), F.sum(y).alias("sj"), F.sum(x * x).alias("sii"), F.sum(y * y).alias("sjj"), F.sum(x * y).alias("sij"))
+    """Moments of each ordered-by-name pair of columns of a long table: (keys, i, j, n, si, sj, sii, sjj, sij)."""
+    return moments(features, keys, row, name, value)
 
 
 def pearson() -> Column:
