@@ -35,3 +35,24 @@ def test_joint_codes(spark):
     got = {(q["x"], q["y"]): q["c"] for q in pairsums.joint_codes(df, ["subject"], 4).collect()}
     assert got == Counter(zip(codes["a"].tolist(), codes["b"].tolist()))
     assert pairsums.moments(df.where("false"), ["subject"], "n", "ch", "code").count() == 0
+
+
+def test_coherence_whatever_the_cuts(spark, monkeypatch):
+    from wavemill.functions import dsp
+    from wavemill.operators import connectivity
+
+    r = np.random.default_rng(2)
+    shared = r.normal(size=500)
+    x = np.stack([shared + 0.5 * r.normal(size=500), shared + r.normal(size=500), r.normal(size=500)])
+    short = r.normal(size=(2, 20))
+    rows = [("s", c, n, float(v)) for c, row in zip("abc", x) for n, v in enumerate(row)] + [("t", c, n, float(v)) for c, row in zip("ab", short) for n, v in enumerate(row)]
+    df = spark.createDataFrame(rows, "subject string, ch string, n long, x double").repartition(3)
+    for size in (4096, 64):
+        monkeypatch.setattr(connectivity, "SPECTRUM_BLOCK", size)
+        got = {(q["subject"], q["i"], q["j"]): q["w"] for q in connectivity.coherence(df, 100.0, 64).collect()}
+        assert set(got) == {("s", "a", "b"), ("s", "a", "c"), ("s", "b", "c"), ("t", "a", "b")}
+        for s, i, j in got:
+            y = {"s": x, "t": short}[s]
+            p, q = y["abc".index(i)], y["abc".index(j)]
+            c, own, other = dsp.csd(p, q, 100.0, 64)[1][0], dsp.welch(p, 100.0, 64)[1][0], dsp.welch(q, 100.0, 64)[1][0]
+            assert np.isclose(got[s, i, j], np.mean(np.abs(c) ** 2 / (own * other)), atol=1e-9)

@@ -310,7 +310,7 @@ def _pair_signals(s: SparkSession, d: str) -> DataFrame:
     return T.read(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("subject"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"), F.col("embedding").cast("array<double>").alias("e")).select("subject", F.concat(F.lit("C"), F.col("c").cast("string")).alias("ch"), F.slice("e", F.col("c") * 16 + 1, F.lit(16)).alias("xs"))
 
 
-register("coherence", "CON7 DSP5", "subject:s i:s j:s w:d", lambda s, d: connectivity.coherence(_pair_signals(s, d), 1000.0, 8), T.sql(", c0 AS (SELECT rec, CAST(n // 16 AS INTEGER) AS ch, n % 16 AS n, x FROM sig), seg AS (SELECT rec, ch, g, n - g * 4 AS j, x - avg(x) OVER (PARTITION BY rec, ch, g) AS x FROM c0, (SELECT unnest([0, 1, 2]) AS g) WHERE n - g * 4 BETWEEN 0 AND 7), wi AS (SELECT rec, ch, g, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS x FROM seg), fr AS (SELECT CAST(unnest(range(5)) AS BIGINT) AS f), z AS (SELECT rec, ch, g, f, sum(x * cos(2 * pi() * f * j / 8)) AS re, sum(-x * sin(2 * pi() * f * j / 8)) AS im FROM wi, fr GROUP BY ALL), cr AS (SELECT a.rec, a.ch AS i, b.ch AS j, a.f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM z a JOIN z b ON a.rec = b.rec AND a.g = b.g AND a.f = b.f AND a.ch < b.ch GROUP BY ALL) SELECT CAST(rec AS VARCHAR) AS subject, 'C' || i AS i, 'C' || j AS j, avg((re * re + im * im) / (pa * pb)) AS w FROM cr GROUP BY ALL", "sig"))
+register("coherence", "CON7 DSP5", "subject:s i:s j:s w:d", lambda s, d: connectivity.coherence(preprocessing.unpacked(_pair_signals(s, d).withColumn("n0", F.lit(0))), 1000.0, 8), T.sql(", c0 AS (SELECT rec, CAST(n // 16 AS INTEGER) AS ch, n % 16 AS n, x FROM sig), seg AS (SELECT rec, ch, g, n - g * 4 AS j, x - avg(x) OVER (PARTITION BY rec, ch, g) AS x FROM c0, (SELECT unnest([0, 1, 2]) AS g) WHERE n - g * 4 BETWEEN 0 AND 7), wi AS (SELECT rec, ch, g, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS x FROM seg), fr AS (SELECT CAST(unnest(range(5)) AS BIGINT) AS f), z AS (SELECT rec, ch, g, f, sum(x * cos(2 * pi() * f * j / 8)) AS re, sum(-x * sin(2 * pi() * f * j / 8)) AS im FROM wi, fr GROUP BY ALL), cr AS (SELECT a.rec, a.ch AS i, b.ch AS j, a.f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM z a JOIN z b ON a.rec = b.rec AND a.g = b.g AND a.f = b.f AND a.ch < b.ch GROUP BY ALL) SELECT CAST(rec AS VARCHAR) AS subject, 'C' || i AS i, 'C' || j AS j, avg((re * re + im * im) / (pa * pb)) AS w FROM cr GROUP BY ALL", "sig"))
 
 _CON_BANDS = [("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
 _BAND_CORR = " UNION ALL ".join(f"SELECT * FROM (WITH {_convolved_sql(_t, len(_t) // 2, len(_t) // 2, 'nr', 'subject, ch', circular=False).lstrip(', ')} SELECT a.subject, '{_b}' AS band, a.ch AS i, b.ch AS j, abs(corr(a.x, b.x)) AS w FROM y a JOIN y b ON a.subject = b.subject AND a.n = b.n AND a.ch < b.ch GROUP BY ALL)" for _b, _lo, _hi in _CON_BANDS for _t in (dsp.fir_bandpass(_lo, _hi, 64.0),))

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions import dsp
 from wavemill.operators import kernels, preprocessing
+from wavemill.operators.ica import _blocks_of, blocks
 from wavemill.operators.pairsums import joint_codes, phasors
 from wavemill.operators.quality import gram, pearson
 from wavemill.plans.shared import written
@@ -51,29 +51,74 @@ def mutual_information(samples: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     return both.select("subject", "i", "j", (F.col("h_x") + F.col("h_y") - F.col("h_x_y")).alias("w"))
 
 
-def coherence(channels: DataFrame, fs: float = 1000.0, nperseg: int = 256, noverlap: int | None = None) -> DataFrame:
-    """Mean over frequency of |Pxy|^2 / (Pxx Pyy), of packed channels (subject, ch, xs); a recording's channels are gathered."""
-    recs = channels.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("ch", "xs"))).alias("p"))
+#: Samples in a block of ``coherence``, at least a segment.
+SPECTRUM_BLOCK = 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def coherence(samples: DataFrame, fs: float = 1000.0, nperseg: int = 256, noverlap: int | None = None) -> DataFrame:
+    """Mean over frequency of |Pxy|^2 / (Pxx Pyy) of samples (subject, ch, n, x), n from 0 without gaps; a recording shorter
+    than ``nperseg`` is one segment. A channel that lacks a value in a segment counts as silent there.
+
+    Cross-spectra are sums over segments. Recordings are cut into blocks with a segment's margin; each segment is taken where it
+    begins, tasks add up what they hold of a recording, and rows of the summed matrices (channel x all channels and frequencies)
+    meet by (subject, channel).
+    """
+    cut = blocks(samples, max(SPECTRUM_BLOCK, nperseg), nperseg)
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for subject, p in zip(batch.column("subject").to_pylist(), batch.column("p").to_pylist()):
-                x = np.array([c["xs"] for c in p], float)
-                own = dsp.welch(x, fs, nperseg, noverlap)[1]
-                for i in range(len(x)):
-                    cross = np.abs(dsp.csd(x[i : i + 1], x[i + 1 :], fs, nperseg, noverlap)[1]) ** 2 if i + 1 < len(x) else []
-                    for j, c in enumerate(cross, i + 1):
-                        q = own[i] * own[j]
-                        out.append((subject, p[i]["ch"], p[j]["ch"], float(np.mean(c[q > 0] / q[q > 0])) if (q > 0).any() else None))
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.float64()])], names=["subject", "i", "j", "w"])
+            for b in _blocks_of(batch):
+                span = b.x.shape[1]
+                n = nperseg if b.lead or span >= nperseg else span
+                hop = n - (n // 2 if noverlap is None else min(noverlap, n - 1))
+                own = np.arange(b.n0, b.n0 + b.core)
+                starts = own[(own % hop == 0) & (own - b.n0 + b.lead + n <= span)] - b.n0 + b.lead
+                if n < 2 or not len(starts):
+                    continue
+                window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+                x = b.x[:, starts[:, None] + np.arange(n)]
+                f = np.fft.rfft(np.nan_to_num((x - x.mean(axis=2, keepdims=True)) * window))
+                key = b.subject, tuple(b.channels), n
+                g = np.einsum("isf,jsf->ijf", np.conj(f), f)
+                held[key] = held[key] + g if key in held else g
+        out = [(subject, ch, list(channels), g[i].tobytes()) for (subject, channels, _), g in held.items() for i, ch in enumerate(channels)]
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["subject", "i", "channels", "g"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sums = None, {}
+
+        def told(done: list) -> pa.RecordBatch:
+            out = [(*k, ch, got[k[1]].real.tolist(), (np.abs(v) ** 2).tolist()) for k, got in done for ch, v in got.items()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["subject", "i", "j", "own", "cross"])
 
-    return recs.mapInArrow(run, "subject string, i string, j string, w double")
+        for batch in batches:
+            done = []
+            for subject, i, channels, g in zip(*(batch.column(c).to_pylist() for c in ("subject", "i", "channels", "g"))):
+                if (subject, i) != key:
+                    if key is not None:
+                        done.append((key, sums))
+                    key, sums = (subject, i), {}
+                for ch, row in zip(channels, np.frombuffer(g, complex).reshape(len(channels), -1)):
+                    sums[ch] = sums[ch] + row if ch in sums else row
+            yield told(done)
+        if key is not None:
+            yield told([(key, sums)])
+
+    parts = cut.mapInArrow(cross, "subject string, i string, channels array<string>, g binary").repartition("subject", "i").sortWithinPartitions("subject", "i")
+    spectra = parts.mapInArrow(summed, "subject string, i string, j string, own array<double>, cross array<double>")
+    rows = written(spectra, "cross-spectra")
+    own = rows.where("i = j").select("subject", F.col("i").alias("j"), F.col("own").alias("other"))
+    share = F.transform(F.arrays_zip("cross", "own", "other"), lambda z: F.when(z["own"] * z["other"] > 0, z["cross"] / (z["own"] * z["other"])))
+    known = F.array_compact(share)
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
+    return rows.where("i < j").join(own, ["subject", "j"]).select("subject", "i", "j", mean.alias("w"))
 
 
 def matrix(samples: DataFrame, method: str, **options) -> DataFrame:
-    """Edges by a method's name; samples hold phases for plv and packed channels for coherence."""
+    """Edges by a method's name; samples hold phases for plv."""
     table = {"plv": plv, "correlation": correlation, "coherence": coherence, "mutual_information": mutual_information, "mutual_info": mutual_information}
     if method not in table:
         raise ValueError(f"unknown method {method}; one of {', '.join(METHODS)}")
@@ -87,10 +132,7 @@ def by_band(samples: DataFrame, fs: float, bands: list[tuple[str, float, float]]
     out = None
     for band, lo, hi in bands:
         filtered = kernels.bandpass(channels, lo, hi, fs, filter_method)
-        if method == "coherence":
-            edges = matrix(filtered.select("subject", "ch", "xs"), method, **options)
-        else:
-            edges = matrix(preprocessing.unpacked(kernels.phases(filtered) if method == "plv" else filtered), method, **options)
+        edges = matrix(preprocessing.unpacked(kernels.phases(filtered) if method == "plv" else filtered), method, **options)
         edges = edges.select("subject", F.lit(band).alias("band"), "i", "j", "w")
         out = edges if out is None else out.unionByName(edges)
     if out is None:
