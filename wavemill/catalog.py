@@ -16,7 +16,7 @@ from wavemill.operators import connectivity, epochs, erp, evaluation, explain, f
 from wavemill.plans import recording_files
 from wavemill.plans import tables as T
 from wavemill.plans.shared import shared_dir, written
-from wavemill.sources import recordings
+from wavemill.sources import layout, recordings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,38 @@ for _kind, _format, _id in (("set", "eeglab", "SRC3b"), ("cdt", "curry", "SRC3c"
     register(f"{_format}_files", f"{_id} SRC3", "subject:s task:s ch:s n:l uv:d", lambda s, d, k=_kind: recording_files.samples(s, d, k), _SAMPLES_SQL)
     register(f"{_format}_marks", f"{_id} PRE8", "subject:s task:s sample:l kind:s", lambda s, d, k=_kind: recording_files.marks(s, d, k), _MARKS_SQL)
 
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """A dataset tree made of the customers: recordings in sessions, sidecars at the root, of subjects and of recordings."""
+    c = T.read(s, d, "customer").select(F.concat(F.lit("sub-"), (F.col("c_custkey") % 50).cast("string")).alias("sub"), F.concat(F.lit("ses-"), (F.col("c_custkey") % 3).cast("string")).alias("ses"), F.concat(F.lit("task-"), F.lower("c_mktsegment")).alias("task"), F.col("c_custkey").cast("string").alias("k"), F.col("c_custkey").alias("n"))
+    at, name = F.concat_ws("/", "sub", "ses", F.lit("eeg")), F.concat_ws("_", "sub", "ses", "task", F.concat(F.lit("run-"), F.col("k")), F.lit("eeg"))
+    body = lambda key: F.concat(F.lit('{"' + key + '": "'), F.col("k"), F.lit('", "ref": "'), F.lit(key), F.lit('"}'))
+    none = F.lit(None).cast("string")
+    rows = [
+        c.select(F.concat(at, F.lit("/"), name, F.lit(".set")).alias("path"), none.alias("content")),
+        c.where("n % 7 = 0").select(F.concat(at, F.lit("/"), name, F.lit(".json")).alias("path"), body("gain").alias("content")),
+        c.where("n < 50 and n % 2 = 0").select(F.concat(F.col("sub"), F.lit("/"), F.col("sub"), F.lit("_eeg.json")).alias("path"), body("cap").alias("content")),
+        c.groupBy("task").agg(F.min("n").cast("string").alias("k")).select(F.concat(F.col("task"), F.lit("_eeg.json")).alias("path"), body("rate").alias("content")),
+        c.where("n < 50 and n % 3 = 0").select(F.concat(F.col("sub"), F.lit("/"), F.col("sub"), F.lit("_events.tsv")).alias("path"), none.alias("content")),
+        c.select("task").distinct().select(F.concat(F.col("task"), F.lit("_events.tsv")).alias("path"), none.alias("content")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_TREE = """WITH c AS (SELECT 'sub-' || c_custkey % 50 AS sub, 'ses-' || c_custkey % 3 AS ses, 'task-' || lower(c_mktsegment) AS task, c_custkey AS n FROM customer),
+ data AS (SELECT *, sub || '/' || ses || '/eeg/' || sub || '_' || ses || '_' || task || '_run-' || n || '_eeg' AS stem FROM c),
+ root AS (SELECT task, min(n) AS k FROM c GROUP BY task),
+ vals AS (
+  SELECT stem, 0 AS depth, task || '_eeg.json' AS side, unnest(['rate', 'ref']) AS key, unnest([CAST(k AS VARCHAR), 'rate']) AS value FROM data JOIN root USING (task)
+  UNION ALL SELECT stem, 1, x.sub || '/' || x.sub || '_eeg.json', unnest(['cap', 'ref']), unnest([CAST(x.n AS VARCHAR), 'cap']) FROM data JOIN (SELECT sub, n FROM c WHERE n < 50 AND n % 2 = 0) x USING (sub)
+  UNION ALL SELECT stem, 3, stem || '.json', unnest(['gain', 'ref']), unnest([CAST(n AS VARCHAR), 'gain']) FROM data WHERE n % 7 = 0),
+ events AS (SELECT stem, coalesce(x.sub || '/' || x.sub || '_events.tsv', task || '_events.tsv') AS side FROM data LEFT JOIN (SELECT sub FROM c WHERE n < 50 AND n % 3 = 0) x USING (sub))"""
+register("inherited_metadata", "dataset layout", "path:s key:s value:s side:s", lambda s, d: layout.metadata(_tree(s, d)), _TREE + " SELECT stem || '.set' AS path, key, value, side FROM vals QUALIFY row_number() OVER (PARTITION BY stem, key ORDER BY depth DESC) = 1")
+register("inherited_events", "dataset layout", "path:s side:s", lambda s, d: layout.event_tables(_tree(s, d)), _TREE + " SELECT stem || '.set' AS path, side FROM events")
+
 # --- data quality ----------------------------------------------------------------------------------------------------
 
 _CH = ", c AS (SELECT subject, ch, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, sum(abs(x)) AS a, max(n) AS last FROM ev GROUP BY subject, ch)"
