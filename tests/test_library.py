@@ -258,6 +258,7 @@ def test_questionnaires(spark, tmp_path):
 def test_tables_are_saved_twice(spark, tmp_path):
     recordings.save_table(spark.range(3), str(tmp_path / "t"))
     assert recordings.load_table(spark, str(tmp_path / "t")).count() == 3
+    assert dict(recordings.load_table(spark, str(tmp_path / "t"), "csv").dtypes) == {"id": "int"}
 
 
 def test_configuration(tmp_path):
@@ -308,3 +309,34 @@ def test_queries_of_models_and_microstates_run_with_full_defaults(spark, data, m
         with pytest.raises(Stop):
             catalog.QUERIES[name](spark, data)
     assert seen == {"microstates": (4, 10, 1000), "random_forest": 100}
+
+
+def test_small_utilities(spark, tmp_path):
+    import logging
+
+    from wavemill import config
+    from wavemill.functions import text
+
+    log = config.set_up_logging("WARNING", str(tmp_path / "run.log"))
+    log.warning("said")
+    log.info("unsaid")
+    logging.shutdown()
+    written = (tmp_path / "run.log").read_text()
+    assert "said" in written and "unsaid" not in written
+    log.handlers[:] = []
+    (tmp_path / "wavemill").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert config.project_root(tmp_path / "a" / "b") == tmp_path and config.project_root(tmp_path / "a", "no such folder") == tmp_path / "a"
+    assert config.free_gigabytes(tmp_path) > 0
+    assert config.is_file(tmp_path / "run.log") and not config.is_file(tmp_path) and not config.is_file(tmp_path / "none")
+    stamp = spark.range(1).select(text.run_stamp().alias("t")).first()["t"]
+    assert len(stamp) == 15 and stamp[8] == "_" and stamp.replace("_", "").isdigit()
+
+
+def test_rows_are_numbered_in_order(spark):
+    from wavemill.operators.ranks import numbered
+
+    df = spark.range(1000).selectExpr("id", "id % 7 as m").repartition(9)
+    got = [r["id"] for r in numbered(df, ["m", "id"]).orderBy("number").collect()]
+    assert got == sorted(range(1000), key=lambda k: (k % 7, k))
+    assert numbered(df.where("false"), ["id"]).count() == 0

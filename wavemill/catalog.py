@@ -553,6 +553,37 @@ def _surrogates(s: SparkSession, d: str) -> DataFrame:
 register("shapley_values", "tree SHAP", "id:l feature:l value:d base:d", _explained)
 register("shapley_importance", "tree SHAP ML12", "feature:l importance:d", lambda s, d: explain.shapley_importance(_explained(s, d)))
 register("local_surrogates", "local surrogate explanations", "id:l feature:l weight:d r2:d", _surrogates)
+def _permuted(s: SparkSession, d: str) -> DataFrame:
+    """Loss of accuracy on the test part when each of the first eight features comes from other rows."""
+    rows = evaluation.train_test_split(_binary(s, d), "id", "label")
+    model = models.create("logistic_regression", C=1.0).fit(rows.where("split = 'train'"))
+    test = rows.where("split = 'test'").select("id", "label", "xs").persist()
+    try:
+        found = [(f"f{k:02d}", float(models.permutation_importance(model, test, k))) for k in range(8)]
+    finally:
+        test.unpersist()
+    return s.createDataFrame(found, "feature string, importance double")
+
+
+def _reread(s: SparkSession, d: str) -> DataFrame:
+    """The fused feature table, saved and read back from its CSV side."""
+    path = shared_dir(s, "table")
+    recordings.save_table(fusion.pivot(_store(s, d), "subject", "task", "value", T.STATES), path)
+    return recordings.load_table(s, path, "csv")
+
+
+register("permutation_importance", "ML12", "feature:s importance:d", _permuted)
+register("features_from_csv", "SRC12 SNK7", "subject:s " + " ".join(f"{x}:d" for x in T.STATES), _reread, _STORE + " SELECT subject, " + ", ".join(f"max(value) FILTER (task = '{x}') AS {x}" for x in T.STATES) + " FROM st GROUP BY subject")
+
+
+def _saved_epochs(s: SparkSession, d: str) -> DataFrame:
+    """Epochs saved by task and subject, and one subject's read back."""
+    path = shared_dir(s, "epochs")
+    recordings.save_samples(T.ep(s, d).withColumn("task", F.lit("rest")), path)
+    return recordings.load_samples(s, path).where("subject = 'S3'").withColumn("subject", F.col("subject").cast("string"))
+
+
+register("saved_epochs", "SNK2 SRC11 SNK1 SRC10", "subject:s epoch:l code:l ch:s k:l x:d", _saved_epochs, T.sql("SELECT subject, epoch, code, ch, k, x FROM ep WHERE subject = 'S3'", "ep"))
 register("grid_search", "ML1 ML2 ML3 ML15 M14", "model:s cv_score:d params:s best:b failed:b", _grid)
 register("feature_importance", "ML12", "feature:s importance:d", _importance)
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wavemill.operators.evaluation import metrics, roc_auc, stratified_folds
 from wavemill.operators.machines import PairwiseMachines, PolynomialMap, scale_of
 from wavemill.operators.neighbours import k_nearest, votes
+from wavemill.operators.ranks import numbered
 
 
 def vectors(rows: DataFrame, xs: str = "xs") -> DataFrame:
@@ -211,10 +212,8 @@ def permutation_importance(model, rows: DataFrame, index: int, seed: int = 42) -
     """Loss of accuracy when component ``index`` of xs comes from another row (rows are matched in a seeded order)."""
     base = metrics(model.transform(vectors(rows)).withColumn("prediction", F.col("prediction").cast("int"))).first()["accuracy"]
     n = rows.count()
-    order = rows.select("id", F.get("xs", F.lit(index)).alias("v")).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    by_id = rows.select("id").orderBy("id")
-    number = lambda df, name: df.rdd.zipWithIndex().map(lambda p: (p[1], *p[0])).toDF(name)
-    other = number(order, ["k", "from", "v"]).join(number(by_id, ["k", "id"]), "k").select("id", "v")
+    order = rows.select("id", F.get("xs", F.lit(index)).alias("v"), F.xxhash64("id", F.lit(seed)).alias("h"))
+    other = numbered(order, ["h", "id"]).select("number", "v").join(numbered(rows.select("id"), ["id"]), "number").select("id", "v")
     mixed = rows.join(other, "id").withColumn("xs", F.transform("xs", lambda x, i: F.when(i == index, F.col("v")).otherwise(x))).drop("v")
     shuffled = metrics(model.transform(vectors(mixed)).withColumn("prediction", F.col("prediction").cast("int"))).first()["accuracy"]
     return base - shuffled if n else 0.0

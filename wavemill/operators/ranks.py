@@ -31,3 +31,12 @@ def quantiles(long: DataFrame, shares: list[float], key: str = "name", value: st
     got = ranked.groupBy("k").agg(F.max("total").alias("total"), *found)
     share = lambda i, p: F.col(f"lo{i}") + F.when(F.col(f"hi{i}") == F.col(f"lo{i}"), 0.0).otherwise((F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)))
     return got.select(F.col("k").alias(key), F.array(*(share(i, p) for i, p in enumerate(at))).alias("q"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in an order, range by range: no task sorts them all. What is broadcast has a row for each range."""
+    cut = written(rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "numbered-ranges")
+    sizes = cut.groupBy("range_no").agg(F.count("*").alias("n"))
+    before = sizes.select("range_no", F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
+    return cut.withColumn("place", place).join(F.broadcast(before), "range_no").withColumn(name, F.col("place") + F.col("ahead")).drop("range_no", "place", "ahead")

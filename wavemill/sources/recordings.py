@@ -185,5 +185,8 @@ def save_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(f"{path}/parquet")
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
+def load_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A table that ``save_table`` wrote, from its Parquet or its CSV side; of CSV the columns' kinds are found anew."""
+    if kind == "csv":
+        return spark.read.option("header", "true").option("inferSchema", "true").csv(f"{path}/csv")
     return spark.read.parquet(f"{path}/parquet")
