@@ -41,12 +41,14 @@ def _codes(levels: int) -> Products:
     return run
 
 
-def _summed(long: DataFrame, keys: list[str], row: str, name: str, value: str, products: Products, columns: list[str]) -> DataFrame:
+def _summed(long: DataFrame, keys: list[str], row: str, name: str, value: str, products: Products, columns: list[str], levels: int = 0) -> DataFrame:
+    """With ``levels``, sums are counts of pairs of codes and come as rows (keys, i, j, x, y, c) of those that aren't 0."""
     n = F.col(row).cast("long")
     given = long.where(F.col(value).isNotNull() & F.col(name).isNotNull() & n.isNotNull())
     packed = given.groupBy(*keys, F.floor(n / ROWS).alias("_block")).agg(F.collect_list(F.struct(n.alias("n"), F.col(name).cast("string").alias("c"), F.col(value).cast("double").alias("v"))).alias("p"))
     fields = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), "i string", "j string", *(f"`{c}` double" for c in columns)])
+    ends = ["i string", "j string", *(["x int", "y int"] if levels else []), *(f"`{c}` double" for c in columns)]
+    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), *ends])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[list[str], np.ndarray]] = {}
@@ -55,11 +57,15 @@ def _summed(long: DataFrame, keys: list[str], row: str, name: str, value: str, p
         def cells() -> Iterator[pa.RecordBatch]:
             for key, (names, sums) in held.items():
                 a, b = np.triu_indices(len(names), 1)
-                some = np.abs(sums[:, a, b]).any(axis=0)
-                a, b = a[some], b[some]
-                at = np.array(names, object)
+                upper = sums[:, a, b]
+                code, some = np.nonzero(upper) if levels else (None, np.flatnonzero(np.abs(upper).any(axis=0)))
+                a, b, at = a[some], b[some], np.array(names, object)
                 cols = [pa.array([k] * len(a), t) for k, t in zip(key, kinds)] + [pa.array(at[a].tolist(), pa.string()), pa.array(at[b].tolist(), pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(s) for s in sums[:, a, b])], names=[*keys, "i", "j", *columns])
+                if levels:
+                    cols += [pa.array((code // levels + 1).astype("i4")), pa.array((code % levels + 1).astype("i4")), pa.array(upper[code, some])]
+                else:
+                    cols += [pa.array(v) for v in upper[:, some]]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "i", "j", *(["x", "y"] if levels else []), *columns])
             held.clear()
 
         for batch in batches:
@@ -89,7 +95,7 @@ def _summed(long: DataFrame, keys: list[str], row: str, name: str, value: str, p
         yield from cells()
 
     parts = packed.drop("_block").mapInArrow(run, schema)
-    return parts.groupBy(*keys, "i", "j").agg(*(F.sum(c).alias(c) for c in columns))
+    return parts.groupBy(*keys, "i", "j", *(["x", "y"] if levels else [])).agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def moments(long: DataFrame, keys: list[str], row: str = "id", name: str = "name", value: str = "value") -> DataFrame:
@@ -104,8 +110,4 @@ def phasors(long: DataFrame, keys: list[str], row: str = "n", name: str = "ch",
 
 def joint_codes(long: DataFrame, keys: list[str], levels: int, row: str = "n", name: str = "ch", value: str = "code") -> DataFrame:
     """(keys, i, j, x, y, c): how often codes x and y (1 to ``levels``) come together."""
-    names = [f"c{k}" for k in range(levels * levels)]
-    wide = _summed(long, keys, row, name, value, _codes(levels), names)
-    return wide.select(*keys, "i", "j", F.posexplode(F.array(*names)).alias("k", "c")).where("c > 0").select(
-        *keys, "i", "j", (F.floor(F.col("k") / levels) + 1).cast("int").alias("x"), (F.col("k") % levels + 1).cast("int").alias("y"), "c"
-    )
+    return _summed(long, keys, row, name, value, _codes(levels), ["c"], levels)
