@@ -1,5 +1,9 @@
 """Every query of the library agrees with its SQL; those without SQL give rows."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from wavemill import catalog
@@ -36,3 +40,7 @@ def test_entry_runs_without_the_training_data_package(spark, data):
 
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
+    blocked = "import sys; sys.modules['wavemill.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", blocked], cwd=root, capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    assert said == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))]
