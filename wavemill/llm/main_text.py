@@ -33,7 +33,7 @@ from wavemill.llm.words import word_hashes
 
 SAMPLE, SAMPLE_CHARS = 200, 50_000
 #: Made training pages, passes over them, pages in a step.
-MADE, EPOCHS, STEP_PAGES = 1500, 7, 24
+MADE, EPOCHS, STEP_PAGES = 1500, 9, 24
 THRESHOLD = 0.5
 PATH_BUCKETS, PATH_DIM, WORD_BUCKETS, WORD_DIM, MEASURES, HIDDEN = 4096, 24, 8192, 10, 7, 16
 #: Blocks labelled at once, about; a longer page goes by itself.
@@ -297,7 +297,11 @@ class Maker:
     def prose(self) -> str:
         r = self.rng
         long = r.random()
-        text = self.phrase(1, 12) if long < 0.25 else self.phrase(10, 60) if long < 0.8 else self.phrase(60, 200)
+        text = self.phrase(1, 2) if long < 0.12 else self.phrase(1, 12) if long < 0.3 else self.phrase(10, 60) if long < 0.8 else self.phrase(60, 200)
+        if r.random() < 0.06:
+            text = escape(r.choice(SHORT + NOTICES))
+        elif r.random() < 0.04:
+            text = " | ".join(self.phrase(1, 2) for _ in range(r.randint(2, 6)))
         if r.random() < 0.3:
             tag = r.choice(["b", "em", "a href='/x'", "span", "strong", "code"])
             text = f"<{tag}>{text}</{tag.split()[0]}>" if r.random() < 0.3 else f"{text} <{tag}>{self.phrase(1, 4)}</{tag.split()[0]}> {self.phrase(1, 6)}"
@@ -398,9 +402,13 @@ class Maker:
             title = f"<h1>{self.phrase(2, 14)}</h1>"
             html += f"<header>{title}</header>" if r.random() < 0.1 else title
             labels.append(1)
-        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 10])):
+        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 10, 20])):
             kind = r.random()
-            if kind < 0.62:
+            if kind < 0.08:
+                n, line = r.randint(2, 12), self.short() if r.random() < 0.5 else self.phrase(1, 12)
+                html += "".join(f"<p>{line if r.random() < 0.8 else self.short()}</p>" for _ in range(n))
+                labels += [1] * n
+            elif kind < 0.62:
                 html += self.p(self.prose())
                 labels.append(1)
             elif kind < 0.70:
