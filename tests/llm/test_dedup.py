@@ -334,6 +334,71 @@ def test_passages_whose_pieces_stand_in_earlier_documents(spark):
     assert got == {d: (25, 85) for d in want}
 
 
+@pytest.mark.parametrize(("every", "step"), [(5, 5), (7, 5), (7, 2), (10, 5), (10, 2), (20, 2)])
+def test_changed_passages_whose_short_pieces_stand_in_earlier_documents(spark, every, step):
+    r = random.Random(31 * every + step)
+    docs, pairs = [], []
+    for _ in range(30):
+        p = words(r, 80)
+        for at in range(0, 76, step):  # a document for each piece of five words
+            docs.append((len(docs), " ".join(words(r, 8) + p[at : at + 5] + words(r, 8))))
+        q = list(p)
+        for at in range(every // 2, 80, every):
+            q[at] = f"x{r.random()}"
+        pairs.append((" ".join(words(r, 40) + p + words(r, 30)), " ".join(words(r, 22) + q + words(r, 50))))
+    first = len(docs) + len(docs) % 2
+    docs += [(first + 2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    got = passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    caught = {g["doc_id"] for g in got if g["source_id"] == g["doc_id"] - 1 and g["doc_id"] % 2 and g["region_start"] <= 38 and g["region_end"] >= 86}
+    assert len(caught) >= 0.9 * len(pairs)
+    assert {g["doc_id"] for g in got} <= {first + 2 * k + 1 for k in range(len(pairs))}
+
+
+def best_local_alignment(a, b):
+    """Score, first and last word + 1 in a, and agreeing words of the best local alignment: 1 for a match, else -2."""
+    best, above = (0, 0, 0, 0), [(0, 0, 0)] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        row = [(0, i, 0)]
+        for j, y in enumerate(b, 1):
+            s, start, same = above[j - 1]
+            s, start = (s, start) if s else (0, i - 1)
+            one = (s + 1, start, same + 1 if s else 1) if x == y else (s - 2, start, same)
+            two = max((above[j][0] - 2, *above[j][1:]), (row[-1][0] - 2, *row[-1][1:]))
+            row.append(max(one, two) if max(one, two)[0] > 0 else (0, i, 0))
+            best = max(best, (row[-1][0], row[-1][1], i, row[-1][2]))
+        above = row
+    return best
+
+
+def test_find_against_all_local_alignments(spark):
+    r = random.Random(77)
+    stock = [words(r, n) for n in (55, 60, 70, 90)]
+    docs = []
+    for d in range(18):
+        text = words(r, r.randrange(0, 30))
+        for p in r.sample(stock, r.randrange(0, 3)):
+            for w in p:  # words changed, left out and put in
+                edit = r.random()
+                text += words(r, 1) if edit < 0.05 else [] if edit < 0.065 else [w, *words(r, 1)] if edit < 0.08 else [w]
+            text += words(r, r.randrange(15, 40))
+        docs.append((d, " ".join(text)))
+    split = [t.split() for _, t in docs]
+    got = passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    covered = {d: set() for d, _ in docs}
+    for g in got:
+        covered[g["doc_id"]] |= set(range(g["region_start"], g["region_end"]))
+        score, start, end, _ = best_local_alignment(split[g["doc_id"]][g["start_word"] : g["end_word"]], split[g["source_id"]][g["source_start"] : g["source_end"]])
+        assert score >= 10 and end - start >= 20  # nothing is found that isn't alike
+    want = found = 0
+    for d in range(18):
+        alignments = [best_local_alignment(split[d], split[e]) for e in range(d)]
+        for _, start, end, same in alignments:
+            if end - start >= 55 and same >= 0.88 * (end - start):
+                want += 1
+                found += len(covered[d] & set(range(start, end))) >= 0.8 * (end - start)
+    assert want >= 10 and found >= 0.9 * want
+
+
 @pytest.mark.parametrize("every", [5, 7, 10, 20])
 def test_passages_with_evenly_changed_words(spark, every):
     r = random.Random(every)
