@@ -322,6 +322,20 @@ def plain_cosine(text, template, templates):
     return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
 
 
+def plain_body_cosine(text, template, templates, sets={}):  # noqa: B006
+    """The cosine of whole texts: counts damped by the logarithm, words of all licences next to nothing, unknown ones 0.3."""
+    import math
+    from collections import Counter
+
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    if id(templates) not in sets:
+        sets[id(templates)] = Counter(t for _, x in templates for t in set(words(x)))
+    df = sets[id(templates)]
+    idf = lambda t: math.log((1 + len(templates)) / (0.5 + df[t])) if t in df else 0.3
+    a, b = ({t: (1 + math.log(n)) * idf(t) for t, n in Counter(words(x)).items()} for x in (text, template))
+    return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+
 def test_cosine_against_plain_python(spark):
     lines = ["Licensed under the Apache License", "MIT license license", "licence of zebras zebras", "Copyright 2020 Foo. All rights reserved."]
     files = spark.createDataFrame([(i, "a/b", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
@@ -331,7 +345,7 @@ def test_cosine_against_plain_python(spark):
         assert r["b"][0]["similarity"] == pytest.approx(want, abs=1e-8)
     found = licences.headers(files.withColumn("text", F.concat("text", F.lit(" without warranty software the the copyright")))).withColumn("file_no", F.col("doc_id"))
     for r in licences.best_bodies(found, licences.BODIES).collect():
-        want = max(plain_cosine(lines[r["file_no"]] + " without warranty software the the copyright", text, licences.BODIES) for _, text in licences.BODIES)
+        want = max(plain_body_cosine(lines[r["file_no"]] + " without warranty software the the copyright", text, licences.BODIES) for _, text in licences.BODIES)
         assert r["whole"]["similarity"] == pytest.approx(want, abs=1e-8)
 
 
@@ -340,11 +354,17 @@ def brute_licences(files):
     own, declared = {}, {}
     for k, (i, path, text) in enumerate(files):
         lines = [x for x in (text or "").split("\n") if re.search(licences.MENTION, x) and re.search("[a-z0-9]", x.lower())]
-        like = lambda x, ts: max((round(plain_cosine(x, body, ts), 9), -n, name) for n, (name, body) in enumerate(ts))
-        best = max((like(x, licences.TEMPLATES) for x in lines), default=(0,))
-        whole = like(text, licences.BODIES) if text and re.search(licences.BODY, text) else (0,)
-        mine = whole if whole[0] >= 0.6 else best if best[0] >= 0.6 else None
-        is_file = whole[0] >= 0.6 or (mine is not None and sum(len(x.split()) for x in lines) >= 0.3 * len(text.split()))
+        like = lambda x, ts, cosine: max((round(cosine(x, body, ts), 9), -n, name) for n, (name, body) in enumerate(ts))
+        each = [like(x, licences.TEMPLATES, plain_cosine) for x in lines]
+        best = max(each, default=(0,))
+        body = bool(text and re.search(licences.BODY, text))
+        whole = like(text, licences.BODIES, plain_body_cosine) if body else (0,)
+        mentioning = sum(len(x.split()) for x in lines)
+        if body and mentioning >= 0.1 * len(text.split()) and sum(x[0] >= 0.6 for x in each) < 0.125 * len(lines):
+            best = (0,)
+        mine = whole if whole[0] >= 0.65 else best if best[0] >= 0.6 else None
+        terms = lambda x: len(re.findall("[a-z0-9]+", x.lower()))
+        is_file = whole[0] >= 0.65 and terms(text) <= 2 * terms(licences.BODIES[-whole[1]][1]) or (best[0] >= 0.6 and mentioning >= 0.3 * len(text.split()))
         own[k] = (mine, is_file)
         if is_file and path is not None:
             at = path.rpartition("/")[0]
@@ -367,10 +387,12 @@ def brute_licences(files):
 
 
 def test_licences_against_brute_force(spark, data):
-    body = dict(licences.BODIES)
+    body, whole = dict(licences.BODIES), dict(licences.whole_texts())
     odd = [
         (10, "p/LICENSE", "Copyright (c) 2020 Foo\n" + body["MIT"]), (10, "p/LICENSE", "Copyright (c) 2020 Foo\n" + body["MIT"]), (11, "p/q/r.c", "int x;"), (12, "p/COPYING", body["BSD-3-Clause"]),
         (13, "p/q/BSD", body["BSD-2-Clause"]), (14, "z.txt", "SPDX-License-Identifier: Apache-2.0"), (15, "other/z.txt", "All rights reserved."), (16, None, "All rights reserved."), (17, "", ""), (18, "lic/x", "licence " + "word " * 30_000),
+        (24, "l/m", whole["MPL-2.0"]), (25, "l/a", whole["Artistic-1.0"].replace("Artistic", "Foo")), (26, "s/a.c", body["Apache-2.0"] + "\n" + "\n".join(f"int x{i} = {i};" for i in range(150))), (27, "s/b.c", ""),
+        (28, "t/LICENSE", "Redistribution and use is\nby license\nnot by license\nof any license\nthat copyright knows\nReleased under the MIT License.\nlicence" + "\nno license" * 3),
         (19, "gnu/COPYING", body["GPL-3.0"]), (20, "gnu/old/COPYING", body["GPL-2.0"]), (21, "gnu/old/a/b", None), (22, "lic/--", "©licen©\n copyright"), (23, "a/b", "Copyright 2020 Foo. All rights reserved."),
     ]
     docs = [tuple(r) for r in licences.with_path(spark.read.parquet(f"{data}/documents.parquet")).collect()]
@@ -381,6 +403,31 @@ def test_licences_against_brute_force(spark, data):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_are_named(spark):
+    """Whole texts, verbatim and with another holder and other line breaks, are named; foreign texts of a licence's kind aren't."""
+    import textwrap
+
+    whole = licences.whole_texts()
+    short = [b for b in licences.BODIES if b[0] in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0"} <= {n for n, _ in whole}
+    files = [(f"{name} {k}", f"{name} {k}/LICENSE", text) for name, x in whole + short for k, text in enumerate((x, "\n".join(textwrap.wrap(f"Copyright 2021 Jane Doe and the Foobar Contributors\n{x}", 60))))]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(files, "doc_id string, path string, text string")).collect()}
+    assert {i: (r["licence"], r["basis"]) for i, r in got.items()} == {i: (i.split(" ")[0], "file") for i, _, _ in files}
+    kin = {"Apache-2.0": (), "CC0-1.0": (), "GPL-3.0": ("AGPL-3.0",), "Artistic-1.0": (), "GFDL-1.3": ("GFDL-1.2",)}
+    for name, others in kin.items():
+        bodies = [b for b in licences.BODIES if b[0] not in (name, *others)]
+        r = licences.scan(spark.createDataFrame([(1, "LICENSE", dict(whole)[name])], "doc_id long, path string, text string"), bodies=bodies).first()
+        assert (r["licence"], r["basis"]) == (None, "none"), name
+
+
+def test_notices_above_code(spark):
+    """A notice above code of any length names the file's licence; only where its lines hold 3 words in 10 or more, the directory's."""
+    notice = "/* Copyright 2020 Foo\n" + "\n".join(f" * {x}" for x in dict(licences.BODIES)["Apache-2.0"].split("\n")) + "\n */\n"
+    files = [(n, f"d{n}/x.c", notice + "\n".join(f"int f{i}(int a) {{ return a + {i}; }}" for i in range(n))) for n in (0, 5, 20, 50, 100, 300, 1000)]
+    got = {r["doc_id"]: (r["licence"], r["basis"]) for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {n: ("Apache-2.0", "file" if n <= 20 else "header") for n, _, _ in files}
+
+
 def test_licences_are_inherited_from_any_depth(spark):
     files = [(1, "LICENSE", "Released under the MIT License."), (2, "/".join(["d"] * 50) + "/x.txt", "nothing here")]
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}

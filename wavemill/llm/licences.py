@@ -3,9 +3,14 @@ ancestor directory, in DataFrame functions only.
 
 A header is a line of a document that mentions a licence or copyright; each is compared as a sparse TF-IDF vector with the
 header templates. A document that holds the typical words of a licence's body is compared as a whole with the texts of
-licences too. Inverse document frequencies are those among the templates, and a term of no template weighs 1, so a
-document's similarity depends on nothing but its text. The best template of at least ``MIN_SIMILARITY`` is the
-document's own licence. A licence file is a document that is like a licence's text, or whose licensed headers hold at
+licences too. Inverse document frequencies are those among the templates, so a document's similarity depends on nothing
+but its text. In a header a term of no template weighs 1. In whole texts a term counts by the logarithm of its number, one
+that most licences hold weighs next to nothing, and one that none holds weighs ``UNKNOWN``, so a name of a holder or a
+program below the licence changes little and another licence's words much. The best template of at least
+``MIN_SIMILARITY``, and among whole texts of at least ``MIN_BODY_SIMILARITY``, is the document's own licence; a whole text
+goes before a header. Licences name other licences: in a text of a licence's kind, of which lines that mention licences make
+up at least ``LEGAL_SHARE`` of the words, a header counts only where at least ``HEADER_SHARE`` of such lines are headers.
+A licence file is a document that is like a licence's text and at most 1/``TEXT_SHARE`` times as long, or whose licensed headers hold at
 least ``FILE_SHARE`` of its words; it declares its licence for its directory and all below, until a nearer declaration. A
 document without a licence of its own takes the one that the nearest ancestor directory declares.
 
@@ -21,9 +26,11 @@ like nothing. Ids of any type that orders.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +38,12 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import join_hot, stage
 
 MIN_SIMILARITY = 0.6
+MIN_BODY_SIMILARITY = 0.65
 FILE_SHARE = 0.3
+TEXT_SHARE = 0.5
+UNKNOWN = 0.3
+LEGAL_SHARE = 0.1
+HEADER_SHARE = 0.125
 
 #: Names of licences and the sentences by which files state them.
 TEMPLATES = [
@@ -57,8 +69,24 @@ TEMPLATES = [
 #: Licences that an SPDX tag may name.
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict(TEMPLATES) if name != "Proprietary"]
 
-#: Texts of licences as they stand in licence files, and the notices of licences too long to be compared whole.
-BODIES = [
+#: Whole texts of longer licences, a file for each, as Debian's base-files package distributes them.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Fixed value: the section by which the Affero licence differs from the general one, as far as its words tell it apart.
+_REMOTE = (
+    "Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must "
+    "prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source "
+    "of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."
+)
+
+
+def whole_texts(folder: Path = TEXTS) -> list[tuple[str, str]]:
+    """(licence, text) of each file of a folder, by name, and the Affero licence, made of the general one's text."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+    return texts + [("AGPL-3.0", re.sub("(?i)GNU General", "GNU Affero General", x) + _REMOTE) for name, x in texts if name == "GPL-3.0"]
+
+
+#: Short texts of licences as they stand in licence files, and the notices by which files state long ones.
+BODIES = whole_texts() + [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
@@ -111,7 +139,10 @@ BODIES += [(short, _GNU.format(name=name, version=version)) for short, name, ver
 
 #: A line that mentions a licence, and a text that may be a licence's.
 MENTION = "(?i)licen[cs]|copyright|all rights reserved|public domain|spdx"
-BODY = r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use)|redistribution\s+and\s+use|without\s+warrant(y|ies)|unencumbered\s+software|free\s+software|subject\s+to\s+the\s+terms"
+BODY = (
+    r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use)|redistribution\s+and\s+use|without\s+warrant(y|ies)|unencumbered\s+software|free\s+software|subject\s+to\s+the\s+terms"
+    r"|representations\s+or\s+warranties|implied\s+warranties|warranty\s+disclaimers|terms\s+and\s+conditions"
+)
 
 
 def terms_of(line: str) -> list[str]:
@@ -188,18 +219,35 @@ def best_template(line: Column, templates: list[tuple[str, str]]) -> Column:
     return F.when(F.size(line) > 0, F.array_max(F.array(*choices)))
 
 
-def best_bodies(found: DataFrame, bodies: list[tuple[str, str]]) -> DataFrame:
+def body_frequencies(bodies: list[tuple[str, str]]) -> dict[str, float]:
+    """Inverse document frequency of each term among the texts of licences, next to nothing for a term of all."""
+    df = Counter(t for _, text in bodies for t in set(terms_of(text)))
+    return {t: math.log((1 + len(bodies)) / (0.5 + n)) for t, n in df.items()}
+
+
+def _body_parts(text: str, idf: dict[str, float]) -> dict[str, float]:
+    """As ``_weighted``, of damped term counts."""
+    own = {t: 1 + math.log(n) for t, n in Counter(terms_of(text)).items()}
+    norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
+    return {t: n * idf[t] * idf[t] / norm for t, n in own.items()}
+
+
+def best_bodies(found: DataFrame, bodies: list[tuple[str, str]], unknown: float = UNKNOWN) -> DataFrame:
     """file_no and the struct(similarity, rank, licence) of the licence's text nearest to each whole text that may be one."""
-    spark, idf = found.sparkSession, inverse_frequencies(bodies)
-    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = [f"('{t}', {-k}, {quoted(name)}, {w!r}D)" for k, (name, text) in enumerate(bodies) for t, w in sorted(_weighted(text, idf).items())]
-    parts = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(term, rank, licence, part)")
-    weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {w!r}D)" for t, w in sorted(idf.items())) + " AS t(term, weight)")
-    counts = found.where(F.size("body") > 0).select("file_no", F.explode("body").alias("term")).groupBy("file_no", "term").agg(F.count("*").alias("n"))
-    # both tables are as large as the fixed templates
-    norms = counts.join(F.broadcast(weights), "term", "left").groupBy("file_no").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("weight", F.lit(1.0)), F.lit(2.0)))).alias("norm"))
-    dots = counts.join(F.broadcast(parts), "term").groupBy("file_no", "rank", "licence").agg(F.sum(F.col("n") * F.col("part")).alias("dot"))
-    like = F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"), "rank", "licence")
+    spark, idf = found.sparkSession, body_frequencies(bodies)
+    names = F.array(*[F.lit(name) for name, _ in bodies])
+    # for each term its own weight and its parts in the texts that hold it: one literal, as large as the fixed templates
+    held = {t: {"weight": w, "parts": []} for t, w in sorted(idf.items())}
+    for k, (_, text) in enumerate(bodies):
+        for t, part in sorted(_body_parts(text, idf).items()):
+            held[t]["parts"].append({"k": k, "part": part})
+    schema = "map<string, struct<weight: double, parts: array<struct<k: int, part: double>>>>"
+    weights = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(held)), schema)).alias("term", "held")).select("term", "held.*")
+    counts = found.where(F.size("body") > 0).select("file_no", F.explode("body").alias("term")).groupBy("file_no", "term").agg((1 + F.log(F.count("*"))).alias("n"))
+    known = stage(counts.join(F.broadcast(weights), "term", "left"), "licence-terms")
+    norms = known.groupBy("file_no").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("weight", F.lit(unknown)), F.lit(2.0)))).alias("norm"))
+    dots = known.select("file_no", "n", F.inline("parts")).groupBy("file_no", "k").agg(F.sum(F.col("n") * F.col("part")).alias("dot"))
+    like = F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"), (-F.col("k")).alias("rank"), F.element_at(names, F.col("k") + 1).alias("licence"))
     return dots.join(norms, "file_no").groupBy("file_no").agg(F.max(like).alias("whole"))
 
 
@@ -208,17 +256,19 @@ def _counted(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return stage(facts.join(rows.groupBy(key).agg(F.count("*").alias("held_by")), key), "licence-facts")
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_similarity: float = MIN_SIMILARITY, file_share: float = FILE_SHARE, bodies: list[tuple[str, str]] = BODIES) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_similarity: float = MIN_SIMILARITY, file_share: float = FILE_SHARE, bodies: list[tuple[str, str]] = BODIES, min_body_similarity: float = MIN_BODY_SIMILARITY) -> DataFrame:
     """doc_id, path, licence, similarity, basis (header, file, inherited, none), from_dir and levels_up of every file."""
     found = stage(headers(files.select("doc_id", "path", "text")).withColumn("file_no", F.monotonically_increasing_id()), "licence-headers")
-    line = F.array_max(F.transform("lines", lambda x: best_template(x, templates)))
-    whole = F.when(F.col("whole.similarity") >= min_similarity, F.col("whole"))
+    line = F.filter(F.transform("lines", lambda x: best_template(x, templates)), lambda x: x["similarity"] >= min_similarity)
+    long_enough = F.array(*[F.lit(len(terms_of(text)) / TEXT_SHARE) for _, text in bodies])
+    whole = F.when(F.col("whole.similarity") >= min_body_similarity, F.col("whole"))
+    legal = F.col("body").isNotNull() & (F.col("header_words") >= F.lit(LEGAL_SHARE) * F.col("n_words")) & (F.size("like") < F.lit(HEADER_SHARE) * F.size("lines"))
     own = (
         found.join(stage(best_bodies(found, bodies), "licence-bodies"), "file_no", "left")
-        .withColumn("line", F.when(F.size("lines") > 0, line))
-        .withColumn("line", F.when(F.col("line.similarity") >= min_similarity, F.col("line")))
+        .withColumn("like", line)
+        .withColumn("line", F.when(~legal, F.array_max("like")))
         .withColumn("whole", whole)
-        .withColumn("is_file", F.col("whole").isNotNull() | F.coalesce(F.col("line").isNotNull() & (F.col("header_words") >= F.lit(file_share) * F.col("n_words")), F.lit(False)))
+        .withColumn("is_file", (F.col("whole").isNotNull() & (F.size("body") <= F.element_at(long_enough, 1 - F.col("whole.rank")))) | F.coalesce(F.col("line").isNotNull() & (F.col("header_words") >= F.lit(file_share) * F.col("n_words")), F.lit(False)))
         .select("doc_id", "path", "dir", F.coalesce("whole", "line").alias("best"), "is_file")
     )
     own = stage(own, "licence-own")
