@@ -221,6 +221,56 @@ def test_damaged_recordings_raise(decode):
             decode(data)
 
 
+@pytest.mark.parametrize("kind", [1, 2, 3])
+def test_event_tables_of_cnt_files(kind):
+    x, marks = np.random.default_rng(kind).integers(-99, 99, (3, 20)), [(0, 7), (5, 65535), (5, 1), (19, 0)]
+    data = decoders.encode_cnt(x, ["Fz", "Cz", "Pz"], 250, kind, marks)
+    assert decoders.marks_cnt(data) == [(k, str(c)) for k, c in marks]
+    rate, names, got = decoders.decode_cnt(data)
+    assert (rate, names) == (250.0, ["Fz", "Cz", "Pz"])
+    np.testing.assert_allclose(got, x * 1e-6)
+    assert decoders.marks_cnt(decoders.encode_cnt(x, ["a", "b", "c"], 250, kind)) == []
+    start = 900 + 75 * 3 + 4 * x.size
+    for bad in (data[:-1], data[: start + 4], data[:start] + b"\x09" + data[start + 1 :], b"", bytes(900)):
+        with pytest.raises(ValueError):
+            decoders.marks_cnt(bad)
+
+
+def test_events_of_cnt_files_in_16_bits():
+    """Places are bytes of the file, so the width of a sample matters."""
+    x = np.arange(12).reshape(2, 6)
+    data = bytearray(cnt_file(x, 100, 2))
+    start = 900 + 150
+    data[start + 24 :] = struct.pack("<Bii", 1, 16, 0) + struct.pack("<HBBi", 3, 0, 0, start + 8) + struct.pack("<HBBi", 4, 0, 0, start + 20)
+    assert decoders.marks_cnt(bytes(data)) == [(2, "3"), (5, "4")]
+
+
+def test_segments_of_simple_binary_files():
+    x = np.random.default_rng(0).integers(-99, 99, (2, 12))
+    data = decoders.encode_simple_binary([("go", x[:, :4]), ("stop", x[:, 4:8]), ("go", x[:, 8:])], 500)
+    rate, names, got = decoders.decode_simple_binary(data)
+    assert (rate, names) == (500.0, ["E1", "E2"])
+    np.testing.assert_allclose(got, x * 1e-6)
+    assert decoders.marks_simple_binary(data) == [(0, "go"), (4, "stop"), (8, "go")]
+    for bad in (data[:-1], data[:33], data[:47] + struct.pack(">h", 9) + data[49:], b""):
+        with pytest.raises(ValueError):
+            decoders.marks_simple_binary(bad)
+    whole = raw_file(np.ones((1, 7)), {"DIN1": np.array([1, 1, 0, 0, 2, 0, 3]), "DIN2": np.array([0, 0, 0, 0, 1, 1, 1])}, 500, 4)
+    assert decoders.marks_simple_binary(whole) == [(0, "DIN1"), (4, "DIN1"), (4, "DIN2"), (6, "DIN1")]
+
+
+def test_marks_are_loaded_with_their_failures(spark, tmp_path):
+    x = np.arange(6).reshape(2, 3)
+    (tmp_path / "sub-1_task-rest.cnt").write_bytes(decoders.encode_cnt(x, ["a", "b"], 100, 1, [(2, 5)]))
+    (tmp_path / "sub-2_task-rest.raw").write_bytes(decoders.encode_simple_binary([("go", x), ("go", x)], 100))
+    (tmp_path / "sub-3_task-rest.raw").write_bytes(b"\x00")
+    (tmp_path / "sub-6_task-rest.raw").write_bytes(b"")  # Spark hands no empty file to a task
+    (tmp_path / "sub-4_task-rest.set").write_bytes(b"x")
+    (tmp_path / "sub-5_task-rest.cnt").write_bytes(decoders.encode_cnt(x, ["a", "b"], 100, 1))
+    got = sorted((r["subject"], r["sample"] or 0, r["kind"], r["error"]) for r in recordings.load_marks(spark, str(tmp_path)).collect())
+    assert got == [("1", 2, "5", None), ("2", 0, "go", None), ("2", 3, "go", None), ("3", 0, None, "file is too short for its header"), ("4", 0, None, "no marks in .set")]
+
+
 def test_a_task_is_loaded_with_its_failures(spark, tmp_path):
     for folder in ("neuroscan", "egi"):
         (tmp_path / folder).mkdir()

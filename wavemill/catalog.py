@@ -77,6 +77,9 @@ _MARKS_SQL = f"WITH {recording_files.SQL} SELECT subject, 'rest' AS task, k * 8
 for _kind, _format, _id in (("set", "eeglab", "SRC3b"), ("cdt", "curry", "SRC3c")):
     register(f"{_format}_files", f"{_id} SRC3", "subject:s task:s ch:s n:l uv:d", lambda s, d, k=_kind: recording_files.samples(s, d, k), _SAMPLES_SQL)
     register(f"{_format}_marks", f"{_id} PRE8", "subject:s task:s sample:l kind:s", lambda s, d, k=_kind: recording_files.marks(s, d, k), _MARKS_SQL)
+for _kind, _format, _id in (("cnt", "neuroscan", "SRC3a"), ("raw", "egi", "SRC3d")):
+    register(f"{_format}_marks", f"{_id} PRE8", "subject:s task:s sample:l kind:s", lambda s, d, k=_kind: recording_files.single_marks(s, d, k), _MARKS_SQL)
+register("egi_files", "SRC3d SRC3", "subject:s task:s ch:s n:l uv:d", lambda s, d: recording_files.single_samples(s, d, "raw"), _SAMPLES_SQL.replace("'C' || (i // 8)", "'E' || (1 + i // 8)"))
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:

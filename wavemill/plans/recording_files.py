@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wavemill.plans import tables as T
 from wavemill.plans.shared import shared_dir
-from wavemill.sources import vendor
+from wavemill.sources import decoders, recordings, vendor
 
 VECTORS, CHANNELS, STEPS = 20, 8, 8
 NAMES = [f"C{k}" for k in range(CHANNELS)]
@@ -32,7 +32,14 @@ def _encoded(kind: str):
                 x = np.concatenate([np.array(v["embedding"], "f4").reshape(CHANNELS, STEPS) for v in vectors], axis=1)
                 marks = [(k * STEPS, str(v["label"])) for k, v in enumerate(vectors)]
                 odd = int(subject) % 2 == 1
-                files = vendor.encode_set(x, NAMES, 64.0, odd, marks) if kind == "set" else vendor.encode_cdt(x, NAMES, 64.0, odd, marks)
+                if kind == "set":
+                    files = vendor.encode_set(x, NAMES, 64.0, odd, marks)
+                elif kind == "cdt":
+                    files = vendor.encode_cdt(x, NAMES, 64.0, odd, marks)
+                elif kind == "cnt":
+                    files = {".cnt": decoders.encode_cnt(x * 1e6, NAMES, 64, 1 + int(subject) % 3, [(k, int(code)) for k, code in marks])}
+                else:
+                    files = {".raw": decoders.encode_simple_binary([(code, x[:, k : k + STEPS]) for k, code in marks], 64)}
                 out += [(f"sub-{subject}_task-rest{ext}", data) for ext, data in files.items()]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], names=["name", "content"])
 
@@ -40,12 +47,12 @@ def _encoded(kind: str):
 
 
 def write(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """Write all recordings as files of a kind (set or cdt); gives the folder."""
+    """Write all recordings as files of a kind (set, cdt, cnt or raw); gives the folder."""
     rows = T.read(spark, sf_dir, "embeddings").where(F.size("embedding") == CHANNELS * STEPS)
     subject = F.lpad(F.floor(F.col("vec_id") / VECTORS).cast("string"), 6, "0")
-    recordings = rows.groupBy(subject.alias("subject")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("vectors"))
+    grouped = rows.groupBy(subject.alias("subject")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("vectors"))
     folder = shared_dir(spark, f"{kind}-files")
-    vendor.write_files(recordings.mapInArrow(_encoded(kind), "name string, content binary"), folder)
+    vendor.write_files(grouped.mapInArrow(_encoded(kind), "name string, content binary"), folder)
     return folder
 
 
@@ -57,3 +64,13 @@ def samples(spark: SparkSession, sf_dir: str, kind: str, range_bytes: int = 4096
 
 def marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return vendor.read_files(spark, write(spark, sf_dir, kind), content="marks")
+
+
+def single_samples(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """As ``samples``, of recordings of one file each."""
+    packed = recordings.load_recordings(spark, write(spark, sf_dir, kind)).where("error is null")
+    return packed.select("subject", "task", "ch", F.posexplode("xs").alias("n", "x")).withColumn("n", F.col("n").cast("long")).withColumn("uv", F.col("x") * 1e6)
+
+
+def single_marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return recordings.load_marks(spark, write(spark, sf_dir, kind))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.sources import vendor
-from wavemill.sources.decoders import decode_cnt, decode_simple_binary
+from wavemill.sources.decoders import decode_cnt, decode_simple_binary, marks_cnt, marks_simple_binary
 
 #: Recording formats in order of preference, and the extensions of their files.
 FORMATS = [("neuroscan", 0, ".cnt"), ("eeglab", 1, ".set"), ("eeglab", 1, ".fdt"), ("curry", 2, ".cdt"), ("curry", 2, ".dpa"), ("egi", 3, ".raw")]
@@ -105,11 +105,37 @@ PACKED = "subject string, task string, ch_idx int, ch string, sfreq double, xs a
 
 def load_recordings(spark: SparkSession, paths: str | list[str], decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """Packed channels (subject, task, ch_idx, ch, sfreq, xs, error) of recording files; a file that can't be decoded
-    gives one row that says why, so one bad file doesn't stop a load."""
+    gives one row that says why, so one bad file doesn't stop a load; an empty file, which Spark hands to no task, gives none."""
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
     return _decoded(files, decoders or DECODERS)
 
 
+#: Readers of marks by extension: bytes -> (sample, code).
+MARK_DECODERS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {".cnt": marks_cnt, ".raw": marks_simple_binary}
+
+
+def load_marks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Marks (subject, task, sample, kind, error) of recording files of one file each; a file whose marks can't be read gives
+    one row that says why, one without marks none, and so does an empty file, which Spark hands to no task. Marks of pairs of files: ``vendor.read_files``."""
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
+    rows = files.select(subject_of(F.col("name")).alias("subject"), task_of(F.col("name")).alias("task"), extension_of(F.col("name")).alias("ext"), "content")
+    names, kinds = ["subject", "task", "sample", "kind", "error"], [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for subject, task, ext, content in zip(*(batch.column(c).to_pylist() for c in ("subject", "task", "ext", "content"))):
+                try:
+                    if ext not in MARK_DECODERS:
+                        raise ValueError(f"no marks in {ext}")
+                    out = [(subject, task, k, code, None) for k, code in MARK_DECODERS[ext](content)]
+                except (ValueError, IndexError, UnicodeDecodeError) as e:
+                    out = [(subject, task, None, None, str(e))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    return rows.mapInArrow(run, vendor.MARKS)
+
+
 def whole_channels(pieces: DataFrame) -> DataFrame:
     """Pieces of channels (``vendor.PIECES``) put together as ``load_recordings`` gives them; a channel is one row."""
     rows = pieces.groupBy("subject", "task", "ch_idx", "ch", "sfreq", "error").agg(F.array_sort(F.collect_list(F.struct("n0", "xs"))).alias("p"))
