@@ -1,5 +1,8 @@
-"""Exact nearest neighbours in blocks: queries and training vectors are packed into matrices on the executors, every block
-of queries meets every block of vectors through a shuffle, and the k best of each meeting are merged by query."""
+"""Exact nearest neighbours in cells of blocks: vectors are dealt to cells around pivots, and packed into matrices on the
+executors. Queries first meet the blocks of their own cell; the distance of the k-th found there bounds which other cells
+can hold a nearer vector, by the distance to a cell's pivot less its radius, and only those are met. The k best of all
+meetings are merged by query. Pivots are training rows of lowest hash, at most ``PIVOTS``; they and the radii reach the driver.
+Vectors that lie in no clusters can't be pruned in many dimensions: then every block of queries meets every block."""
 
 from __future__ import annotations
 
@@ -11,31 +14,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.plans.shared import written
+
 #: Vectors in one block.
 BLOCK = 4096
+#: Cells at most.
+PIVOTS = 512
 _NEAR = "array<struct<d:double,id:bigint,label:int>>"
 
 
-def _packed(rows: DataFrame, block: int, labelled: bool) -> tuple[DataFrame, int]:
-    """A row for each block of about ``block`` vectors: ids, labels and their matrix; and the number of blocks."""
-    n = max(1, -(-rows.count() // block))
-    number = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
+def _plain(rows: DataFrame, labelled: bool) -> DataFrame:
     label = F.col("label").cast("int") if labelled else F.lit(0)
+    return rows.where(F.col("id").isNotNull() & F.col("xs").isNotNull()).select(F.col("id").cast("long").alias("id"), label.alias("label"), F.col("xs").cast("array<double>").alias("xs"))
+
+
+def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with their cell, that of the nearest pivot, and their distance r to it."""
+    if len(pivots) < 2:
+        return rows.withColumns({"cell": F.lit(0), "r": F.lit(0.0)})
+
+    @F.pandas_udf("cell int, r double")
+    def nearest(xs: pd.Series) -> pd.DataFrame:
+        x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, pivots.shape[1]))
+        cell = ((pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T).argmin(axis=1)
+        return pd.DataFrame({"cell": cell, "r": np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))})
+
+    return rows.withColumn("near", nearest("xs")).select("id", "label", "xs", "near.cell", "near.r")
+
+
+def _sizes(rows: DataFrame, n_cells: int) -> tuple[list[int], np.ndarray]:
+    """Rows and radius of each cell; at most ``PIVOTS`` rows reach the driver. An empty cell's radius is minus infinity."""
+    n, radius = [0] * n_cells, np.full(n_cells, -np.inf)
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).collect():
+        n[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    return n, radius
+
+
+def _packed(rows: DataFrame, sizes: list[int], block: int) -> tuple[DataFrame, list[int]]:
+    """A row for each block of about ``block`` vectors of one cell: ids, labels and their matrix; and the blocks of each cell."""
+    parts = [max(1, -(-n // block)) for n in sizes]
+    part = F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1)).cast("int")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64)], "labels": [pdf["label"].to_numpy(np.int32)], "x": [np.stack(pdf["xs"].to_numpy()).astype(np.float64).tobytes()]})
+        x = np.stack(pdf["xs"].to_numpy()).astype(np.float64).tobytes()
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64)], "labels": [pdf["label"].to_numpy(np.int32)], "x": [x]})
+
+    rows = rows.select("cell", part.alias("part"), "id", "label", "xs")
+    return rows.groupBy("cell", "part").applyInPandas(pack, "cell int, part int, ids array<bigint>, labels array<int>, x binary"), parts
 
-    plain = rows.where(F.col("id").isNotNull() & F.col("xs").isNotNull()).select(number, F.col("id").cast("long").alias("id"), label.alias("label"), F.col("xs").cast("array<double>").alias("xs"))
-    return plain.groupBy("block").applyInPandas(pack, "block int, ids array<bigint>, labels array<int>, x binary"), n
 
+def _needed(pivots: np.ndarray, radius: np.ndarray):
+    """The cells other than its own that may hold a vector nearer than a query's bound, with room for rounding."""
 
-def k_nearest(train: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    @F.pandas_udf("array<int>")
+    def cells(xs: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+        x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, pivots.shape[1]))
+        away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T, 0))
+        limit = bound.fillna(np.inf).to_numpy(float)
+        slack = 1e-6 * (1 + (x * x).sum(axis=1) + (pivots * pivots).sum(axis=1).max())
+        may = (np.maximum(away - radius[None], 0) ** 2 <= (limit + slack)[:, None]) & (radius >= 0)[None]
+        may[np.arange(len(x)), cell.to_numpy()] = False
+        return pd.Series([np.flatnonzero(m).astype(np.int32) for m in may], dtype=object)
+
+    return cells
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    return found.select("id", F.explode("near").alias("n")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("near"))
+
+
+def k_nearest(train: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, max_pivots: int = PIVOTS) -> DataFrame:
     """id and near: the k training rows of another id that are nearest, as (squared distance to nine places, id, label), ties
     by id. Fewer where there are fewer; vectors of one length."""
-    left, n = _packed(train, block, True)
-    right, _ = _packed(queries, block, False)
-    meet = right.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(left, "block").select("q_ids", "q", "ids", "labels", "x")
+    train, queries = _plain(train, True), _plain(queries, False)
+    n_pivots = min(max_pivots, -(-train.count() // block))
+    first = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("xs").collect() if n_pivots > 1 else []
+    pivots = np.array([r["xs"] for r in first])
+    n_cells = max(1, len(pivots))
+    train, queries = _in_cells(train, pivots), _in_cells(queries, pivots)
+    if n_cells > 1:
+        train, queries = written(train, "neighbour-vectors"), written(queries, "neighbour-queries")
+    sizes, radius = _sizes(train, n_cells)
+    left, parts = _packed(train, sizes, block)
+    if n_cells == 1:
+        return _merged(_met(left, parts, queries, block, k), k)
+    left = written(left, "neighbour-blocks")
+    home = written(_merged(_met(left, parts, queries, block, k), k), "neighbours-at-home")
+    bound = F.get("near", F.lit(k - 1))["d"].alias("bound")
+    asked = queries.join(home.select("id", bound), "id", "left").withColumn("cells", _needed(pivots, radius)("xs", "cell", "bound"))
+    asked = written(asked.select("id", "label", "xs", F.explode("cells").alias("cell"), "r"), "neighbours-asked")
+    return _merged(home.unionByName(_met(left, parts, asked, block, k)), k)
+
+
+def _met(left: DataFrame, parts: list[int], queries: DataFrame, block: int, k: int) -> DataFrame:
+    """The k best of each meeting of a block of queries with a block of vectors of the cell that they ask for."""
+    right, _ = _packed(queries, _sizes(queries, len(parts))[0], block)
+    each = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1) - 1)).alias("part")
+    meet = right.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), "cell", each).join(left, ["cell", "part"]).select("q_ids", "q", "ids", "labels", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,8 +129,7 @@ def k_nearest(train: DataFrame, queries: DataFrame, k: int, block: int = BLOCK)
                     out.append([{"d": float(d[j]), "id": int(ids[at[j]]), "label": int(labels[at[j]])} for j in best])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(out, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int32())])))], names=["id", "near"])
 
-    found = meet.mapInArrow(run, f"id bigint, near {_NEAR}")
-    return found.select("id", F.explode("near").alias("n")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("near"))
+    return meet.mapInArrow(run, f"id bigint, near {_NEAR}")
 
 
 def votes(near: DataFrame, weights: str = "uniform") -> DataFrame:
