@@ -46,3 +46,14 @@ def test_event_tables(spark):
 def test_empty_tree(spark):
     empty = spark.createDataFrame([], "path string, content string")
     assert layout.metadata(empty).count() == 0 and layout.event_tables(empty).count() == 0
+
+
+def test_sidecars_of_one_folder_meet_their_own_files_only(spark):
+    """A folder with a sidecar for each of its files: as many candidates as pairs, not files times sidecars."""
+    rows = [(f"sub-1/sub-1_run-{i}_eeg{ext}", '{"gain": 1}' if ext == ".json" else None) for i in range(60) for ext in (".set", ".json")]
+    files = spark.createDataFrame([*rows, ("sub-1/run-1_run-2_eeg.set", None), ("eeg.json", '{"line": 50}')], "path string, content string")
+    known = layout._once(files)
+    assert layout._candidates(known.where("ext <> '.json'"), known.where("ext = '.json'"), True).count() == 60 + 2 + 61  # a file of two runs may meet the sidecars of both
+    got = {(r["path"], r["key"], r["side"]) for r in layout.metadata(files).collect()}
+    own = {(f"sub-1/sub-1_run-{i}_eeg.set", "gain", f"sub-1/sub-1_run-{i}_eeg.json") for i in range(60)}
+    assert got == own | {(p, "line", "eeg.json") for p, c in rows if c is None} | {("sub-1/run-1_run-2_eeg.set", "line", "eeg.json")}
