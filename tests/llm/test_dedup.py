@@ -334,6 +334,22 @@ def test_passages_whose_pieces_stand_in_earlier_documents(spark):
     assert got == {d: (25, 85) for d in want}
 
 
+def test_exact_passages_of_the_least_length_share_a_run_of_seeds(spark):
+    """Passages of 50 words whose pieces of 14 words all stand in earlier documents, so that no strobe leads to the source."""
+    r = random.Random(7)
+    draw = lambda n: [f"w{r.randrange(100000)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(1500):
+        p = draw(50)
+        pair = [" ".join(draw(40) + p + draw(40)) for _ in range(2)]
+        if k in (36, 589, 1109):
+            docs += [(len(docs) + i, " ".join([f"x{k}.{i}.{j}" for j in range(8)] + p[at : at + 14] + [f"y{k}.{i}.{j}" for j in range(8)])) for i, at in enumerate(range(0, 37, 2))]
+            docs += [(len(docs), pair[0]), (len(docs) + 1, pair[1])]
+            want[len(docs) - 1] = (len(docs) - 2, 40, 90)
+    got = passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {g["doc_id"]: (g["source_id"], g["start_word"], g["end_word"]) for g in got} == want
+
+
 @pytest.mark.parametrize(("every", "step"), [(5, 5), (7, 5), (7, 2), (10, 5), (10, 2), (20, 2)])
 def test_changed_passages_whose_short_pieces_stand_in_earlier_documents(spark, every, step):
     r = random.Random(31 * every + step)
