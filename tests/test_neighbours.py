@@ -44,3 +44,13 @@ def test_far_cells_are_not_asked(spark):
     some, none = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
     assert neighbours.k_nearest(none, some, 3, block=20).count() == 0
     assert neighbours.k_nearest(some, none, 3, block=20).count() == 0
+
+
+def test_a_meeting_in_steps_gives_the_same(spark):
+    """The distances of few queries are held at once, and the results don't depend on how many."""
+    rows = clustered(60, 4, 2.0)
+    plain = neighbours._plain(spark.createDataFrame(rows, SCHEMA), True).withColumns({"cell": F.lit(0), "r": F.lit(0.0)})
+    left, parts = neighbours._packed(plain, [60], 60)
+    for at_once in (1, 7, 128):
+        met = neighbours._met(left, parts, plain, 60, 3, at_once)
+        assert {r["id"]: [(n["d"], n["id"], n["label"]) for n in r["near"]] for r in met.collect()} == brute(rows, rows, 3)
