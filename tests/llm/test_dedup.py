@@ -196,6 +196,15 @@ def test_cells_of_several_levels_keep_every_pair(spark):
     assert {v["vec_id"]: (v["n_links"], v["component_id"]) for v in got} == {i: (links[i], want[i]) for i in links}
 
 
+def test_an_overfull_cell_makes_few_blocks_and_no_pairs_are_broadcast(spark):
+    x = np.random.default_rng(3).standard_normal((1100, 8))
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<double>")
+    cells = covertree.blocks(covertree.classes_of(covertree.hashed(covertree.valid(df))))
+    leaves = covertree.packed(cells)
+    assert 2 <= leaves.count() <= 24
+    assert "Broadcast" not in covertree.traverse(leaves)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_vectors_against_all_pairs(spark, block):
     r = np.random.default_rng(block)

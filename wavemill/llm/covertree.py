@@ -26,17 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import join_hot, small_batches, stage
+from wavemill.llm.common import join_hot, stage
 from wavemill.llm.components import components
 
 COSINE = 0.98
 BLOCK = 1024
-#: Pivots of one cell, about; and vectors that meet them in one task.
-PIVOTS = 64
+#: Pivots of one cell, about: as many as make the new cells half a block, within these bounds. And vectors that meet them in
+#: one task.
+FEW_PIVOTS, PIVOTS = 8, 64
 CHUNK = 8192
+#: Vectors of neighbouring blocks that travel together: a task traverses the pairs of blocks of two such groups.
+GROUP = 4096
 #: Upper levels at most; a cell that is still too large then is divided by hash, into blocks of about the right size,
 #: which costs pairs but loses none.
 LEVELS = 12
@@ -216,12 +219,13 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.first("label").alias("label"), F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("x").alias("x"))
 
 
-def _divide(big: DataFrame, sizes: DataFrame, pivots: int, level: int) -> DataFrame:
+def _divide(big: DataFrame, sizes: DataFrame, block: int, pivots: int, level: int) -> DataFrame:
     """The vectors of overfull cells in new cells: each vector goes to the nearest pivot of its cell."""
     of = sizes.select("cell", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     rows = big.join(of, "cell")
     draw = F.pmod(F.xxhash64("h1", "h2", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(draw * F.col("n") < pivots).select(F.col("cell").alias("of"), F.col("x").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+    enough = F.least(F.lit(pivots), F.greatest(F.lit(FEW_PIVOTS), F.ceil(2 * F.col("n") / block)))
+    picked = rows.where(draw * F.col("n") < enough).select(F.col("cell").alias("of"), F.col("x").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("h2", "h1"), F.col("chunks")).cast("int")).drop("n", "chunks")
     fields, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema.fields), big.columns
 
@@ -256,7 +260,7 @@ def blocks(found: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFr
         if level == LEVELS:
             salt = F.pmod(F.xxhash64("h1", "h2"), F.ceil(F.col("n") / block))
             return _union([*done, big.join(large, "cell").withColumn("cell", F.concat_ws(".", "cell", salt.cast("string"))).drop("n")])
-        whole, level = stage(_divide(big.select(*found.columns, "cell"), large, pivots, level), "vector-cells"), level + 1
+        whole, level = stage(_divide(big.select(*found.columns, "cell"), large, block, pivots, level), "vector-cells"), level + 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -333,37 +337,57 @@ def block_pairs(leaves: DataFrame, cosine: float = COSINE) -> DataFrame:
     return _union([alive, *ended]).select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
 
 
-def traverse(leaves: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _groups(leaves: DataFrame, group: int) -> DataFrame:
+    """The group of each block: blocks of one label, in the order of their cells, make groups of about ``group`` vectors. Only
+    names and sizes of blocks are ordered, no vectors."""
+    label = F.regexp_extract("cell", r"^(.*?)(\.[0-9]+)*$", 1)
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("cell")) - F.col("n")
+    sizes = leaves.select("cell", label.alias("label"), F.size("ids").cast("long").alias("n"))
+    return stage(sizes.select("cell", F.xxhash64("label").alias("of"), F.floor(before / group).alias("part")).select("cell", F.struct("of", "part").alias("group")), "block-groups")
+
+
+def traverse(leaves: DataFrame, cosine: float = COSINE, group: int = GROUP) -> DataFrame:
     """For each pair of blocks that may hold links, a row for each class with any: h1, h2 and a (its name), the weight n of
-    its links, and b, the name of its root in the pair's forest."""
+    its links, and b, the name of its root in the pair's forest.
+
+    The pairs of the blocks of two groups are one task's: so a block is sent once for each group that it meets, not once for
+    each block. Both tables are shuffled whatever their size: pairs are many, and pack so well that Spark would take them for
+    a small table and broadcast them.
+    """
     columns = ("ids", "weights", "h1", "h2", "matrix", "vectors", "nodes")
-    pairs = stage(block_pairs(leaves, cosine), "block-pairs").repartition("one", "two")
-    side = lambda name, tag: leaves.select(F.col("cell").alias(name), F.struct(*columns).alias(tag))
-    both = pairs.join(side("two", "right"), "two").join(side("one", "left"), "one").select("left", F.when(F.col("one") != F.col("two"), F.col("right")).alias("right"))
-
-    def tree(row: dict) -> CoverTree:
-        return CoverTree(np.frombuffer(row["matrix"]).reshape(len(row["ids"]), -1), np.frombuffer(row["vectors"], np.int64), np.frombuffer(row["nodes"], CoverTree.NODE))
-
-    def longs(column: str, *rows: dict) -> np.ndarray:
-        return np.concatenate([np.array(r[column], np.int64) for r in rows])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                if right is None:
-                    own = (left,)
-                    n, _, forest = dual_links(tree(left), None, cosine, longs("weights", left))
-                else:
-                    own = (left, right)
-                    one, two, forest = dual_links(tree(left), tree(right), cosine, longs("weights", left), longs("weights", right))
-                    n = np.concatenate([one, two])
-                at, ids = np.flatnonzero(n), longs("ids", *own)
-                roots = ids[[forest.find(int(i)) for i in at]] if len(at) else ids[:0]
-                cols = [longs("h1", *own)[at], longs("h2", *own)[at], ids[at], roots, n[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "a", "b", "n"])
-
-    small_batches(leaves.sparkSession, 2)
-    return both.mapInArrow(run, "h1 bigint, h2 bigint, a bigint, b bigint, n bigint")
+    known = _groups(leaves, group)
+    of = lambda name, tag: known.select(F.col("cell").alias(name), F.col("group").alias(tag))
+    pairs = stage(block_pairs(leaves, cosine).hint("shuffle_merge").join(of("one", "g"), "one").join(of("two", "k"), "two"), "block-pairs")
+    met = pairs.select("g", "k", F.explode(F.array("one", "two")).alias("cell")).distinct()
+    sent = met.hint("shuffle_merge").join(leaves.select("cell", *columns), "cell")
+    fields = "h1 bigint, h2 bigint, a bigint, b bigint, n bigint"
+
+    def run(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+        block = {r["cell"]: r for batch in own.select(["cell", *columns]).to_batches(1) for r in _blocks_of(batch)}
+        out = []
+        for one, two in zip(asked.column("one").to_pylist(), asked.column("two").to_pylist()):
+            both = [block[one]] if one == two else [block[one], block[two]]
+            w = [r["weights"] for r in both]
+            links = dual_links(both[0]["tree"], None if one == two else both[1]["tree"], cosine, *w)
+            n, forest = links[0] if one == two else np.concatenate(links[:2]), links[2]
+            at = np.flatnonzero(n)
+            if len(at):
+                ids, h1, h2 = (np.concatenate([r[c] for r in both]) for c in ("ids", "h1", "h2"))
+                out.append(np.stack([h1[at], h2[at], ids[at], ids[[forest.find(int(i)) for i in at]], n[at]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["h1", "h2", "a", "b", "n"])
+
+    asked = pairs.select(F.col("g").alias("p"), F.col("k").alias("q"), "one", "two")
+    return sent.groupBy("g", "k").cogroup(asked.groupBy("p", "q")).applyInArrow(run, fields)
+
+
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The blocks of a batch with their cover trees."""
+    for row in range(batch.num_rows):
+        longs = {c: batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "weights", "h1", "h2")}
+        matrix, vectors, nodes = (batch.column(c)[row].as_buffer() for c in ("matrix", "vectors", "nodes"))
+        tree = CoverTree(np.frombuffer(matrix).reshape(len(longs["ids"]), -1), np.frombuffer(vectors, np.int64), np.frombuffer(nodes, CoverTree.NODE))
+        yield {"cell": batch.column("cell")[row].as_py(), "tree": tree, **longs}
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
