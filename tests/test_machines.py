@@ -110,3 +110,30 @@ def test_logistic_regression_counts_its_rows(spark):
     df = frame(spark, x, (x[:, 0] + r.normal(size=60) > 0).astype(int))
     a, b = (models.create("logistic_regression", n_rows=n, C=1.0).fit(df).coefficients for n in (None, 999))
     assert np.allclose(a, b)
+
+
+def test_few_rows_are_summed_in_few_partitions(spark):
+    rows = models.vectors(spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(100)], "id long, label int, xs array<double>").repartition(40))
+    summed = machines._Summed(rows, "features", [0.0, 1.0], 200)
+    try:
+        assert summed.rdd.getNumPartitions() == 1
+        assert summed.over(lambda y, z: np.array([len(y), z[:, 0].sum()])).tolist() == [100, 4950]
+    finally:
+        summed.close()
+
+
+def test_a_grid_of_neighbours_looks_for_them_once_a_fold(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = models.vectors(spark.createDataFrame([(i, int(x[0] + 0.3 * x[1] > 0), x) for i, x in enumerate(r.standard_normal((90, 2)).tolist())], "id long, label int, xs array<double>"))
+    asked, real = [], models.k_nearest
+    monkeypatch.setattr(models, "k_nearest", lambda *a: asked.append(a[2]) or real(*a))
+    grid = {"n_neighbors": [1, 5], "weights": ["uniform", "distance"]}
+    _, best, params = models.train_one(rows, "knn", grid, k=3)
+    assert asked == [5, 5, 5]
+    folded = models.stratified_folds(rows, "id", "label", 3, 42).persist()
+    judge = models.MulticlassClassificationEvaluator(metricName="accuracy")
+    each = {}
+    for n in (1, 5):
+        for w in ("uniform", "distance"):
+            each[n, w] = np.mean([judge.evaluate(models.create("knn", n_neighbors=n, weights=w).fit(folded.where(f"fold <> {f}")).transform(folded.where(f"fold = {f}"))) for f in range(3)])
+    assert best == pytest.approx(max(each.values())) and best == pytest.approx(each[params["n_neighbors"], params["weights"]])
