@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import components, covertree, minhash, passages, words as word_module
+from wavemill.llm import common, components, covertree, minhash, passages, words as word_module
 from wavemill.llm.words import word_hashes
 
 
@@ -196,6 +196,31 @@ def test_cells_of_several_levels_keep_every_pair(spark):
     assert {v["vec_id"]: (v["n_links"], v["component_id"]) for v in got} == {i: (links[i], want[i]) for i in links}
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 17])
+def test_likely_rows_hold_all_that_are_wanted_and_few_others(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    wanted = spark.range(-20_000, 20_000, 4).withColumnRenamed("id", "name")
+    got = common.likely(rows, "doc_id", wanted, "name")
+    assert got.columns == rows.columns
+    got = [r["doc_id"] for r in got.collect()]
+    assert len(got) == len(set(got)) and set(range(-20_000, 20_000, 4)) <= set(got) and len(got) < 10_000 + 30_000 * (10_000 / most + 0.08)
+    assert common.likely(rows, "doc_id", wanted.limit(0), "name").count() == 0
+    text = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert common.likely(text, "doc_id", wanted.selectExpr("cast(name as string) name"), "name").where("doc_id % 4 = 0").count() == 10_000
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    r = random.Random(21)
+    docs = spark.createDataFrame([(i, " ".join(words(r, 40))) for i in range(200)] + [(900, "a b c d e f"), (901, "a b c d e f g")], "doc_id long, text string")
+    members = spark.createDataFrame([(0, 7), (1, 7)], "id long, bucket long")
+    rows = minhash.signed(docs.where("doc_id >= 900"), 2).where("digest is not null")
+    classes = common.stage(rows.select("digest", F.col("doc_id").alias("name"), "bands", (F.col("doc_id") - 900).alias("id")), "some-classes")
+    got = minhash._sets_of(docs, members, classes, 2)
+    assert sorted(r["id"] for r in got.collect()) == [0, 1]
+    assert "_map" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_an_overfull_cell_makes_few_blocks_and_no_pairs_are_broadcast(spark):
     x = np.random.default_rng(3).standard_normal((1100, 8))
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<double>")

@@ -67,6 +67,27 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, ho
     return rest.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+#: Bits of a broadcast filter for each wanted key, about, and bits at most (8 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 26
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key is wanted, and few others, in place: a bitmap of the (staged) wanted keys' hashes is broadcast, so
+    that a join with them needn't shuffle the texts of all other rows. Its size is bounded; with very many wanted keys it
+    only lets more rows through."""
+    n, bits = wanted.count(), 1 << 15
+    while bits < min(FILTER_BITS * n, MOST_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
+    pages = wanted.where(F.col(wanted_key).isNotNull()).select(place(wanted_key).alias("_h"))
+    pages = pages.groupBy(F.bitmap_bucket_number("_h").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_map"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_page", F.bitmap_bucket_number(place(key))).join(F.broadcast(pages), "_page")
+    bit = F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8))))
+    return met.where(F.pmod(bit, F.lit(2)) == 1).drop("_page", "_map")
+
+
 #: Rows of one key that meet its wide row in one group, about.
 WIDE_ROWS = 1000
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import dealt, join_hot, small_batches, stage
+from wavemill.llm.common import dealt, join_hot, likely, small_batches, stage
 from wavemill.llm.components import components
 from wavemill.llm.words import mix, word_hashes
 
@@ -277,7 +277,8 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """id and full set of the classes that have candidates, made of the text of one document of each."""
     wanted = stage(classes.join(members.select("id").distinct(), "id", "left_semi").select("name", "id", "digest"), "wanted")
-    found = full_sets(docs.join(wanted, docs["doc_id"] == wanted["name"]), size)
+    near = likely(docs, "doc_id", wanted, "name")
+    found = full_sets(near.join(wanted, near["doc_id"] == wanted["name"]), size)
     return found.groupBy("id").agg(F.first("elements").alias("elements"))  # of repeated rows
 
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import HOT, join_hot, small_batches, stage
+from wavemill.llm.common import HOT, join_hot, likely, small_batches, stage
 from wavemill.llm.words import word_hashes
 
 #: A window of 14 leaves an exact passage of MIN_WORDS words a whole run of seeds; with 16, 3 of 1,500 had none.
@@ -425,12 +425,13 @@ def _chains(grouped: DataFrame) -> DataFrame:
 def _requested_words(docs: DataFrame, chains: DataFrame) -> DataFrame:
     """no, a and b: for each chain (numbered ``no``) the words of either text from its x_from (y_from) up to its x_to (y_to).
 
-    Each text is shuffled once to the requests for its words, in bundles of about REQUESTS.
+    Each text that is asked for is shuffled once to the requests for its words, in bundles of about REQUESTS.
     """
     ask = lambda side, i, v, lo, hi: F.struct(F.lit(side).alias("side"), F.col(i).alias("id"), F.col(v).alias("variant"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
     asked = chains.select("no", F.explode(F.array(ask(0, "doc_id", "variant", "x_from", "x_to"), ask(1, "source_id", "source_variant", "y_from", "y_to"))).alias("r")).select("no", "r.*")
     sizes = stage(asked.groupBy("id").agg(F.count("*").alias("n")), "requests")
     bundle = F.pmod(F.xxhash64("no"), F.ceil(F.col("n") / REQUESTS))
+    docs = likely(docs, "doc_id", sizes, "id")
     bundles = join_hot(asked, sizes, ["id"], "n").groupBy("id", bundle.alias("bundle")).agg(F.collect_list(F.struct("no", "side", "variant", "lo", "hi")).alias("asked"))
     with_text = docs.join(bundles, docs["doc_id"] == bundles["id"]).select("text", "asked")
 
