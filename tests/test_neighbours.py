@@ -54,3 +54,18 @@ def test_a_meeting_in_steps_gives_the_same(spark):
     for at_once in (1, 7, 128):
         met = neighbours._met(left, parts, plain, 60, 3, at_once)
         assert {r["id"]: [(n["d"], n["id"], n["label"]) for n in r["near"]] for r in met.collect()} == brute(rows, rows, 3)
+
+
+def test_blocks_are_sent_to_groups_not_to_queries(spark):
+    """Without clusters every query asks for every cell; it is sent once for each group of blocks."""
+    rows = clustered(400, 9, 40.0)
+    plain = neighbours._plain(spark.createDataFrame(rows, SCHEMA), True).withColumns({"cell": F.pmod("id", F.lit(40)).cast("int"), "r": F.lit(0.0)})
+    left, parts = neighbours._packed(plain, [10] * 40, 10)
+    assert set(neighbours._grouped(parts)[2]) == set(range(8))
+    asked = plain.withColumns({"bound": F.lit(None).cast("double"), "cells": F.sequence(F.lit(0), F.lit(39))})
+    met = neighbours._met(left, parts, asked, 10, 4).collect()
+    assert len(met) == 400 * 8
+    got = {}
+    for r in met:
+        got.setdefault(r["id"], []).extend((n["d"], n["id"], n["label"]) for n in r["near"])
+    assert {i: sorted(n)[:4] for i, n in got.items()} == brute(rows, rows, 4)
