@@ -137,3 +137,13 @@ def test_a_grid_of_neighbours_looks_for_them_once_a_fold(spark, monkeypatch):
         for w in ("uniform", "distance"):
             each[n, w] = np.mean([judge.evaluate(models.create("knn", n_neighbors=n, weights=w).fit(folded.where(f"fold <> {f}")).transform(folded.where(f"fold = {f}"))) for f in range(3)])
     assert best == pytest.approx(max(each.values())) and best == pytest.approx(each[params["n_neighbors"], params["weights"]])
+
+
+def test_sigmoids_read_margins_and_not_features(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    y = r.integers(0, 3, 120)
+    rows = frame(spark, r.standard_normal((120, 4)) + y[:, None], y)
+    seen, real = [], machines._sigmoids
+    monkeypatch.setattr(machines, "_sigmoids", lambda m, *a: seen.append(m.rdd.map(lambda b: len(b[1]) / len(b[0])).collect()) or real(m, *a))
+    machines.PairwiseMachines().fit(rows)
+    assert seen and set(seen[0]) == {3 * 8 / 4}
