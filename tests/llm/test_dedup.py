@@ -221,6 +221,39 @@ def test_texts_without_candidates_are_not_shuffled(spark):
     assert "_map" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+def test_parted_rows_are_all_there_once(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(-3_000, 3_000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    wanted = spark.range(-3_000, 3_000, 4).withColumnRenamed("id", "name")
+    parts = common.parted(rows, "doc_id", wanted, "name")
+    near, rest = (sorted(r["doc_id"] for r in x.where("doc_id is not null").collect()) for x in parts)
+    assert sorted(near + rest) == [k for k in range(-3_000, 3_000) if k != 5] and set(range(-3_000, 3_000, 4)) <= set(near) and len(near) < 3_000
+    assert all(x.columns == rows.columns for x in parts) and sum(x.where("doc_id is null").count() for x in parts) == 1
+    near, rest = common.parted(rows, "doc_id", wanted.limit(0), "name")
+    assert near.count() == 0 and rest.count() == 6_000
+
+
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark):
+    """Without a broadcast of what is joined, as with many documents, only texts that may change or go are dealt out."""
+    r = random.Random(22)
+    p = words(r, 60)
+    docs = [(i, " ".join(words(r, 40))) for i in range(300)] + [(900, " ".join(words(r, 30) + p)), (901, " ".join(p + words(r, 30))), (902, " ".join(p + words(r, 31)))] + [(None, "x"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    again = df.union(df.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 5000))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for got, changed in ((passages.cut(df), {901, 902}), (minhash.drop_near_duplicates(again), set())):
+            rows = got.collect()
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "_map" in plan and "Union" in plan
+            assert sorted(str(x["doc_id"]) for x in rows) == sorted(str(i) for i, _ in docs)
+            assert {x["doc_id"] for x in rows if x["doc_id"] is not None and x["text"] != dict(docs)[x["doc_id"]]} == changed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_an_overfull_cell_makes_few_blocks_and_no_pairs_are_broadcast(spark):
     x = np.random.default_rng(3).standard_normal((1100, 8))
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<double>")
@@ -340,6 +373,30 @@ def test_long_and_repetitive_texts(spark):
     assert got[4]["start_word"] == 0 and got[4]["end_word"] == 20_000 and got[4]["source_start"] == 10_000
 
 
+def test_a_line_said_again_and_again_asks_for_words_once_a_pair(spark, monkeypatch):
+    r, staged = random.Random(14), {}
+    docs = [(i, " ".join(words(r, 30) + ["is", "one."] * (40 + i) + words(r, 30))) for i in range(12)]
+    monkeypatch.setattr(passages, "stage", lambda df, name: staged.setdefault(name, common.stage(df, name)))
+    found = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} == set(range(1, 12))
+    pairs = staged["chains"].select(*passages.PAIR).distinct().count()
+    assert staged["chains"].count() == pairs and staged["requests"].agg(F.sum("n")).first()[0] == 2 * pairs
+
+
+def test_chains_get_their_own_words_out_of_the_words_of_all():
+    r = random.Random(15)
+    for _ in range(200):
+        n = r.randrange(30, 2000)
+        h = list(range(n))
+        chains = [sorted(r.sample(range(max(0, at - 40), min(n - 1, at + 40)), 3)) for at in (r.randrange(n) for _ in range(r.randrange(1, 9)))]
+        first, end = passages.reached(chains)
+        assert all(a < b for a, b in zip(first, end)) and all(b < a for a, b in zip(first[1:], end))
+        every = [w for a, b in zip(first, end) for w in h[a:b]]
+        for c in chains:
+            lo, own = passages.own_words(every, first, end, c)
+            assert lo == max(0, c[0] - passages.REACH) and own == h[lo : c[-1] + passages.B + passages.REACH]
+
+
 def test_passages_with_other_words_between_are_judged_apart(spark):
     r = random.Random(11)
     docs, want = [], []

@@ -75,6 +75,16 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     """The rows whose key is wanted, and few others, in place: a bitmap of the (staged) wanted keys' hashes is broadcast, so
     that a join with them needn't shuffle the texts of all other rows. Its size is bounded; with very many wanted keys it
     only lets more rows through."""
+    return _marked(rows, key, wanted, wanted_key, "inner").where("_near").drop("_near")
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """The likely rows, and all the others, none of which is wanted: for a join that keeps these too. Rows are read twice."""
+    marked = _marked(rows, key, wanted, wanted_key, "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    return marked.where("_near").drop("_near"), marked.where("not _near").drop("_near")
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how: str) -> DataFrame:
     n, bits = wanted.count(), 1 << 15
     while bits < min(FILTER_BITS * n, MOST_BITS):
         bits *= 2
@@ -83,9 +93,9 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     pages = pages.groupBy(F.bitmap_bucket_number("_h").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_map"))
     at = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("_page", F.bitmap_bucket_number(place(key))).join(F.broadcast(pages), "_page")
+    met = rows.withColumn("_page", F.bitmap_bucket_number(place(key))).join(F.broadcast(pages), "_page", how)
     bit = F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8))))
-    return met.where(F.pmod(bit, F.lit(2)) == 1).drop("_page", "_map")
+    return met.withColumn("_near", F.pmod(bit, F.lit(2)) == 1).drop("_page", "_map")
 
 
 #: Rows of one key that meet its wide row in one group, about.

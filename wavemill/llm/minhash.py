@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import dealt, join_hot, likely, small_batches, stage
+from wavemill.llm.common import dealt, join_hot, likely, parted, small_batches, stage
 from wavemill.llm.components import components
 from wavemill.llm.words import mix, word_hashes
 
@@ -301,7 +301,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     rows = stage(_judged(docs.select("doc_id", "text"), size, percent).where(F.col("digest").isNotNull()).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "judged")
     gone = stage(rows.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     again = stage(rows.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
+    near, others = parted(every, "id", gone, "doc_id")  # only texts that may go are shuffled to the ids that go
+    kept = near.join(gone, near["id"] == gone["doc_id"], "left_anti").unionByName(others).select("row.*")
     if again.isEmpty():
         return kept
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,8 @@ The matches of a document with one source are chained in order: a chain's score
 the gaps, and the best chain that ends in a match is found with a Fenwick tree over source positions. Chains are cut at
 wide gaps (``MAX_GAP`` words, or a shift of ``MAX_SHIFT``: passages further apart are passages of their own), aligned word
 by word between and beyond their matches, and kept as passages if ``SIMILARITY`` of their words agree; a chain that fails is
-cut at its worst gap and its parts are judged again. Only the words that chains ask for are shuffled. Passages of one
+cut at its worst gap and its parts are judged again. Only the words that chains ask for are shuffled, once for each pair of
+texts however many chains it has. Passages of one
 document that touch make a region; regions of at least ``MIN_WORDS`` words are repeated text, all the words of which stand
 in earlier documents.
 
@@ -31,7 +32,7 @@ keeps all columns of its input. An empty table gives an empty result. Ids are in
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from operator import eq
 
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import HOT, join_hot, likely, small_batches, stage
+from wavemill.llm.common import HOT, join_hot, likely, parted, small_batches, stage
 from wavemill.llm.words import word_hashes
 
 #: A window of 14 leaves an exact passage of MIN_WORDS words a whole run of seeds; with 16, 3 of 1,500 had none.
@@ -300,7 +301,7 @@ PLACE, VARIANT = 40, 23
 SALTS = 32
 #: One in so many documents is looked at for hot keys.
 SAMPLE = 64
-#: So many chains ask for words of one text at once.
+#: So many pairs ask for words of one text at once.
 REQUESTS = 2000
 
 
@@ -402,28 +403,49 @@ def _on_one_diagonal(xs: list[int], ys: list[int]) -> bool:
 PAIR = ["doc_id", "variant", "source_id", "source_variant"]
 
 
+def _reached(places: list[int]) -> tuple[int, int]:
+    """The words of one text, first and last + 1, that the alignment of a chain with these places may look at."""
+    return max(0, places[0] - REACH), places[-1] + B + REACH
+
+
+def reached(chains: list[list[int]]) -> tuple[list[int], list[int]]:
+    """The words that any of some chains may look at: the first and last words + 1 of ranges that don't touch. A text that
+    says one line again and again has a chain at each, and the chains look at the same words."""
+    first, end = [], []
+    for lo, hi in sorted(map(_reached, chains)):
+        if end and lo <= end[-1]:
+            end[-1] = max(end[-1], hi)
+        else:
+            first.append(lo)
+            end.append(hi)
+    return first, end
+
+
 def _chains(grouped: DataFrame) -> DataFrame:
-    """The matches xs, ys of each pair of texts -> a row for each chain that may be a passage."""
+    """The matches xs, ys of each pair of texts -> a row for each pair with chains that may be passages, and the ranges of
+    words they look at."""
     ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, out_x, out_y = [], [], []
+            row, out = [], []
             for k, (xs, ys) in enumerate(zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist())):
                 sure = {p for x, y in zip(xs, ys) if x & 255 > NEXT[-1] for p in ((x >> 8, y >> 8), ((x >> 8) + (x & 255), (y >> 8) + (x & 255)))}
-                for cx, cy in chain(*points(xs, ys)):
-                    if not sure.isdisjoint(zip(cx, cy)) or _on_one_diagonal(cx, cy):
-                        row.append(k)
-                        out_x.append(cx)
-                        out_y.append(cy)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PAIR), pa.array(out_x, ints), pa.array(out_y, ints)], names=[*PAIR, "xs", "ys"])
+                found = [(cx, cy) for cx, cy in chain(*points(xs, ys)) if not sure.isdisjoint(zip(cx, cy)) or _on_one_diagonal(cx, cy)]
+                if found:
+                    every_x, every_y = map(list, zip(*found))
+                    row.append(k)
+                    out.append((every_x, every_y, *reached(every_x), *reached(every_y)))
+            cols = list(zip(*out)) if out else [[]] * 6
+            at, kinds = pa.array(row, pa.int64()), [*[pa.list_(ints)] * 2, *[ints] * 4]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PAIR), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*PAIR, "xs", "ys", "x_from", "x_to", "y_from", "y_to"])
 
-    return grouped.mapInArrow(run, "doc_id bigint, variant int, source_id bigint, source_variant int, xs array<int>, ys array<int>")
+    ranges = ", ".join(f"{c} array<int>" for c in ("x_from", "x_to", "y_from", "y_to"))
+    return grouped.mapInArrow(run, f"doc_id bigint, variant int, source_id bigint, source_variant int, xs array<array<int>>, ys array<array<int>>, {ranges}")
 
 
 def _requested_words(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """no, a and b: for each chain (numbered ``no``) the words of either text from its x_from (y_from) up to its x_to (y_to).
+    """no, a and b: for each pair of texts (numbered ``no``) the words of either text in its ranges, one range after the other.
 
     Each text that is asked for is shuffled once to the requests for its words, in bundles of about REQUESTS.
     """
@@ -445,7 +467,7 @@ def _requested_words(docs: DataFrame, chains: DataFrame) -> DataFrame:
                     if r["variant"] == own:
                         no.append(r["no"])
                         side.append(r["side"])
-                        words.append(h[r["lo"] : r["hi"]])
+                        words.append(np.concatenate([h[lo:hi] for lo, hi in zip(r["lo"], r["hi"])]))
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
             flat = np.concatenate(words) if words else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(side, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["no", "side", "words"])
@@ -455,16 +477,27 @@ def _requested_words(docs: DataFrame, chains: DataFrame) -> DataFrame:
     return slices.groupBy("no").agg(of(0).alias("a"), of(1).alias("b"))
 
 
+def own_words(words: list[int], first: list[int], end: list[int], places: list[int]) -> tuple[int, list[int]]:
+    """The first word that the alignment of a chain may look at, and the words from there on, out of those of all ranges."""
+    lo, hi = _reached(places)
+    own = bisect_right(first, lo) - 1
+    at = sum(end[:own]) - sum(first[:own]) + lo - first[own]
+    return lo, words[at : at + hi - lo]
+
+
 def _aligned(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {c: batch.column(c).to_pylist() for c in ("xs", "ys", "x_from", "y_from", "a", "b")}
+            col = {c: batch.column(c).to_pylist() for c in ("xs", "ys", "x_from", "x_to", "y_from", "y_to", "a", "b")}
             row, out = [], []
-            for k, (xs, ys, x_from, y_from, a, b) in enumerate(zip(*col.values())):
-                for x0, x1, y0, y1, like in align(a, b, [x - x_from for x in xs], [y - y_from for y in ys], B):
-                    if x1 - x0 >= LEAST_WORDS:
-                        row.append(k)
-                        out.append((x0 + x_from, x1 + x_from, y0 + y_from, y1 + y_from, like))
+            for k, (every_x, every_y, x_from, x_to, y_from, y_to, words_a, words_b) in enumerate(zip(*col.values())):
+                for xs, ys in zip(every_x, every_y):
+                    x, a = own_words(words_a, x_from, x_to, xs)
+                    y, b = own_words(words_b, y_from, y_to, ys)
+                    for x0, x1, y0, y1, like in align(a, b, [p - x for p in xs], [p - y for p in ys], B):
+                        if x1 - x0 >= LEAST_WORDS:
+                            row.append(k)
+                            out.append((x0 + x, x1 + x, y0 + y, y1 + y, like))
             cols = list(zip(*out)) if out else [[]] * 5
             at, kinds = pa.array(row, pa.int64()), [*[pa.int32()] * 4, pa.float64()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PAIR), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*PAIR, "start_word", "end_word", "source_start", "source_end", "similarity"])
@@ -478,9 +511,7 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     at = F.array_sort(F.collect_set(F.struct("x", "y")))
     grouped = matches(docs).groupBy(*PAIR).agg(at.alias("at")).where((F.size("at") > 1) | (F.get("at.x", F.lit(0)).bitwiseAND(255) > NEXT[-1])).select(*PAIR, F.col("at.x").alias("xs"), F.col("at.y").alias("ys"))
-    lo = lambda c: F.greatest(F.lit(0), F.get(c, F.lit(0)) - REACH)
-    hi = lambda c: F.element_at(c, -1) + B + REACH
-    chains = stage(_chains(grouped).select("*", lo("xs").alias("x_from"), hi("xs").alias("x_to"), lo("ys").alias("y_from"), hi("ys").alias("y_to"), F.monotonically_increasing_id().alias("no")), "chains")
+    chains = stage(_chains(grouped).withColumn("no", F.monotonically_increasing_id()), "chains")
     small_batches(docs.sparkSession)
     return stage(_outermost(_aligned(chains.join(_requested_words(docs, chains), "no"))), "passages")
 
@@ -537,8 +568,9 @@ def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated regions; an integer column n_chars follows the text."""
     small_batches(docs.sparkSession)
     every = F.collect_list(F.struct("variant", "ranges")).alias("texts")
-    where = regions(passages(docs), min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(every)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(where, F.col("row.doc_id") == F.col("cut_id"), "left")
+    where = stage(regions(passages(docs), min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(every), "regions")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    near, whole = parted(rows, "id", where, "cut_id")  # only texts that have regions, and few others, are shuffled to them
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,4 +592,4 @@ def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     own["n_chars"] = pa.array(n, own["n_chars"].type)
             yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
 
-    return rows.select("row", "texts").mapInArrow(run, docs.schema)
+    return near.join(where, F.col("id") == F.col("cut_id"), "left").select("row", "texts").mapInArrow(run, docs.schema).unionByName(whole.select("row.*"))
