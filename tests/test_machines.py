@@ -147,3 +147,60 @@ def test_sigmoids_read_margins_and_not_features(spark, monkeypatch):
     monkeypatch.setattr(machines, "_sigmoids", lambda m, *a: seen.append(m.rdd.map(lambda b: len(b[1]) / len(b[0])).collect()) or real(m, *a))
     machines.PairwiseMachines().fit(rows)
     assert seen and set(seen[0]) == {3 * 8 / 4}
+
+
+def test_each_row_is_minimised_by_itself_and_left_alone_at_rest():
+    scales = [1.0, 100.0, 1e4]
+    a = [np.diag(np.linspace(1, s, 6)) for s in scales]
+    t, asked = np.arange(18.0).reshape(3, 6) + 1, []
+
+    def fn(v, which):
+        asked.append(len(which))
+        return np.array([0.5 * r @ a[i] @ r - t[i] @ r for r, i in zip(v, which)]), np.array([a[i] @ r - t[i] for r, i in zip(v, which)])
+
+    x = machines.minimise_each(fn, np.zeros((3, 6)), 300, 1e-10)
+    assert np.allclose([m @ r for m, r in zip(a, x)], t, atol=1e-5)
+    assert asked[0] == 3 and asked[-1] < 3
+
+
+def test_few_passes_over_the_rows_whatever_their_features_scales(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    y = r.integers(0, 4, 400)
+    x = (r.standard_normal((400, 12)) + 0.5 * r.standard_normal((4, 12))[y]) * np.geomspace(0.1, 30, 12)
+    passes, real = [], machines._Summed.over
+    monkeypatch.setattr(machines._Summed, "over", lambda self, *a: passes.append(0) or real(self, *a))
+    monkeypatch.setattr(machines, "_sigmoids", lambda m, sides, counts: (np.ones(6), np.zeros(6)))
+    model = machines.PairwiseMachines(maxIter=500).fit(frame(spark, x, y))
+    assert len(passes) <= 30
+    w, b = np.array(model.getOrDefault("weights")).reshape(6, 12), model.getOrDefault("intercepts")
+    for p, (i, j) in enumerate(machines._pairs(4)):
+        on = np.isin(y, (i, j))
+        side = np.where(y[on] == i, 1.0, -1.0)
+        value = lambda f, q: 0.5 * q + (np.maximum(0, 1 - side * f) ** 2).sum()
+        z = x[on]
+
+        def fn(v):
+            d = -2 * np.maximum(0, 1 - side * (z @ v[:-1] + v[-1])) * side
+            return value(z @ v[:-1] + v[-1], v[:-1] @ v[:-1]), np.append(v[:-1] + z.T @ d, d.sum())
+
+        least = fn(machines.minimise(fn, np.zeros(13), 5000, 1e-9))[0]
+        assert value(z @ w[p] + b[p], w[p] @ w[p]) <= least * (1 + 1e-4)
+
+
+@pytest.mark.parametrize("kernel", ["poly", "rbf"])
+def test_mapped_rows_are_not_kept_and_give_the_same_machines(spark, monkeypatch, kernel):
+    r = np.random.default_rng(9)
+    y = r.integers(0, 3, 700)
+    rows = frame(spark, r.standard_normal((700, 5)) + 0.3 * y[:, None], y)
+    wide, real = [], machines._Summed.__init__
+
+    def init(self, *a):
+        real(self, *a)
+        wide.extend(self.rdd.map(lambda b: (len(b[1]) // 8) / (len(b[0]) // 4)).collect())
+
+    monkeypatch.setattr(machines._Summed, "__init__", init)
+    got = models.create("svm", kernel=kernel, n_features=64).fit(rows).stages
+    assert set(wide) == {5}
+    apart = machines.PairwiseMachines(featuresCol=got[1].getOrDefault("featuresCol")).fit(got[0].transform(rows))
+    for name in ("weights", "intercepts", "slopes", "shifts"):
+        assert np.allclose(got[1].getOrDefault(name), apart.getOrDefault(name), atol=1e-3)
