@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,3 +58,16 @@ def test_query_rows(spark, pair):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(pair[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digests(bpe.encode_decode(df.limit(0), PATH)).count() == 0
+
+
+def test_a_worker_keeps_no_words_after_its_task(spark):
+    df = spark.createDataFrame([(k, f"word{k} other{k}") for k in range(40)], "doc_id long, text string")
+
+    def held(batches):
+        for batch in batches:
+            words = [len(b.chunks) + len(b.fragments) for b in bpe._loaded.values()]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(words) if words else None] * batch.num_rows, pa.int64())})
+
+    bpe.encode_decode(df.repartition(4), PATH).write.format("noop").mode("overwrite").save()
+    found = [r["n"] for r in spark.range(8, numPartitions=8).mapInArrow(held, "n long").collect()]
+    assert any(n is not None for n in found) and not any(found)

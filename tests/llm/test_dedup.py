@@ -520,3 +520,15 @@ def test_passages_with_evenly_changed_words(spark, every):
     caught = {g["doc_id"] for g in got if g["source_id"] == g["doc_id"] - 1 and g["region_start"] <= 38 and g["region_end"] >= 86}
     assert len(caught) >= least * 40
     assert all(abs(g["region_start"] - 22) <= 16 and abs(g["region_end"] - 102) <= 16 for g in got)
+
+
+def test_keys_are_made_of_few_texts_at_once_whatever_the_batch():
+    """_matches asks for batches of 20,000 rows, and the texts before it stand in the same query."""
+    import pyarrow as pa
+
+    texts = ["word " * 1000, None, "", "x" * (3 << 20), *["other words " * 2000] * 300]
+    parts = list(passages.parts_of(pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    sizes = [[len(t or "") for t in p.column("text").to_pylist()] for p in parts]
+    assert all(sum(s) - max(s) <= passages.TEXT_BYTES for s in sizes)

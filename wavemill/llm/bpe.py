@@ -2,7 +2,7 @@
 
 A byte pair that occurs inside no vocabulary token can be joined by no merge, so a word is certainly cut between the
 two bytes. Fragments between such cuts are encoded on their own and the ids concatenated, which gives the same ids as
-merging the whole word. Frequent words and fragments are kept in bounded caches of each Python worker; every text is
+merging the whole word. Frequent words and fragments are kept in bounded caches of each task; every text is
 encoded whole, one row at a time, without a shuffle.
 
 Cases: a null text is the empty text, which has no ids and decodes to the empty text. Repeated rows give repeated
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from wavemill.llm.common import small_batches
 
-#: Entries of a worker's word cache and of its fragment cache.
+#: Entries of a task's word cache and of its fragment cache.
 CACHE_ENTRIES = 500_000
 #: Fragments of so many bytes are merged by a plain search for the least rank.
 SHORT = 64
@@ -67,6 +67,11 @@ class ForcedBoundaryBpe:
         self.chunks: dict[str, bytes] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Empty the caches: a worker lives on after its task, and what they hold would be lost to the stages that follow."""
+        self.chunks.clear()
+        self.fragments.clear()
+
     def _pairs_inside_tokens(self) -> set[str]:
         inside = set()
         for token in self.vocab:
@@ -206,15 +211,18 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            flat, offsets, decoded = array("i"), array("i", [0]), []
-            for t in batch.column(text).to_pylist():
-                ids = bpe.encode(t)
-                flat.extend(ids)
-                offsets.append(len(flat))
-                decoded.append(bpe.decode(ids))
-            lists = pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()) if len(offsets) else [], _ints(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
+        try:
+            for batch in batches:
+                flat, offsets, decoded = array("i"), array("i", [0]), []
+                for t in batch.column(text).to_pylist():
+                    ids = bpe.encode(t)
+                    flat.extend(ids)
+                    offsets.append(len(flat))
+                    decoded.append(bpe.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()) if len(offsets) else [], _ints(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     return base.mapInArrow(run, schema)
 

@@ -38,6 +38,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ AGREE = 6
 MIN_WORDS = 50
 #: A chain or passage of fewer words is no part of a region.
 LEAST_WORDS = 24
+#: Bytes of texts of which the keys are made at once, about; a long text may come on top of that.
+TEXT_BYTES = 1 << 20
 SIMILARITY = 0.8
 GAP_COST = 0.15
 MAX_GAP, MAX_SHIFT = 40, 12
@@ -309,15 +312,23 @@ def variant_of(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> (64 - VARIANT)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in parts of about ``TEXT_BYTES``: a query has one size of batches, and that of ``_matches`` is set for
+    narrow rows, while a text's words take many times its bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // TEXT_BYTES)) + 1).tolist(), len(upto)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def _key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """A row for each key of each text. Keys among the sorted ``hot`` ones get a salt from 1 to SALTS, others 0."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             key, owner, at = keys_of(*word_hashes(texts))
             own_bits = np.array([variant_of(t) for t in texts], np.int64) << PLACE
